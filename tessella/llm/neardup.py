@@ -27,8 +27,11 @@ from .common import materialize
 
 THRESHOLD, LEAST = 0.75, 30
 SEGMENTS, WIDTH = 12, 6
-#: Bytes of a token's hash that are kept: a wrong verdict on a pair of sets of 300 tokens has odds of 1e-7.
-KEPT = 5
+#: Bytes of a token's hash that are kept: the odds that a pair of sets of 300 tokens has two alike are 1e-5, and then the
+#: verdict changes only if one token decides it.
+KEPT = 4
+#: Bits of a set's parity bitmap.  Every bit in which two differ stands for a token that only one set has.
+PARITY_BITS = 256
 _MASK = np.uint64((1 << (8 * KEPT)) - 1)
 
 
@@ -93,72 +96,106 @@ def variants(sets: list[np.ndarray], segments: int = SEGMENTS, width: int = WIDT
     return _mix(left ^ _mix(tag + np.uint64(77))).reshape(n, -1).T
 
 
+def parity(h: np.ndarray) -> bytes:
+    bits = np.bincount((h >> np.uint64(3)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
 def token_sets(df: DataFrame, least: int = LEAST) -> DataFrame:
-    """(tbl, rec_id, cls, size, tokens) of the rows of `df` (tbl, rec_id, content) with `least` tokens or more."""
+    """(tbl, rec_id, cls, size, parity, tokens) of the rows of `df` (tbl, rec_id, content) with `least` tokens or more.
+
+    cls is the hash of table and set: equal for copies within a table."""
     def run(batches):
         known = _Hashes()
         for b in batches:
-            at, cls, sizes, packed = [], [], [], []
+            at, cls, sizes, bits, packed = [], [], [], [], []
+            tbls = b.column(0).to_pylist()
             for i, t in enumerate(b.column(2)):
                 ws = tokens(t.as_py())
                 if len(ws) < least:
                     continue
                 h = np.unique(np.array([known[w] for w in ws], np.uint64) & _MASK)
                 p = pack(h)
-                at.append(i), sizes.append(len(ws)), packed.append(p), cls.append(xxhash.xxh3_64_intdigest(p))
+                at.append(i), sizes.append(len(h)), bits.append(parity(h)), packed.append(p)
+                cls.append(xxhash.xxh3_64_intdigest(p, seed=xxhash.xxh32_intdigest(str(tbls[i]).encode())))
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.array(cls, np.uint64).view(np.int64) if cls else [], pa.int64()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], ["tbl", "rec_id", "cls", "size", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(packed, pa.binary())], ["tbl", "rec_id", "cls", "size", "parity", "tokens"])
 
-    return df.select("tbl", "rec_id", "content").where(F.length("content") >= 2 * least - 1).mapInArrow(run, "tbl string, rec_id string, cls bigint, size int, tokens binary")
+    return df.select("tbl", "rec_id", "content").where(F.length("content") >= 2 * least - 1).mapInArrow(run, "tbl string, rec_id string, cls bigint, size int, parity binary, tokens binary")
+
+
+_SEEN = 1_000_000
 
 
 def _index(sets: DataFrame) -> DataFrame:
+    """(variant, cls); copies within a task are indexed once, copies of several tasks are removed after the shuffle."""
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
             for at in range(0, len(b), 2000):
                 part = b.slice(at, 2000)
-                v = variants([unpack(x.as_py()) for x in part.column(2)])
-                n = v.shape[1]
-                rows = pa.array(np.repeat(np.arange(len(part)), n))
-                yield pa.RecordBatch.from_arrays([pa.array(v.ravel().view(np.int64)), part.column(0).take(rows), part.column(1).take(rows)], ["variant", "tbl", "cls"])
+                new = [i for i, c in enumerate(part.column(0).to_pylist()) if c not in seen and not (len(seen) < _SEEN and seen.add(c))]
+                if not new:
+                    continue
+                part = part.take(pa.array(new, pa.int64()))
+                cls = part.column(0).to_numpy()
+                # Tables don't mix: a class's variants are salted by its table.
+                salt = np.array([xxhash.xxh64_intdigest(str(x).encode()) for x in part.column(1).to_pylist()], np.uint64)
+                v = _mix(variants([unpack(x.as_py()) for x in part.column(2)]) ^ salt[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(v.ravel().view(np.int64)), pa.array(np.repeat(cls, v.shape[1]))], ["variant", "cls"])
 
-    kind = sets.schema["tbl"].dataType.simpleString()
-    return sets.select("tbl", "cls", "tokens").mapInArrow(run, f"variant bigint, tbl {kind}, cls bigint")
+    return sets.select("cls", "tbl", "tokens").mapInArrow(run, "variant bigint, cls bigint")
 
 
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, ta, tb) whose token sets' similarity is above `threshold`."""
     def run(batches):
         for b in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(b.column(3), b.column(4))):
+            for x, y in zip(b.column(2), b.column(3)):
                 x, y = unpack(x.as_py()), unpack(y.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both / (len(x) + len(y) - both) > threshold)
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(3)], ["tbl", "a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, na, nb, pa, pb) that sizes and parities don't rule out: the tokens that only one set has are
+    fewer than (1 - t) / (1 + t) of all, and at least as many as the differing parity bits."""
+    limit = (1 - threshold) / (1 + threshold)
+
+    def run(batches):
+        for b in batches:
+            na, nb = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy().astype(np.int64)
+            grid = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(len(b), -1) for k in (4, 5)] if len(b) else None
+            apart = np.bitwise_count(grid[0] ^ grid[1]).sum(axis=1, dtype=np.int64) if grid else na
+            keep = np.maximum(apart, np.abs(na - nb)) < limit * (na + nb)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    kind = pairs.schema["tbl"].dataType.simpleString()
-    return pairs.select("tbl", "a", "b", "ta", "tb").mapInArrow(run, f"tbl {kind}, a bigint, b bigint")
+    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
 
 
 def similar_classes(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct (tbl, a, b), a < b: classes of unequal sets whose similarity is above `threshold`."""
-    index = _index(sets).dropDuplicates(["variant", "tbl", "cls"])
-    x, y = index.select("variant", "tbl", F.col("cls").alias("a")), index.select("variant", "tbl", F.col("cls").alias("b"))
-    candidates = x.join(y, ["variant", "tbl"]).where("a < b").select("tbl", "a", "b").distinct()
-    one = sets.groupBy("tbl", "cls").agg(F.first("tokens").alias("t"), F.first("size").alias("n"))
-    pairs = candidates.join(one.select("tbl", F.col("cls").alias("a"), F.col("t").alias("ta"), F.col("n").alias("na")), ["tbl", "a"])
-    pairs = pairs.join(one.select("tbl", F.col("cls").alias("b"), F.col("t").alias("tb"), F.col("n").alias("nb")), ["tbl", "b"])
-    return _verified(pairs.where((F.col("na") > F.col("nb") * threshold) & (F.col("nb") > F.col("na") * threshold)), threshold)
+    """Distinct (a, b), a < b: classes of unequal sets of one table whose similarity is above `threshold`."""
+    index = _index(sets).repartition("variant").dropDuplicates(["variant", "cls"])
+    candidates = index.withColumnRenamed("cls", "a").join(index.withColumnRenamed("cls", "b"), "variant").where("a < b").select("a", "b").distinct()
+    light = sets.groupBy("cls").agg(F.max(F.struct("size", "parity")).alias("s")).select("cls", "s.size", "s.parity")
+    one, two = light.toDF("a", "na", "pa"), light.toDF("b", "nb", "pb")
+    possible = _possible(candidates.join(one, "a").join(two, "b"), threshold)
+    whole = sets.groupBy("cls").agg(F.max("tokens").alias("tokens"))
+    return _verified(possible.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b"), threshold)
 
 
 def similar_pairs(df: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
     """(tbl, id_a, id_b), id_a < id_b: every pair of different ids of one table above the threshold."""
     sets = materialize(token_sets(df, least))
     links = similar_classes(sets, threshold)
-    members = sets.select("tbl", "cls", "rec_id").distinct()
-    left, right = members.select("tbl", F.col("cls").alias("a"), F.col("rec_id").alias("x")), members.select("tbl", F.col("cls").alias("b"), F.col("rec_id").alias("y"))
-    across = links.join(left, ["tbl", "a"]).join(right, ["tbl", "b"]).select("tbl", "x", "y")
-    equal = left.join(right.withColumnRenamed("b", "a"), ["tbl", "a"]).where("x < y").select("tbl", "x", "y")
+    members = sets.select("cls", "tbl", "rec_id").distinct()
+    left, right = members.toDF("a", "tbl", "x"), members.select("cls", "rec_id").toDF("b", "y")
+    across = links.join(left, "a").join(right, "b").select("tbl", "x", "y")
+    equal = left.join(right.withColumnRenamed("b", "a"), "a").where("x < y").select("tbl", "x", "y")
     return across.unionByName(equal).where("x <> y").select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
@@ -167,18 +204,20 @@ def near_duplicate_groups(df: DataFrame, threshold: float = THRESHOLD, least: in
     ids in its class and the number of classes it is linked with."""
     sets = materialize(token_sets(df, least))
     links = materialize(similar_classes(sets, threshold))
-    both = links.select("tbl", F.col("a").alias("cls"), F.col("b").alias("other")).union(links.select("tbl", F.col("b").alias("cls"), F.col("a").alias("other")))
-    label = both.select("tbl", "cls", F.col("cls").alias("label")).distinct()
+    both = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(links.select(F.col("b").alias("cls"), F.col("a").alias("other")))
+    label = both.select("cls", F.col("cls").alias("label")).distinct()
     for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("cls", "other"), ["tbl", "other"]).groupBy("tbl", "cls").agg(F.min("label").alias("near"))
-        step = label.join(near, ["tbl", "cls"]).select("tbl", "cls", F.least("label", "near").alias("new"), "label")
+        near = both.join(label.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.min("label").alias("near"))
+        step = label.join(near, "cls").select("cls", F.least("label", "near").alias("new"), "label")
         # Jump: a label is itself a class, whose label is as good.
-        jump = step.select("tbl", F.col("cls").alias("new"), F.col("new").alias("far"))
-        moved = materialize(step.join(jump, ["tbl", "new"], "left").select("tbl", "cls", F.least("new", F.coalesce("far", "new")).alias("next"), "label"))
-        label = moved.select("tbl", "cls", F.col("next").alias("label"))
+        jump = step.select(F.col("cls").alias("new"), F.col("new").alias("far"))
+        moved = materialize(step.join(jump, "new", "left").select("cls", F.least("new", F.coalesce("far", "new")).alias("next"), "label"))
+        label = moved.select("cls", F.col("next").alias("label"))
         if moved.where("next <> label").isEmpty():
             break
-    members = sets.select("tbl", "cls", "rec_id").distinct()
-    copies = members.groupBy("tbl", "cls").agg(F.count("*").alias("copies"))
-    degree = both.groupBy("tbl", "cls").agg(F.count("*").alias("links"))
-    return members.join(copies, ["tbl", "cls"]).join(degree, ["tbl", "cls"], "left").join(label, ["tbl", "cls"], "left").select("tbl", "rec_id", F.coalesce("label", "cls").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    else:
+        raise RuntimeError(f"labels still move after {rounds} rounds")
+    members = sets.select("cls", "tbl", "rec_id").distinct()
+    copies = members.groupBy("cls").agg(F.count("*").alias("copies"))
+    degree = both.groupBy("cls").agg(F.count("*").alias("links"))
+    return members.join(copies, "cls").join(degree, "cls", "left").join(label, "cls", "left").select("tbl", "rec_id", F.coalesce("label", "cls").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
