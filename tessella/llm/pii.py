@@ -39,9 +39,15 @@ _AT = re.compile(r"(?i)(?<=[\w+-])\s*(?:[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]|
 _DOT = re.compile(r"(?i)(?<=\w)(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+)(?=\w)")
 
 
-def _edits(text: str) -> list[tuple[int, int, str]]:
+_SUSPECT = re.compile(f"[{_INVISIBLE}！-～Ѐ-ԯΑ-ω]")
+_AT_HINTS = ("[at", "(at", "{at", "<at", "[ at", "( at", " dot ", "[dot", "(dot", "[@", "(@", "[ @", "( @", "arroba", "ät]", "ät)", "punkt", "punto")
+_LABEL = re.compile(r"[\w-]+")
+
+
+def _edits(text: str, low: str) -> list[tuple[int, int, str]]:
+    """What the transducer replaces: (start, end, new text), in order."""
     out: list[tuple[int, int, str]] = []
-    if not text.isascii() and _ODD.search(text):
+    if not text.isascii() and _SUSPECT.search(text) and _ODD.search(text):
         for m in re.finditer(f"[{_INVISIBLE}]", text):
             out.append((m.start(), m.end(), ""))
         for m in re.finditer("[！-～]", text):
@@ -50,31 +56,30 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
             # Only within words that are Latin otherwise.
             if not m[0].isascii() and re.search("[A-Za-z0-9@]", m[0]):
                 out += [(m.start() + i, m.start() + i + 1, _LOOKALIKE[c]) for i, c in enumerate(m[0]) if c in _LOOKALIKE]
-    low = text.lower() if len(text) < 1 << 20 else ""
-    if not low or "at" in low or "＠" in text or "@" in low or "arroba" in low or "ät" in low:
+    if any(h in low for h in _AT_HINTS):
         for m in _AT.finditer(text):
             out.append((m.start(), m.end(), "@"))
             at = m.end()
             # Dots are words only in the domain that follows and in the local part before.
-            while d := re.compile(r"[\w-]+").match(text, at):
-                x = _DOT.match(text, d.end())
-                if not x:
-                    break
+            while (d := _LABEL.match(text, at)) and (x := _DOT.match(text, d.end())):
                 out.append((x.start(), x.end(), "."))
                 at = x.end()
-            while (d := re.search(r"(?i)\w+(\s+dot\s+|\s*[\[(]\s*dot\s*[\])]\s*)[\w.+-]+$", text[max(0, m.start() - 60):m.start()])) and False:
-                pass
-    for m in _SPELLED.finditer(text):
-        digits, times = "", 1
-        for w in re.findall(r"[A-Za-z]+", m[0]):
-            w = w.lower()
-            if w in ("double", "triple"):
-                times = 2 if w == "double" else 3
-            else:
-                digits += _DIGIT_WORDS[w] * times
-                times = 1
-        end = m.start() + len(m[0].rstrip(" ,.-"))
-        out.append((m.start(), end, digits))
+            end = m.start()
+            while x := re.search(r"(?i)(?<=\w)(?:\s+dot\s+|\s*[\[(]\s*dot\s*[\])]\s*)(?=[\w.+-]+\Z)", text[max(0, end - 80):end]):
+                base = max(0, end - 80)
+                out.append((base + x.start(), base + x.end(), "."))
+                end = base + x.start()
+    if sum(low.count(w) for w in _DIGIT_WORDS) >= 6:
+        for m in _SPELLED.finditer(text):
+            digits, times = "", 1
+            for w in re.findall(r"[A-Za-z]+", m[0]):
+                w = w.lower()
+                if w in ("double", "triple"):
+                    times = 2 if w == "double" else 3
+                else:
+                    digits += _DIGIT_WORDS[w] * times
+                    times = 1
+            out.append((m.start(), m.start() + len(m[0].rstrip(" ,.-")), digits))
     out.sort()
     return out
 
@@ -82,11 +87,11 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
 class Normalized:
     """A rewritten text and the way back to its source."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, low: str | None = None):
         self.source, parts, at, n = text, [], 0, 0
         self.marks, self.shifts = [0], [(0, 0, 1)]  # where a stretch begins; its source start, and end of a replaced stretch
         last = -1
-        for a, b, new in _edits(text):
+        for a, b, new in _edits(text, text.lower() if low is None else low):
             if a < last:
                 continue
             parts += [text[at:a], new]
@@ -154,13 +159,29 @@ class People:
         rest = [p for p in parts if not (made and re.fullmatch(made, p))]
         one = "|".join(x for x in (made, alt(rest)) if x)
         self.one_family = re.compile(f"(?i:{one})\\Z") if one else None
-        self.find = None
+        self.find = self.hint = None
         if self.given and one:
             family = rf"(?:(?:{_PARTICLES})[  \n])?(?:{one})(?:-(?:{one}))?"
             first = rf"(?:(?:{alt(self.given)})(?:-(?:{alt(self.given)}))?|{_LETTER}\.)(?:[  ]?{_LETTER}\.)?"
+            self.hint = re.compile("|".join(sorted({y for x in parts for y in (x[:3], x[:3].upper())})))
             self.find = re.compile(rf"(?i)(?<![\w@.+/-])(?:{first}[  \n]{family}|{family},[  \n]{first})(?![\w@]|[.+-]\w)")
 
 
+    def spans(self, text: str):
+        """Names, found around what may begin a family name."""
+        if self.find is None:
+            return
+        done = 0
+        for h in self.hint.finditer(text):
+            if h.start() < done:
+                continue
+            m = self.find.search(text, max(done, h.start() - 60), h.start() + 100)
+            if m and m.start() <= h.start() + 40:
+                done = m.end()
+                if _cased(m[0]):
+                    yield m.span()
+
+
 def _cased(name: str) -> bool:
     """Whether a name is written as one: capitals at the beginnings, or all capitals."""
     words = re.findall(rf"{_LETTER}+", name)
@@ -197,7 +218,7 @@ _PHONE = re.compile(
     r"(?<![\w./:@#-])(?<![\d+(] )(?<!\d,)(?:"
     r"\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?(?:\d{1,5}[ ./-]?){1,6}\d{2,}"
     r"|\(\+\d{1,3}\)[ .-]?(?:\(\d{1,5}\)[ .-]?)?(?:\d{1,5}[ ./-]?){1,6}\d{2,}"
-    r"|00[1-9]\d{0,2}(?:[ .-]?\(?\d{1,5}\)?){2,6}"
+    r"|00[1-9]\d{0,2}[ .]\(?\d{1,5}\)?(?:[ .-]?\d{1,8}){1,5}"
     r"|(?:1[ .-])?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}([ .-])\d{3}\1\d{4}"
     r"|0\d{1,4}/\d{3,8}(?:[ -]\d{1,6})?|\(0\d{2,4}\)[ /-]?\d{3,8}(?:[ -]\d{1,6})?"
     r"|0\d([ .-])\d{2}\2\d{2}\2\d{2}\2\d{2}|0\d{2,4} \d{3,4} \d{3,4}|0\d{4} \d{6})"
@@ -205,20 +226,31 @@ _PHONE = re.compile(
 )
 
 
+_PHONE_HINT = re.compile(r"\+\d|\(\+?\d|0\d|1[ .-]\(|\d{3}[ .-]\d{3}[ .-]\d{4}")
+_NOT_PHONE = re.compile(r"(?i)\b(?:order|part(?: no)?|build|invoice|ticket|sku|serial|commit|trace|version|isbn|ref)\.?:? *\Z")
+
+
 def _phones(t: str):
-    for m in _PHONE.finditer(t):
+    done = 0
+    for h in _PHONE_HINT.finditer(t):
+        if h.start() < done or not (m := _PHONE.match(t, h.start())):
+            continue
+        done = m.end()
         digits = sum(map(str.isdigit, re.split(r"(?i)ext|x", m[0])[0]))
-        if 9 <= digits <= 15:
+        if 9 <= digits <= 15 and not _NOT_PHONE.search(t, max(0, m.start() - 16), m.start()):
             yield m.span()
 
 
 _ID_LABEL = r"(?i:passport|ssn|social security|dni|nie|nif|pesel|tax[ -]?id|tin|identity|personal id|id card|national (?:id|insurance)|nino|national insurance|personnummer|steuer-?id|ausweis|id number|ident)"
 _ID = re.compile(
-    r"(?<![\w.+/@#-])(?:[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{1,2}\d{7}|[XYZ]?\d{7,8}-?[A-Z]|\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|\d{11})(?![\w@]|[.-]\d)"
+    r"(?<![\w.+/@#-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{1,2}\d{7}|[XYZ]?\d{7,8}-?[A-Z]|\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|\d{11})(?![\w@]|[.-]\d)"
 )
 _LABELLED = re.compile(rf"\b{_ID_LABEL}\b[^\n]{{0,30}}\Z")
 
 
+_ID_HINTS = ("passport", "ssn", "social", "dni", " nie", " nif", "pesel", "tax id", "tax-id", "taxid", " tin", "identi", "ident ", "ident:", "personal id", "id card", "id number", "national i", "nino", "personnummer", "steuer", "ausweis")
+
+
 def _id_numbers(t: str):
     for m in _ID.finditer(t):
         if _LABELLED.search(t, max(0, m.start() - 60), m.start()):
@@ -227,17 +259,17 @@ def _id_numbers(t: str):
 
 # Words that end, or begin, the name of a street.
 _CAP = r"[A-ZÀ-ÖØ-ÞŁŚŻŹČŠŽ][\w'’]*"
-_TOWN = rf"(?:,\s(?:\d{{4,5}}\s)?{_CAP}(?:-{_CAP})*(?: {_CAP}(?:-{_CAP})*)?)?"
+_TOWN = rf"(?:,\s(?:\d{{4,5}}\s)?{_CAP}(?:-{_CAP})*(?: (?:am|an der|sur|on|upon|de|del|la) {_CAP})?)?"
 _FLAT = r"(?:,\s(?:Apt|Flat|Unit|Suite|Ste|Floor|Room)\.? ?\w+)?"
 _ADDRESS = re.compile(
     r"(?<![\w./:@#-])(?:"
     rf"\d{{1,5}}[a-z]?,? (?:{_CAP} ){{1,3}}(?:Street|Str|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Way|Close|Court|Ct|Crescent|Cres|Row|Place|Pl|Terrace|Square|Sq|Boulevard|Blvd|Hill|Gardens|Walk|Mews|Parade|Grove|Highway|Parkway)\b\.?{_FLAT}{_TOWN}"
     rf"|\d{{1,5}}(?: ?(?:bis|ter|[a-z]))?,? (?:rue|avenue|boulevard|place|chemin|impasse|allée|quai|route|cours)(?: (?:de la|de l[’']|du|des|de|d[’'])){{0,1}} ?(?:{_CAP}[ -]?)+{_TOWN}"
-    rf"|(?:{_CAP}[ -])?{_CAP}(?<=[a-zäöüß])?(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|damm|ufer|steig) \d{{1,4}} ?[a-z]?\b{_TOWN}"
+    rf"|(?:{_CAP}[ -])?{_CAP}(?<=[a-zäöüß])?(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|damm|ufer|steig) \d{{1,4}}(?: ?[a-z])?\b{_TOWN}"
     rf"|(?:Calle|Avenida|Plaza|Paseo|Rua|Via|Viale|Piazza|ul\.|al\.|ulica|aleja|plac)(?: (?:de|del|la|las|los|da|do|dos))* (?:{_CAP} ?)+,? ?(?:n[.º°]? ?)?\d{{1,4}}[a-z]?\b{_TOWN}"
     r")"
 )
-_STREET_HINT = re.compile(r"(?i)str(?:eet|aße|asse|\.)|\bst\b|avenue|\bave\b|road|\brd\b|lane|\bln\b|drive|\bdr\b|\bway\b|close|court|\bct\b|crescent|\brow\b|place|terrace|square|boulevard|hill|gardens|walk|rue |chemin|quai|weg|allee|allée|platz|gasse|calle|avenida|plaza|rua |via |ul\. ?|ulica|ring \d|mews|parade|grove")
+_STREETS = ("Street", "Str", " St ", " St.", " St,", "Avenue", " Ave", "Road", " Rd", "Lane", " Ln", "Drive", " Dr", "Way", "Close", "Court", " Ct", "Cres", "Row", "Place", " Pl", "Terrace", "Square", " Sq", "Boulevard", "Blvd", "Hill", "Gardens", "Walk", "Mews", "Parade", "Grove", "Highway", "Parkway", "straße", "strasse", "str.", "weg ", "allee ", "platz ", "gasse ", "ring ", "damm ", "ufer ", "steig ", " rue", " avenue", " boulevard", " place", "chemin", "impasse", "allée", " quai", " route", " cours", "Calle", "Avenida", "Plaza", "Paseo", "Rua ", "Via ", "Viale", "Piazza", "ul.", "al.", "ulica", "aleja", "plac ")
 
 
 def _addresses(t: str):
@@ -249,15 +281,17 @@ def find(content: str | None, people: People) -> list[tuple[str, int, int]]:
     """(kind, start, end) in source positions, in order; of spans that overlap, the first kind of the list below stays."""
     if not content or content.isspace():
         return []
-    n = Normalized(content)
+    low = content.lower()
+    n = Normalized(content, low)
     t, spans = n.text, []
     if "@" in t:
         spans += [("email", a, b) for a, b in _emails(t)]
-    spans += [("address", a, b) for a, b in _addresses(t)]
-    spans += [("id_number", a, b) for a, b in _id_numbers(t)]
+    if any(h in t for h in _STREETS):
+        spans += [("address", a, b) for a, b in _addresses(t)]
+    if any(h in low for h in _ID_HINTS):
+        spans += [("id_number", a, b) for a, b in _id_numbers(t)]
     spans += [("phone", a, b) for a, b in _phones(t)]
-    if people.find:
-        spans += [("name", *m.span()) for m in people.find.finditer(t) if _cased(m[0])]
+    spans += [("name", a, b) for a, b in people.spans(t)]
     out: list[tuple[str, int, int]] = []
     taken: list[tuple[int, int]] = []
     for kind, a, b in spans:

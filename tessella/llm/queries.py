@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, leaks, mojibake, neardup, splitter, tokens
-from .common import contents, read
+from . import conversations, credentials, leaks, mojibake, neardup, pii, splitter, tokens
+from .common import contents, read, records
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +19,31 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_groups(contents(spark, folder))
 
 
+def _diffs(spark: SparkSession, folder: str) -> DataFrame:
+    git = read(spark, folder, "git").select(F.lit("git").alias("tbl"), F.col("hash").alias("rec_id"), F.col("diff").alias("content"))
+    return git.unionByName(records(spark, folder).drop("source"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_spans(spark, folder).select("tbl", "rec_id", "line_no").distinct()
+
+
+def p2_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.find_credentials(_diffs(spark, folder))
+
+
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.redact_credentials(_diffs(spark, folder)).dropDuplicates(["tbl", "rec_id"])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(contents(spark, folder), read(spark, folder, "users")).select("tbl", "rec_id", "kind", "start_pos")
+
+
+def p5_replaced(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.replace_personal_data(contents(spark, folder), read(spark, folder, "users")).dropDuplicates(["tbl", "rec_id"])
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.conversations(read(spark, folder, "messages")).select("channel_id", "root_ts", "pos", "ts")
 
@@ -53,7 +78,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_conversations, p4_found, p4_pieces, p6_ids, p7_found, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_spans, p2_redacted, p3_found, p3_conversations, p4_found, p4_pieces, p5_found, p5_replaced, p6_ids, p7_found, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
