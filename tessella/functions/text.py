@@ -36,17 +36,17 @@ def strip(c: Column) -> Column:
 
 def chat_text(c: Column, mentions: Column | None = None) -> Column:
     """Chat markup as plain text.  `mentions` is a map of user id to name for `<@id>`; an unknown id stays as it is."""
-    ids = F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)<@(\w+)>"), 1))
+    ids = F.array_distinct(F.regexp_extract_all(c, F.lit(r"<@([\p{L}\p{N}_]+)>"), 1))
     known = mentions if mentions is not None else F.expr("CAST(map() AS map<string,string>)")
     c = F.aggregate(ids, c, lambda acc, i: F.replace(acc, F.concat(F.lit("<@"), i, F.lit(">")), F.concat(F.lit("@"), F.coalesce(F.try_element_at(known, i), i))))
     # Fixed values, in this order: mail, telephone, channel, labelled link, bare link, emoji, bold, italic, struck out.
     for pattern, to in (
         (r"<mailto:([^|>]+)\|([^>]+)>", "$2"),
         (r"<tel:([^|>]+)\|([^>]+)>", "$2"),
-        (r"(?U)<#\w+\|([^>]+)>", "#$1"),
+        (r"<#[\p{L}\p{N}_]+\|([^>]+)>", "#$1"),
         (r"<(https?://[^|>]+)\|([^>]+)>", "$2"),
         (r"<(https?://[^>]+)>", "$1"),
-        (r"(?U):[\w+\-]+:", ""),
+        (r":[\p{L}\p{N}_+\-]+:", ""),
         (r"\*([^*]+)\*", "$1"),
         (r"_([^_]+)_", "$1"),
         (r"~([^~]+)~", "$1"),

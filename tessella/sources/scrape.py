@@ -36,7 +36,7 @@ def unseen(listed: DataFrame, have: DataFrame, *keys: str) -> DataFrame:
 def unknown_users(messages: DataFrame, users: DataFrame) -> DataFrame:
     """Ids that wrote or are mentioned but are no known user."""
     wrote = messages.select(F.col("user_id").alias("id"))
-    named = messages.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?U)<@(\w+)>"), 1)).alias("id"))
+    named = messages.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"<@([\p{L}\p{N}_]+)>"), 1)).alias("id"))
     return wrote.union(named).where("id is not null and id <> ''").distinct().join(users.select("id"), "id", "left_anti")
 
 
