@@ -81,5 +81,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_spans, p2_redacted, p3_found, p3_conversations, p4_found, p4_pieces, p5_found, p5_replaced, p6_ids, p7_found, p8_found, p8_restored)}
 
 
+_BOTH = "(SELECT DISTINCT 'records' AS tbl, id, source, content FROM records UNION SELECT DISTINCT 'chunks', id, source, content FROM chunks)"
+_WORDS = r"list_filter(string_split_regex(content, '[ \t\r\n]+'), lambda t: t <> '')"
+
+_P1 = rf"""WITH s AS (SELECT tbl, id, list_distinct(list_filter(string_split_regex(lower(content), '[ \t\r\n]+'), lambda t: t <> '')) AS w FROM {_BOTH} WHERE content IS NOT NULL),
+t AS (SELECT tbl, id, len(w) AS n, unnest(w) AS token FROM s WHERE len(w) >= 30)
+SELECT a.tbl, a.id AS id_a, b.id AS id_b FROM t a JOIN t b ON a.tbl = b.tbl AND a.token = b.token AND a.id < b.id AND a.n > 0.75 * b.n AND b.n > 0.75 * a.n
+GROUP BY a.tbl, a.id, b.id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*))::DOUBLE > 0.75"""
+
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_P3 = rf"""WITH m AS (SELECT * FROM (SELECT channel_id, try_cast(ts AS DECIMAL(24, 6)) AS ts, try_cast(thread_ts AS DECIMAL(24, 6)) AS th, text, coalesce(reply_count, 0) AS reply_count, coalesce(subtype, '') AS subtype,
+row_number() OVER (PARTITION BY channel_id, try_cast(ts AS DECIMAL(24, 6)) ORDER BY scraped_at DESC NULLS LAST, reply_count DESC NULLS LAST, text DESC NULLS LAST) AS n FROM messages WHERE channel_id IS NOT NULL AND try_cast(ts AS DECIMAL(24, 6)) IS NOT NULL) WHERE n = 1),
+k AS (SELECT *, coalesce(th, CASE WHEN reply_count > 0 THEN ts END) AS root, subtype IN {conversations.SYSTEM_SUBTYPES} AS sys FROM m),
+l AS (SELECT *, sys OR coalesce(regexp_replace(text, '{_BLANK}', '', 'g'), '') = '' AS gone FROM k WHERE root IS NOT NULL),
+c AS (SELECT channel_id, root FROM l GROUP BY ALL HAVING bool_or(ts = root) AND NOT bool_or(ts = root AND sys) AND max(CASE WHEN ts = root THEN reply_count END) <= count(*) FILTER (WHERE ts <> root) AND count(*) FILTER (WHERE NOT gone) >= 2)
+SELECT channel_id, root::VARCHAR AS root_ts, row_number() OVER (PARTITION BY channel_id, root ORDER BY ts) AS pos, ts::VARCHAR AS ts FROM l JOIN c USING (channel_id, root) WHERE NOT gone"""
+
+_P4 = f"SELECT DISTINCT tbl, id AS rec_id FROM {_BOTH} JOIN ingest_config USING (source) WHERE max_chunk_tokens IS NOT NULL AND greatest(len({_WORDS}), length(content) // 4) > max_chunk_tokens"
+
+_P7 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL),
+dw AS (SELECT DISTINCT doc_id, hash(w[k:k + 11]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+iw AS (SELECT DISTINCT item_id, hash(w[k:k + 11]) AS h FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (h)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": _P1, "p3_found": _P3, "p4_found": _P4, "p7_found": _P7}
