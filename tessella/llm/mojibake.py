@@ -51,6 +51,9 @@ _PAGES = {c: _page(c) for c in UTF8_MISREAD_AS}
 _BOX = re.compile("[─-╿]")
 
 
+_USUAL_SIGNS = frozenset("‐‑‒–—―‘’‚‛“”„†‡•…‰′″‹›€№™←↑→↓↔−≈≠≤≥√∞★✓✔")
+
+
 def _script(ch: str) -> str:
     o = ord(ch)
     if o < 0x250:
@@ -70,17 +73,23 @@ def _plausible(span: str, codec: str, text: str, before: str, after: str) -> boo
         return False
     kinds = {_script(c) for c in text}
     if codec in ("cp1251", "koi8_r", "cp866"):
-        # Capital letters before a quotation mark, or before a letter of the upper half, are ordinary Cyrillic.
-        if codec != "cp1251" and len(text) < 2 and len(span) < 3:
+        # Ordinary Cyrillic maps to well-formed bytes now and then: what comes out must be letters or signs in use.
+        if not all(c in _USUAL_SIGNS or "А" <= c <= "я" or c in "ёЁіїєґІЇЄҐ" or 0xC0 <= ord(c) < 0x180 or "\x80" <= c <= "\xbf" for c in text) and not (kinds == {"east"} and len(text) > 2):
             return False
+        in_latin = before.isascii() and before.isalpha() or after.isascii() and after.isalpha()
+        if in_latin and kinds <= {"latin", "sign"}:
+            return True
+        if codec != "cp1251" or all(c.isalpha() and (c.islower() or c.isupper()) and "А" <= c <= "я" for c in span):
+            # Letters alone, as in any word: a whole word must come out in better order.
+            return len(text) > 2 and kinds == {"cyrillic"} and _ru_score([text]) > 0.3 > _ru_score([span])
         if len(span) == 2:
-            return span[0] in "ВГ" and not span[1].isalpha() and span[1] not in "»“”„‚’‘–—…«" or (span[0] in "Г" and span[1] not in "Ёё»“”’…" and (before.isascii() and before.isalpha() or after.isascii() and after.isalpha()))
+            return span[0] in "ВГ" and not span[1].isalpha() and span[1] not in "»“”„‚’‘–—…«"
         return not ("latin" in kinds and len(text) < 2) or len(span) > 2
     if codec in ("cp437", "cp850"):
         if all(_BOX.match(c) or c in "█▄▌▐▀░▒▓" for c in span):
             if _BOX.match(before) or _BOX.match(after):
                 return False
-            return span[0] in "┬├" and ((before + after).strip("─│ \n").isalnum() or span[1] in "░▒▓") and before != "\n"
+            return any(c.isalpha() and ord(c) < 0x250 for c in before + after) or span[0] in "┬" and span[1] in "░▒▓"
         return True
     if codec == "mac_roman":
         if kinds == {"cyrillic"}:
@@ -224,25 +233,53 @@ def _western_part(part: str) -> str:
     return best[1]
 
 
-_EAST_RUN = re.compile("(?:\x8f[¡-þ]{2}|[¡-þ\x8e]{2})+")
-_KANA = re.compile("[぀-ヿ一-鿿]")
+# Double-byte Japanese pages: the automaton of their well-formed pairs, where lead and trail may be ASCII.
+_EAST_PAGES = (("euc_jp", re.compile(rb"(?:[\xa1-\xf4][\xa1-\xfe]|\x8e[\xa1-\xdf]|\x8f[\xa1-\xfe]{2})+")), ("cp932", re.compile(rb"(?:[\x81-\x9f\xe0-\xef][\x40-\x7e\x80-\xfc]|[\xa1-\xdf])+")))
+_KANA = re.compile("[぀-ヿ、。]")
+_THREE = re.compile(rb"(?:\x8f[\xa1-\xfe]{2})+\Z")
 
 
 def _east(part: str) -> str:
-    """EUC-JP bytes shown as Western characters, decoded where they are whole."""
-    def back(m: re.Match) -> str:
-        try:
-            new = m[0].encode("latin-1").decode("euc_jp")
-        except UnicodeError:
-            return m[0]
-        return new if "\x8f" in m[0] or len(new) > 1 and len(_KANA.findall(new)) == len(new) else m[0]
-    return _EAST_RUN.sub(back, part)
+    """Japanese double-byte text shown as Western characters, decoded where its pairs are whole."""
+    table = _PAGES["cp1252"]
+    if sum(c > "\x7f" for c in part) < 3 or any(c > "\x7f" and c not in table and ord(c) > 0xFF for c in part):
+        return part
+    data = bytes(ord(c) if ord(c) < 0x80 else table.get(c, ord(c)) for c in part)
+    for page, automaton in _EAST_PAGES:
+        out, at = [], 0
+        for m in automaton.finditer(data):
+            try:
+                text = m[0].decode(page)
+            except UnicodeDecodeError:
+                continue
+            kana = len(_KANA.findall(text))
+            if len(text) >= 3 and kana >= 0.25 * len(text) or len(text) >= 2 and kana == len(text) and not m[0].isascii() or page == "euc_jp" and _THREE.match(m[0]):
+                out += [part[at:m.start()], text]
+                at = m.end()
+        if out:
+            return "".join(out) + part[at:]
+    return part
+
+
+_LINES = re.compile(r"(\n)")
+
+
+def _whole_lines(text: str) -> str:
+    """Lines of Japanese or Cyrillic text that were read as Western."""
+    out = []
+    for x in _LINES.split(text):
+        if not x.isascii():
+            x = _east(x)
+            if not _CYR_WORD.search(x):
+                x = _cyrillic_part(x)
+        out.append(x)
+    return "".join(out)
 
 
 def _pages_swapped(text: str) -> str:
     out = []
     for x in _PART.split(text):
-        out.append(x if x.isascii() else _western_part(_east(_cyrillic_part(x))))
+        out.append(x if x.isascii() else _western_part(_cyrillic_part(x)))
     return "".join(out)
 
 
@@ -265,7 +302,7 @@ def repair(text: str | None) -> tuple[bool, str | None, bool]:
     """(damaged, text with every restorable span restored, whether no character is lost for good)."""
     if not text or text.isascii() or _HARMLESS.issuperset(_RUN.findall(text)):
         return False, text, True
-    now = text
+    now = _whole_lines(text)
     for _ in range(MAX_ROUNDS):
         if (new := _decode_spans(now)) == now:
             break

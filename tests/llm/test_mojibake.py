@@ -31,6 +31,18 @@ def test_correct_text_stays(text):
     assert M.repair(text) == (False, text, True)
 
 
+@pytest.mark.parametrize("true", ["euc_jp", "cp932"])
+def test_japanese_as_western(true):
+    text = "昨日の作業では、古い索引を再作成しました。"
+    broken = "".join(bytes([b]).decode("cp1252") if bytes([b]).decode("cp1252", "ignore") else chr(b) for b in text.encode(true))
+    assert M.repair(f"Elif: {broken}") == (True, f"Elif: {text}", True)
+
+
+def test_cyrillic_as_western():
+    broken = TEXTS[5].encode("cp1251").decode("cp1252")
+    assert M.repair(broken) == (True, TEXTS[5], True)
+
+
 def test_lost_characters():
     assert M.repair("Ren�e said")[0::2] == (True, False)
 
