@@ -89,6 +89,7 @@ class Normalized:
 
     def __init__(self, text: str, low: str | None = None):
         self.source, parts, at, n = text, [], 0, 0
+        self.spelled: list[tuple[int, int]] = []  # runs of spelled digits
         self.marks, self.shifts = [0], [(0, 0, 1)]  # where a stretch begins; its source start, and end of a replaced stretch
         last = -1
         for a, b, new in _edits(text, text.lower() if low is None else low):
@@ -102,6 +103,8 @@ class Normalized:
             self.marks.append(n)
             self.shifts.append((b, b, 1))
             at = last = b
+            if b - a > 3 * len(new) > 18 and new.isdigit():
+                self.spelled.append((n - len(new), n))
         self.text = "".join(parts) + text[at:] if parts else text
         self.plain = not parts
 
@@ -237,7 +240,7 @@ def _phones(t: str):
             continue
         done = m.end()
         digits = sum(map(str.isdigit, re.split(r"(?i)ext|x", m[0])[0]))
-        if 9 <= digits <= 15 and not _NOT_PHONE.search(t, max(0, m.start() - 16), m.start()):
+        if 9 <= digits <= 15 and not _NOT_PHONE.search(t[max(0, m.start() - 16):m.start()]):
             yield m.span()
 
 
@@ -253,7 +256,7 @@ _ID_HINTS = ("passport", "ssn", "social", "dni", " nie", " nif", "pesel", "tax i
 
 def _id_numbers(t: str):
     for m in _ID.finditer(t):
-        if _LABELLED.search(t, max(0, m.start() - 60), m.start()):
+        if _LABELLED.search(t[max(0, m.start() - 60):m.start()]):
             yield m.span()
 
 
@@ -291,6 +294,7 @@ def find(content: str | None, people: People) -> list[tuple[str, int, int]]:
     if any(h in low for h in _ID_HINTS):
         spans += [("id_number", a, b) for a, b in _id_numbers(t)]
     spans += [("phone", a, b) for a, b in _phones(t)]
+    spans += [("phone", a, b) for a, b in n.spelled if 9 <= b - a <= 15]
     spans += [("name", a, b) for a, b in people.spans(t)]
     out: list[tuple[str, int, int]] = []
     taken: list[tuple[int, int]] = []

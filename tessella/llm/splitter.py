@@ -64,7 +64,7 @@ def _tail(text: str, start: int, end: int, overlap: int) -> int:
         if word == word_end:
             break
         if word == least and word > start and text[word - 1] not in " \t\r\n":
-            return least if n == 0 else at  # cut within a word only where nothing else overlaps
+            return least if end - at < 2 * overlap else at  # cut within a word only where little else overlaps
         at, n = word, n + 1
     return at
 
