@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def adf_text(tree: str | None) -> str:
@@ -43,6 +44,6 @@ def adf_text(tree: str | None) -> str:
     return "".join(out).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def adf_to_text(trees: pd.Series) -> pd.Series:
     return trees.map(adf_text)

@@ -12,6 +12,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 class Embedder(Protocol):
@@ -46,7 +47,7 @@ def model_key(provider: str, model: str) -> str:
 
 def embed_column(texts: DataFrame, embedder: Embedder, text_col: str = "content", batch: int = 64) -> DataFrame:
     """`texts` with an `embedding` column."""
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def run(s: pd.Series) -> pd.Series:
         parts = [embedder.embed(s.iloc[i:i + batch].fillna("").tolist()) for i in range(0, len(s), batch)]
         return pd.Series([row.tolist() for p in parts for row in np.asarray(p, np.float32)])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import words
 from .lexical import top_k
@@ -22,7 +23,7 @@ def overlap_score(query: Column, content: Column) -> Column:
 
 def model_score(predict: Callable[[list[tuple[str, str]]], list[float]]) -> Scorer:
     """A scorer of a model that rates pairs of texts, batch by batch."""
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(query: pd.Series, content: pd.Series) -> pd.Series:
         return pd.Series(predict(list(zip(query, content))), dtype="float64")
 
