@@ -1,8 +1,7 @@
 """Conversations put together from message rows.
 
 Rows are keyed by channel and root, ordered by time as a number, and judged by
-a finite-state automaton whose input letters are `root`, `barred root`, `reply`
-and `silent reply`.  Its transition functions compose associatively, so every
+a finite-state automaton (`step`, `verdict`).  Its transition functions compose associatively, so every
 task composes the rows it has and only one state per conversation and task is
 shuffled: a conversation with a third of all rows is no hot spot.  Positions
 are counted per time slice and shifted by the slices before.
@@ -23,6 +22,35 @@ from pyspark.sql import functions as F
 SYSTEM_SUBTYPES = ("channel_join", "channel_leave", "channel_topic", "channel_purpose", "channel_name", "bot_message", "file_comment", "tombstone")
 SLICE_SECONDS = 6 * 3600
 
+# The automaton reads a conversation's rows in time order.  Its state is (root, turns): what the root was, and how many
+# turns there were, counted up to two; a counter beside it holds the replies.  No letter ever leads back, so transition
+# functions commute, and a conversation's end state is the greatest root letter with the turns added up.
+LETTERS = ("root", "silent root", "barred root", "reply", "silent reply")
+ROOT_STATES = ("absent", "open", "barred")
+
+
+def step(state: tuple[str, int], letter: str) -> tuple[str, int]:
+    """One transition."""
+    root, turns = state
+    if letter.endswith("root"):
+        root = max(root, "barred" if letter == "barred root" else "open", key=ROOT_STATES.index)
+    return root, min(2, turns + (letter in ("root", "reply")))
+
+
+def verdict(letters: list[str], declared: int) -> str:
+    """What the automaton says of a whole conversation whose root declares so many replies."""
+    state = ("absent", 0)
+    for letter in letters:
+        state = step(state, letter)
+    replies = sum(letter.endswith("reply") for letter in letters)
+    if state[0] == "absent":
+        return "root missing"
+    if state[0] == "barred":
+        return "root by the system"
+    if declared > replies:
+        return "replies missing"
+    return "kept" if state[1] == 2 else "empty"
+
 
 def _number(c: str) -> Column:
     return F.expr(f"try_cast(trim({c}) AS decimal(24, 6))")
@@ -46,18 +74,27 @@ def keyed(messages: DataFrame) -> DataFrame:
     )
 
 
+def letter() -> Column:
+    """The automaton's letter of a row of `keyed`."""
+    return F.when(F.col("is_root"), F.when(F.col("system"), "barred root").when(F.col("left_out"), "silent root").otherwise("root")).otherwise(F.when(F.col("left_out"), "silent reply").otherwise("reply"))
+
+
 def verdicts(rows: DataFrame) -> DataFrame:
-    """(channel_id, root, state): 'kept', or why the automaton refuses the conversation."""
-    n = rows.groupBy("channel_id", "root").agg(
-        F.max(F.when(F.col("is_root"), F.when(F.col("system"), F.lit(2)).otherwise(F.lit(1)))).alias("root_letter"),
+    """(channel_id, root, state): 'kept', or why the automaton refuses the conversation.
+
+    `step` composed over the rows of each task, and over tasks: `verdict` without bringing a conversation together."""
+    read = rows.withColumn("letter", letter())
+    root = F.when(F.col("letter") == "barred root", ROOT_STATES.index("barred")).when(F.col("letter").endswith("root"), ROOT_STATES.index("open")).otherwise(ROOT_STATES.index("absent"))
+    n = read.groupBy("channel_id", "root").agg(
+        F.max(root).alias("at_root"),
+        F.sum(F.col("letter").isin("root", "reply").cast("int")).alias("turns"),
+        F.sum(F.col("letter").endswith("reply").cast("int")).alias("replies"),
         F.max(F.when(F.col("is_root"), F.coalesce("reply_count", F.lit(0)))).alias("declared"),
-        F.sum(F.when(F.col("is_root"), 0).otherwise(1)).alias("others"),
-        F.sum(F.when(F.col("left_out"), 0).otherwise(1)).alias("turns"),
     )
     state = (
-        F.when(F.col("root_letter").isNull(), "root missing")
-        .when(F.col("root_letter") == 2, "root by the system")
-        .when(F.col("declared") > F.col("others"), "replies missing")
+        F.when(F.col("at_root") == ROOT_STATES.index("absent"), "root missing")
+        .when(F.col("at_root") == ROOT_STATES.index("barred"), "root by the system")
+        .when(F.col("declared") > F.col("replies"), "replies missing")
         .when(F.col("turns") < 2, "empty")
         .otherwise("kept")
     )

@@ -41,6 +41,7 @@ ROWS = [
     row("d", "1", n=1), row("d", "2", "1", None),  # nothing left but the root
     row("e", None, "1"), row(None, "1", n=1), row("e", "x", "1"), row("e", "", "1"), row("e", "5", None, n=None), row("e", "6", ""),
     row("f", "20000", n=1, user="s"), *(row("f", str(20000 + 7200 * k), "20000", f"m{k}", user="bot" if k % 2 else "s") for k in range(1, 30)),  # several slices
+    row("h", "1", None, " ", n=2), row("h", "2", "1"), row("h", "3", "1"),
     row("g", "5", "5", n=None), row("g", "4", "5", " "), row("g", "6", "5"), row("g", "6", "5"),
 ]
 
@@ -52,6 +53,17 @@ def test_equals_brute_force(spark):
     assert {r.channel_id: r.state for r in C.verdicts(C.keyed(df)).where("channel_id in ('b', 'c', 'd')").collect() if r.root in (Decimal("1.5"), Decimal(1))} == {"b": "replies missing", "c": "root by the system", "d": "empty"}
 
 
+def test_composed_automaton_equals_single_steps(spark):
+    rows = C.keyed(spark.createDataFrame(ROWS, SCHEMA)).withColumn("letter", C.letter())
+    convs = {}
+    for r in sorted(rows.collect(), key=lambda r: r["at"]):
+        c = convs.setdefault((r.channel_id, r.root), [[], 0])
+        c[0].append(r.letter)
+        c[1] = (r.reply_count or 0) if r.is_root else c[1]
+    assert {(r.channel_id, r.root): r.state for r in C.verdicts(rows.drop("letter")).collect()} == {k: C.verdict(*v) for k, v in convs.items()}
+    assert {x for v in convs.values() for x in v[0]} == set(C.LETTERS)
+
+
 def test_roles_and_latest_text(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     users = spark.createDataFrame([("bot", True), ("bot", True), ("s", None), (None, None)], "id string, is_bot boolean")
