@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions.filters import parse_filters
 from .operators import cache, collection, lexical, search
 from .operators.chunking import chunk_documents
+from .operators.numbering import numbered
 from .operators.prompt import contexts, messages
 from .operators.providers import AnswerProvider, Embedder, HashEmbedder, model_key
 from .operators.rerank import Scorer, overlap_score
@@ -27,14 +28,10 @@ class QueryResult(NamedTuple):
 
 
 def in_chunk_order(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Chunks with chunk_ord, the number of their place among all: by source, then document, then index.
-
-    Counted per source and bucket of documents first, so that no single task orders the corpus."""
+    """Chunks with chunk_ord, the number of their place among all: by source, then document, then index."""
     order = [c for c in ("source_rank", "src_ord", "ord") if c in docs.columns]
     keyed = chunks.join(docs.select(F.col("id").alias("doc_id"), *order), "doc_id")
-    sort = [*order, "doc_id", "chunk_idx"]
-    ranged = keyed.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    return ranged.withColumn("chunk_ord", F.col("at")).drop("part", "at", *order)
+    return numbered(keyed, [*order, "doc_id", "chunk_idx"], "chunk_ord").drop(*order)
 
 
 class Index:

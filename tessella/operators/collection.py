@@ -6,11 +6,12 @@ end.  Functions return the new state; `store.Store` publishes it atomically.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filters import CORE, compile_filter
 from ..schema import DOCUMENT, META, RECORD, text_value
+from .numbering import numbered
 
 COLUMNS = ("id", "source", "content", "title", "metadata")
 
@@ -25,12 +26,10 @@ def upsert(state: DataFrame, batch: DataFrame, order: Column | str = "src_ord")
     new = batch.withColumn("__o", o).groupBy("id").agg(F.max_by(F.struct(*COLUMNS[1:]), "__o").alias("r"), F.min("__o").alias("first"))
     top = state.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("top"))
     old = state.select("id", F.struct(*COLUMNS[1:]).alias("old"), "ord")
-    both = old.join(new, "id", "full_outer").crossJoin(F.broadcast(top))  # one row
-    # Places of new records need their order only, not their number: batches are ranked by where they came.
-    w = Window.partitionBy(F.col("ord").isNull()).orderBy("first", "id")
-    merged = both.withColumn("ord", F.coalesce("ord", F.col("top") + F.row_number().over(w)))
-    merged = merged.select("id", F.coalesce("r", "old").alias("r"), "ord")
-    return merged.select("id", *(F.col(f"r.{c}").alias(c) for c in COLUMNS[1:]), "ord")
+    known = old.join(new, "id", "left").select("id", F.coalesce("r", "old").alias("r"), "ord")
+    added = numbered(new.join(old.select("id"), "id", "left_anti"), ["first", "id"], "nth", start=1)
+    added = added.crossJoin(F.broadcast(top)).select("id", "r", (F.col("top") + F.col("nth")).alias("ord"))  # one row
+    return known.unionByName(added).select("id", *(F.col(f"r.{c}").alias(c) for c in COLUMNS[1:]), "ord")
 
 
 def select_records(state: DataFrame, source: str | None = None, conditions: dict | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators import collection as C
 from ..operators import dense, evaluation, fusion, inspect, lexical, prompt, search
 from ..operators.cache import assemble, misses
 from ..operators.chunking import chunk_documents, word_windows
-from ..operators.rerank import rerank
+from ..operators.numbering import numbered
 from ..schema import text_metadata
 from ..sources import normalize, scrape
 from ..streaming.ingest import activity
@@ -208,7 +208,9 @@ def grep_counts(s, d):
 
 # --- Lexical and dense search ----------------------------------------------------------------------------------------
 
-_BM = f"""docs AS (SELECT doc_id AS id, {_tok('text')} AS w FROM documents),
+def _bm25(docs: str) -> str:
+    """BM25 of `_ASK` over rows (id, w): common table expressions up to `bmr`, the twenty best of each query."""
+    return f"""docs AS ({docs}),
 stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM docs),
 post AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM docs) GROUP BY id, term),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
@@ -219,6 +221,9 @@ bm AS (SELECT query_id, id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75
 bmr AS (SELECT * FROM (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM bm WHERE score > 0) WHERE rank <= 20 AND score > 0)"""
 
 
+_BM = _bm25(f"SELECT doc_id AS id, {_tok('text')} AS w FROM documents")
+
+
 @_query(f"WITH {_BM} SELECT term, df, round(idf, 6) AS idf FROM idfs")
 def bm25_terms(s, d):
     return lexical.build_index(_docs(s, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
@@ -339,15 +344,14 @@ def list_similarities(s, d):
     return a.join(b, "query_id").where("ra < rb").select("query_id", "id_a", "id_b", F.round(fusion.jaccard(F.col("ca"), F.col("cb")), 6).alias("similarity"))
 
 
-_CHUNK_HITS = f"WITH c AS (SELECT DISTINCT ON (id) * FROM chunks ORDER BY id), m AS (SELECT query_id, id, len(list_intersect(list_distinct({_tok('a.text')}), list_distinct({_tok('c.content')}))) / len(list_distinct({_tok('a.text')}))::DOUBLE AS s FROM {_ASK} a, c WHERE c.source = 'git'), r AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) AS rank FROM m) WHERE rank <= 30)"
+_CHUNK_BM = _bm25(f"SELECT id, {_tok('content')} AS w FROM (SELECT DISTINCT ON (id) * FROM chunks ORDER BY id) WHERE source = 'git'")
 
 
-@_query(f"{_CHUNK_HITS} SELECT query_id, id, record_id, record_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS record_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, record_id ORDER BY rank) AS nth FROM (SELECT *, regexp_replace(id, ':[^:]*$', '') AS record_id FROM r)) WHERE nth = 1) WHERE record_rank <= 10")
+@_query(f"WITH {_CHUNK_BM} SELECT query_id, id, record_id, record_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS record_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, record_id ORDER BY rank) AS nth FROM (SELECT *, regexp_replace(id, ':[^:]*$', '') AS record_id FROM bmr)) WHERE nth = 1) WHERE record_rank <= 10")
 def record_hits(s, d):
-    """Chunks of commits ranked by the words they share with each query, folded to records."""
+    """Chunks of commits found for each query, folded to records."""
     chunks = _read(s, d, "chunks").where("source = 'git'").dropDuplicates(["id"])
-    asked = _asked(s, d).select("query_id", F.col("text").alias("query"))
-    lists = rerank(asked.crossJoin(chunks.select("id", "content")), 30)  # a stated set of queries against all rows
+    lists = lexical.bm25_search(lexical.build_index(chunks), _asked(s, d), 20)
     return search.record_hits(lists, 10).select("query_id", "id", "record_id", "record_rank")
 
 
@@ -466,7 +470,7 @@ def embed_cache_assembled(s, d):
 def _state(s, d) -> DataFrame:
     """Records that came first: those of even length of id, placed by id."""
     rows = _records(s, d).where(F.length("id") % 2 == 0).select(*C.COLUMNS)
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy("id")).cast("bigint") - 1)
+    return numbered(rows, ["id"], "ord")
 
 
 def _batch(s, d) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -38,14 +38,30 @@ def _s(c: Column | str) -> Column:
 
 
 def _names(users: DataFrame) -> DataFrame:
-    """One row: a map of user id to name, for the mentions inside texts (a dimension, so one map fits a row)."""
-    return users.agg(F.map_from_entries(F.collect_list(F.struct("id", F.coalesce("name", "id").alias("name")))).alias("names"))
+    """One row: a map of user id to name."""
+    return users.agg(F.coalesce(F.map_from_entries(F.collect_list(F.struct("id", "name"))), F.expr("CAST(map() AS map<string,string>)")).alias("names"))
+
+
+#: Users whose names fit one map that goes to every task; with more, mentions are joined.
+MAPPED_USERS = 50_000
+
+
+def _with_names(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """`rows` with `names`, a map of user id to name that has those whom the text mentions."""
+    one = users.where("id is not null").groupBy("id").agg(F.min(F.coalesce("name", "id")).alias("name"))
+    if one.limit(MAPPED_USERS + 1).count() <= MAPPED_USERS:
+        return rows.crossJoin(F.broadcast(_names(one)))  # a single row of a checked size
+    texts = rows.select("text").where(F.col("text").contains("<@")).distinct()
+    said = texts.select("text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"<@([\p{L}\p{N}_]+)>"), 1))).alias("id"))
+    # A list has the users that one text mentions.
+    names = said.join(one, "id").groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("id", "name"))).alias("names"))
+    return rows.join(names, "text", "left").withColumn("names", F.coalesce("names", F.expr("CAST(map() AS map<string,string>)")))
 
 
 def _spoken(messages: DataFrame, users: DataFrame) -> DataFrame:
     """Messages with cleaned text and the label of who wrote them."""
     one = users.select(F.col("id").alias("user_id"), F.col("name").alias("u_name"), F.col("title").alias("u_title")).dropDuplicates(["user_id"])
-    rows = messages.crossJoin(F.broadcast(_names(users)))  # a single row
+    rows = _with_names(messages, users)
     rows = rows.withColumn("clean", T.chat_text(_text("text"), F.col("names"))).drop("names")
     return rows.join(one, "user_id", "left").withColumn("label", T.user_label(F.col("u_name"), F.col("u_title"), F.col("user_id"))).drop("u_name", "u_title")
 
@@ -132,7 +148,7 @@ def bookmarks(rows: DataFrame) -> DataFrame:
 
 
 def pins(rows: DataFrame, users: DataFrame) -> DataFrame:
-    rows = rows.crossJoin(F.broadcast(_names(users))).withColumn("clean", T.chat_text(_text("text"), F.col("names")))
+    rows = _with_names(rows, users).withColumn("clean", T.chat_text(_text("text"), F.col("names")))
     return _document(rows, "pin", F.concat(F.lit("pin:"), _text("channel_name"), F.lit(":"), F.coalesce("ts", F.lit("0"))), F.col("clean"), F.concat(F.lit("Pinned in #"), _text("channel_name"), F.lit(": "), F.substring("clean", 1, 60)), {"channel_name": _s("channel_name")})
 
 
@@ -161,8 +177,8 @@ def union_documents(parts: list[DataFrame]) -> DataFrame:
     """All parts in order; of documents with one id the first (by part, then place) stays."""
     ranked = [p.withColumn("source_rank", F.lit(i)) for i, p in enumerate(parts)]
     rows = reduce(DataFrame.unionByName, ranked)
-    w = Window.partitionBy("id").orderBy("source_rank", "src_ord")
-    return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+    first = F.min_by(F.struct(*(c for c in rows.columns if c != "id")), F.struct("source_rank", "src_ord", "content"))
+    return rows.groupBy("id").agg(first.alias("r")).select("id", "r.*")
 
 
 def normalize_all(spark: SparkSession, folder: str) -> DataFrame:

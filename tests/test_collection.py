@@ -51,3 +51,12 @@ def test_json_lines(spark, tmp_path):
     got = C.read_records(spark, str(tmp_path / "r.jsonl")).orderBy("ord").collect()
     assert [r.id for r in got] == ["a", "b"] and got[0].metadata["n"].s == "1" and got[1].metadata == {}
     assert C.read_records(spark, str(tmp_path / "none.jsonl")).count() == 0
+
+
+def test_numbering(spark):
+    from tessella.operators.numbering import numbered
+
+    df = spark.createDataFrame([(i * 7 % 100, str(i)) for i in range(100)], "k int, v string").repartition(9)
+    got = {r.k: r.n for r in numbered(df, ["k"], "n", 5, partitions=7).collect()}
+    assert got == {i: i + 5 for i in range(100)}
+    assert numbered(df.limit(0), ["k"], "n").count() == 0

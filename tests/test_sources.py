@@ -57,6 +57,12 @@ def test_all_sources(spark, folder):
     assert sum(r.source == "bookmark" for r in docs.values()) == 1
 
 
+def test_many_users_are_joined(spark, folder, monkeypatch):
+    few = sorted(tuple(map(str, r)) for r in normalize.normalize_all(spark, folder).collect())
+    monkeypatch.setattr(normalize, "MAPPED_USERS", 0)
+    assert sorted(tuple(map(str, r)) for r in normalize.normalize_all(spark, folder).collect()) == few
+
+
 def test_missing_files_are_empty_and_bad_lines_fail(spark, tmp_path):
     assert normalize.normalize_all(spark, str(tmp_path)).count() == 0
     (tmp_path / "git.jsonl").write_text("{\n")
