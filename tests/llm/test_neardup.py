@@ -46,6 +46,15 @@ def test_pairs_equal_brute_force(spark, seed):
     assert {tuple(r) for r in N.similar_pairs(df).collect()} == brute(items)
 
 
+def test_large_class_of_copies_is_a_star(spark, monkeypatch):
+    monkeypatch.setattr(N, "EXPANDED", 5)
+    base = " ".join(f"z{i}" for i in range(50))
+    items = [("records", f"c{k:03}", base) for k in range(40)] + [("records", "near", base + " more"), ("records", "far", base.replace("z", "y"))]
+    df = spark.createDataFrame([(*x, "c", 1) for x in items], SCHEMA)
+    got = {tuple(r)[1:] for r in N.similar_pairs(df).collect()}
+    assert got == {("c000", f"c{k:03}") for k in range(1, 40)} | {("c000", "near")}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert N.similar_pairs(df).count() == 0
