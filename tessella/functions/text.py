@@ -8,13 +8,16 @@ from datetime import date, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANKS = r"(?U)[\s\x1c-\x1f]+"
+# Every blank but the space.
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def words(c: Column, lower: bool = True) -> Column:
     """Runs of non-blank characters, lower-cased unless told otherwise; null gives an empty array."""
     c = F.coalesce(c, F.lit(""))
-    return F.filter(F.split(F.lower(c) if lower else c, BLANKS), lambda t: t != "")
+    spaced = F.translate(F.lower(c) if lower else c, _BLANKS, " " * len(_BLANKS))
+    # A single character is split without a pattern, and removing is code that Spark generates.
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def approx_tokens(c: Column) -> Column:

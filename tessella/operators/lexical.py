@@ -7,8 +7,10 @@ aggregation, so a term that every chunk has is no single task's work.
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,18 +23,40 @@ class LexicalIndex(NamedTuple):
     stats: DataFrame  # n, avgdl: one row
 
 
+def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """(term, id, tf, dl).  A text's terms are counted where the text is, in Arrow batches: in the JVM the same count would
+    be a shuffle of every word of the corpus."""
+    kind = chunks.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), 500):
+                part = b.slice(at, 500)
+                rows, terms, tfs, dls = [], [], [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    w = text.lower().split() if text else []
+                    n = Counter(w)
+                    rows += [i] * len(n)
+                    terms += n.keys()
+                    tfs += n.values()
+                    dls += [len(w)] * len(n)
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), part.column(0).take(pa.array(rows, pa.int64())), pa.array(tfs, pa.int64()), pa.array(dls, pa.int32())], ["term", "id", "tf", "dl"])
+
+    return chunks.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"term string, id {kind}, tf bigint, dl int")
+
+
 def build_index(chunks: DataFrame, id_col: str = "id", text_col: str = "content", epsilon: float = 0.25) -> LexicalIndex:
     """Postings, idf (a negative one becomes `epsilon` times the mean) and corpus figures.
 
     Null or blank texts count as documents of no terms."""
-    docs = chunks.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).select("id", "w", F.size("w").alias("dl"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = docs.select("id", "dl", F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # stats is one row
+    post = postings(chunks, id_col, text_col)
+    terms = post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("words"))
+    size = terms.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
+    stats = chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(size)).select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avgdl"))  # one row each
+    raw = terms.crossJoin(F.broadcast(stats)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw"))
-    return LexicalIndex(postings, raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf")), stats)
+    return LexicalIndex(post, raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf")), stats)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
