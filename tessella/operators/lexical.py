@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..tables import materialize
 
 
 class LexicalIndex(NamedTuple):
@@ -50,7 +51,8 @@ def build_index(chunks: DataFrame, id_col: str = "id", text_col: str = "content"
 
     Null or blank texts count as documents of no terms."""
     post = postings(chunks, id_col, text_col)
-    terms = post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("words"))
+    # Three figures are drawn from this table: it is written once instead of counted three times.
+    terms = materialize(post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("words")))
     size = terms.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
     stats = chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(size)).select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avgdl"))  # one row each
     raw = terms.crossJoin(F.broadcast(stats)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
