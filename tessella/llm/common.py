@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,20 +17,3 @@ def contents(spark: SparkSession, folder: str) -> DataFrame:
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "records").select(F.lit("records").alias("tbl"), F.col("id").alias("rec_id"), "source", "content")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which every executor can reach; a local one is set only where none is."""
-    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
-        import tempfile
-
-        root = f"file://{tempfile.gettempdir()}/tessella-shared"
-        spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return f"{root}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """`df` written as a table in the shared folder and read back: its lineage is cut, and losing an executor loses nothing."""
-    path = shared_folder(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
