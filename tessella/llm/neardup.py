@@ -188,27 +188,32 @@ def similar_classes(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return _verified(possible.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b"), threshold)
 
 
-#: Ids of one class that are paired with each other and with every similar id.  A larger class of copies is shown as a
-#: star: all its ids with the least one, which alone stands for the class in other pairs (`near_duplicate_groups` has the
-#: membership of all); pairs of copies would grow with its square.
+#: Ids of one class above which `similar_pairs` shows the class as a star unless it is asked for every pair: all its ids
+#: with the least one, which alone stands for the class in other pairs.  A class is a set of tokens, so its contents may
+#: differ in case, order, spacing and repetition.
 EXPANDED = 2000
 
 
-def similar_pairs(df: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """(tbl, id_a, id_b), id_a < id_b: every pair of different ids of one table above the threshold; classes of more than
-    `EXPANDED` copies as stars."""
+def similar_pairs(df: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, every: bool = False) -> DataFrame:
+    """(tbl, id_a, id_b), id_a < id_b: every pair of different ids of one table above the threshold; unless `every`,
+    classes of more than `EXPANDED` ids as stars."""
     sets = materialize(token_sets(df, least))
     links = similar_classes(sets, threshold)
     members = sets.select("cls", "tbl", "rec_id").distinct()
-    # Only classes that are too large are listed here: few, and as a rule none.
-    large = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("rec_id").alias("rep")).where(F.col("n") > EXPANDED).select("cls", "rep")
-    marked = members.join(large, "cls", "left")
-    shown = marked.where("rep is null or rep = rec_id").select("cls", "tbl", "rec_id")
+    shown, stars = members, None
+    if not every:
+        # Only classes that are too large are listed here: few, and as a rule none.
+        large = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("rec_id").alias("rep")).where(F.col("n") > EXPANDED).select("cls", "rep")
+        marked = members.join(large, "cls", "left")
+        shown = marked.where("rep is null or rep = rec_id").select("cls", "tbl", "rec_id")
+        stars = marked.where("rep <> rec_id").select("tbl", F.col("rep").alias("x"), F.col("rec_id").alias("y"))
     left, right = shown.toDF("a", "tbl", "x"), shown.select("cls", "rec_id").toDF("b", "y")
     across = links.join(left, "a").join(right, "b").select("tbl", "x", "y")
     equal = left.join(right.withColumnRenamed("b", "a"), "a").where("x < y").select("tbl", "x", "y")
-    stars = marked.where("rep <> rec_id").select("tbl", F.col("rep").alias("x"), F.col("rec_id").alias("y"))
-    return across.unionByName(equal).unionByName(stars).where("x <> y").select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    pairs = across.unionByName(equal)
+    if stars is not None:
+        pairs = pairs.unionByName(stars)
+    return pairs.where("x <> y").select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def near_duplicate_groups(df: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, rounds: int = 30) -> DataFrame:

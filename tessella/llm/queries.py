@@ -12,7 +12,7 @@ from .common import contents, read, records
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.similar_pairs(contents(spark, folder))
+    return neardup.similar_pairs(contents(spark, folder), every=True)
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:

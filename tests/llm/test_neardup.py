@@ -55,6 +55,18 @@ def test_large_class_of_copies_is_a_star(spark, monkeypatch):
     assert got == {("c000", f"c{k:03}") for k in range(1, 40)} | {("c000", "near")}
 
 
+def test_every_pair_of_a_large_class(spark, monkeypatch, tmp_path):
+    from tessella.llm import queries
+
+    monkeypatch.setattr(N, "EXPANDED", 5)
+    words = [f"z{i}" for i in range(50)]
+    items = [("records", f"c{k:03}", " ".join(words[k:] + words[:k])) for k in range(12)]  # one set, twelve texts
+    items += [("records", "near", " ".join(words) + " more"), ("records", "far", " ".join(words).replace("z", "y"))]
+    df = spark.createDataFrame([(*x, "c", 1) for x in items], SCHEMA)
+    monkeypatch.setattr(queries, "contents", lambda spark, folder: df)
+    assert {tuple(r) for r in queries.p1_found(spark, str(tmp_path)).collect()} == brute(items)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert N.similar_pairs(df).count() == 0
