@@ -503,6 +503,29 @@ def catalog_clear(s, d):
     return C.clear(_state(s, d), "slack", {"message_count": 2}).select("id", "ord")
 
 
+def _catalog(s, d) -> DataFrame:
+    """All records, placed by id."""
+    return numbered(_records(s, d).select(*C.COLUMNS), ["id"], "ord")
+
+
+_CATALOG = f"(SELECT *, row_number() OVER (ORDER BY id) - 1 AS ord FROM {_REC})"
+
+
+@_query(f"SELECT id, ord FROM {_CATALOG} WHERE id NOT IN (SELECT id FROM records WHERE source = 'git')")
+def catalog_delete_all(s, d):
+    return C.delete(_catalog(s, d), _read(s, d, "records").where("source = 'git'").select("id")).select("id", "ord")
+
+
+@_query(f"SELECT id, ord FROM {_CATALOG} WHERE source = 'slack' AND lower(metadata['message_count']) = '2'")
+def catalog_select_all(s, d):
+    return C.select_records(_catalog(s, d), "slack", {"message_count": 2}).select("id", "ord")
+
+
+@_query(f"SELECT id, ord FROM {_CATALOG} WHERE NOT (source = 'slack' AND coalesce(lower(metadata['message_count']) = '2', false))")
+def catalog_clear_all(s, d):
+    return C.clear(_catalog(s, d), "slack", {"message_count": 2}).select("id", "ord")
+
+
 @_query(f"SELECT id, CASE WHEN trim(coalesce(id, '')) = '' THEN 'id must not be blank' WHEN trim(coalesce(source, '')) = '' THEN 'source must not be blank' WHEN content IS NULL THEN 'content must be text' WHEN title IS NULL THEN 'title must be text' END AS problem FROM {_REC} WHERE content IS NULL OR title IS NULL OR trim(coalesce(source, '')) = ''")
 def record_problems(s, d):
     return C.problems(_records(s, d))

@@ -39,6 +39,15 @@ def test_query(spark, sql, name):
     assert got == Counter(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
 
 
+def test_catalog_queries_take_all_records(spark, sql):
+    q = workload.queries()
+    ids = {r[0] for r in sql.execute("SELECT DISTINCT id FROM records").fetchall()}
+    gone = {r[0] for r in sql.execute("SELECT id FROM records WHERE source = 'git'").fetchall()}
+    assert {r.id for r in q["catalog_delete_all"](spark, DATA).collect()} == ids - gone
+    picked, left = ({r.id for r in q[f"catalog_{k}_all"](spark, DATA).collect()} for k in ("select", "clear"))
+    assert picked | left == ids and not picked & left
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
