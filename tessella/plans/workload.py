@@ -355,6 +355,17 @@ def record_hits(s, d):
     return search.record_hits(lists, 10).select("query_id", "id", "record_id", "record_rank")
 
 
+_ALL_CHUNK_BM = _bm25(f"SELECT id, {_tok('content')} AS w FROM (SELECT DISTINCT ON (id) * FROM chunks ORDER BY id)")
+
+
+@_query(f"WITH {_ALL_CHUNK_BM} SELECT query_id, id, record_id, record_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS record_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, record_id ORDER BY rank) AS nth FROM (SELECT *, regexp_replace(id, ':[^:]*$', '') AS record_id FROM bmr)) WHERE nth = 1) WHERE record_rank <= 10")
+def record_hits_all(s, d):
+    """Chunks of every source found for each query, folded to records."""
+    chunks = _read(s, d, "chunks").dropDuplicates(["id"])
+    lists = lexical.bm25_search(lexical.build_index(chunks), _asked(s, d), 20)
+    return search.record_hits(lists, 10).select("query_id", "id", "record_id", "record_rank")
+
+
 # --- Chunks ----------------------------------------------------------------------------------------------------------
 
 

@@ -48,6 +48,12 @@ def test_catalog_queries_take_all_records(spark, sql):
     assert picked | left == ids and not picked & left
 
 
+def test_record_hits_cover_every_source(spark, sql):
+    of = dict(sql.execute("SELECT id, any_value(source) FROM chunks GROUP BY id").fetchall())
+    hit = {of[r.id] for r in workload.queries()["record_hits_all"](spark, DATA).collect()}
+    assert len(hit - {"git"}) > 1
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
