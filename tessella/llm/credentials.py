@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS, THRESHOLD = 4000, 0.5
 MASK = "[REDACTED]"
 
+# Words that make a key a credential.
+_BEFORE_KEY = frozenset("api access signing private secret encryption auth account service master shared".split())
 # Words that name credentials.
-_NAMES = r"pass(?:word|wd|phrase|code)?(?!port|age|ing|ed\b|es\b|ive|enger)|pwd|\bpw|secret|token|api[_-]?key|access[_-]?key|signing[_-]?key|private[_-]?key|encryption[_-]?key|credentials?|client[_-]?secret"
+_NAMES = rf"pass(?:word|wd|phrase|code)?(?!port|age|ing|ed\b|es\b|ive|enger)|pwd|\bpw|secret|token|(?:{'|'.join(sorted(_BEFORE_KEY))})[_-]?key|credentials?|client[_-]?secret"
 # Token formats that vendors publish.
 _VENDOR = re.compile(
     r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abeprs]-[\w-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{12,}"
@@ -67,6 +69,9 @@ _SHORT_FLAG = re.compile(r"\s(?:-u|--user[= ])\s?(?P<key>\S+)\s(?:[^|;]*\s)?-p\s
 _BEARER = re.compile(r"(?i)\b(?P<key>bearer|basic)\s+(?P<val>[^\s'\"`<>]{6,})")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_BODY = re.compile(r"^[\s+\-\"'>#*/\\n]*[A-Za-z0-9+/=]{16,}")
+# Between BEGIN and body: blank lines and headers ("Proc-Type: 4,ENCRYPTED", "Version: ..."), quoted or in a diff like the body.
+_KEY_HEADER = re.compile(r"^[\s+\-\"'>#*/\\n]*(?:[A-Z][A-Za-z0-9-]*:(?:\s.*)?)?$")
+_AROUND_BODY = " \t\r\"'`>#*,;+-"
 _PLACEHOLDER = re.compile(
     r"(?i)^[\"'`]*(?:\$|%[({sd]|\{\{|\{[a-z_.]*\}|<|\[|\(|env\b|process\.env|os\.|await\b|var\.|vault\b|secrets?\.|data\.|none\b|null\b|nil\b|true\b|false\b|str\b|string\b|bytes\b|int\b|any\b|optional|undefined\b|\*+$|x+$|\.+$|-+$|_+$|0+$)"
     r"|example|changeme|change[_-]me|your[_-]|placeholder|redacted|dummy|\bvault[./:]|\{\{|\$\{|^x{4,}|\*{3,}|todo\b|^<|getenv|environ"
@@ -127,7 +132,6 @@ def _parts(key: str) -> list[str]:
 
 # Last parts of an identifier that hold a credential.
 _LAST = frozenset("password passwd passphrase passcode pass pwd pw secret token apikey accesskey signingkey credential credentials pgpassword".split())
-_BEFORE_KEY = frozenset("api access signing private secret encryption auth account service master shared".split())
 
 
 def names_credential(key: str) -> bool:
@@ -135,6 +139,27 @@ def names_credential(key: str) -> bool:
     return bool(p) and (p[-1] in _LAST or p[-1] == "key" and len(p) > 1 and p[-2] in _BEFORE_KEY)
 
 
+def _has_body(content: str, at: int) -> bool:
+    """Whether the lines from `at` on begin a key's body, after blank lines and headers and before the END line.
+
+    After those, a line of letters alone is a body only if an END line follows: it may be a word of the text."""
+    end, again = content.find("-----END", at), content.find("-----BEGIN", at)
+    closed = end >= 0 and not 0 <= again < end
+    to = min((x for x in (end, again) if x >= 0), default=len(content))
+    first = at
+    while at < to:
+        stop = content.find("\n", at)
+        stop = len(content) if stop < 0 else stop
+        line = content[at:stop]
+        if at == first and _KEY_BODY.match(line):
+            return True
+        if not _KEY_HEADER.match(line):
+            body = re.sub(r"(?:\\[rn])+$", "", line.strip(_AROUND_BODY))
+            return bool(re.fullmatch("[A-Za-z0-9+/=]{16,}", body)) and (closed or any(map(str.isdigit, body)))
+        at = stop + 1
+    return False
+
+
 def candidates(content: str | None) -> list[Candidate]:
     """Candidate values of a content, line by line."""
     out: list[Candidate] = []
@@ -161,8 +186,7 @@ def candidates(content: str | None) -> list[Candidate]:
 
         for m in _KEY_BLOCK.finditer(line):
             rest = line[m.end():]
-            after = content[b + 1:content.find("\n", b + 1) if content.find("\n", b + 1) > 0 else len(content)]
-            if re.search(r"[A-Za-z0-9+/=]{16,}", rest) or _KEY_BODY.match(after):
+            if re.search(r"[A-Za-z0-9+/=]{16,}", rest) or _has_body(content, b + 1):
                 end = content.find("-----END", b)
                 stop = content.rfind("\n", 0, end) if end > 0 else b
                 add([(m.end(), max(len(line), stop - a))], "private key", "block", "block")

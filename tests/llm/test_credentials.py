@@ -63,3 +63,26 @@ def test_table(spark, scorer):
     assert got["1"].redacted == "x\n+api_key = '[REDACTED]'" and got["2"].redacted is None and got["3"].n_values == 0
     assert C.find_credentials(df.limit(0)).count() == 0
     assert C.train(df).score(C.candidates(data[0][2])[0]) >= 0.5
+
+
+@pytest.mark.parametrize("prefix", ["", "+"])
+@pytest.mark.parametrize("kind, headers", [("PGP PRIVATE KEY BLOCK", [""]), ("PGP PRIVATE KEY BLOCK", ["Version: GnuPG v2", "Comment: of the build", ""]), ("RSA PRIVATE KEY", ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC,0123456789ABCDEF0123", ""])])
+def test_key_block_with_headers(kind, headers, prefix):
+    lines = [f"-----BEGIN {kind}-----", *headers, "lQOYBGR1abcDEF0123456789abcdefGHIJ", "x7Kp==", f"-----END {kind}-----"]
+    text = "a text\n" + "\n".join(prefix + x for x in lines) + "\nend\n"
+    scorer = C.Scorer(C.Markov.fit(["some words"]), None)
+    assert [r[0] for r in C.scan(text, scorer)] == [2]
+    assert "lQOYBGR1abc" not in C.redact(text, [r[1:3] for r in C.scan(text, scorer)])
+
+
+@pytest.mark.parametrize("body", ["", "\n\nAuthenticationAndAuthorization\n", "\nVersion: 2\n\nplain words follow\n", "\n\n-----END PRIVATE KEY-----\nlQOYBGR1abcDEF0123456789\n"])
+def test_key_block_without_body(body):
+    assert not [c for c in C.candidates("-----BEGIN PRIVATE KEY-----" + body) if c.kind == "block"]
+
+
+@pytest.mark.parametrize("word", sorted(C._BEFORE_KEY))
+def test_every_word_before_key_makes_candidates(word):
+    scorer = C.Scorer(C.Markov.fit(["some words"]), None)
+    for key in (f"{word}_key", f"{word}-key", f"{word.upper()}_KEY", f"{word}Key"):
+        assert C.names_credential(key)
+        assert C.scan(f'{key} = "q8Zr41vTn0Lw"', scorer), key
