@@ -138,6 +138,12 @@ WESTERN_SWAPS = (("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman
 # Letters and signs that the European languages really use.
 _USUAL = frozenset("éèêëàâçùûüôîïœæáíóúñãõäößåøòìýąćęłńśźżčďěňřšťůžľĺŕăâîșțşţőűğıÉÈÊÀÂÇÙÛÔÎŒÁÍÓÚÑÃÕÄÖÜÅØĄĆĘŁŃŚŹŻČŘŠŽŐ’‘“”„–—…€¿¡°ºª«»×±µ→≈")
 _QUIET = frozenset("’‘“”„–—…«»‹›\u00ad\u00a0\u200b\u200c\u200d\u2060\ufeff·‐‑→←−º°")
+# Signs and letters that correct text has, but not between two Latin letters; quotes that enclose something are left alone.
+_BETWEEN = frozenset("“”„«»‹›·º°µ")
+_ENCLOSED = re.compile("“[^“”]*”|„[^„“]*“|«[^«»]*»|»[^«»]*«|‹[^‹›]*›|›[^‹›]*‹")
+# The letters that are frequent in languages with many speakers; where several pages explain a sentence equally
+# well, the one with more of them is taken.
+_FREQUENT = frozenset("éäöüßáãçñøåæàè")
 _LONE = frozenset("óûùöìîíëôòúƒ")
 _CYR_WORD = re.compile("[Ѐ-џҐґ╔╦]{3,}")
 _LATIN1_RUN = re.compile("[À-ÿ\u0080-\u009f‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¡-¿]{5,}")
@@ -182,18 +188,36 @@ def _cyrillic_part(part: str) -> str:
     return best[1] if best[0] > max(0.3, now + 0.15) else part
 
 
+def _latin(c: str) -> bool:
+    return c.isalpha() and ord(c) < 0x250
+
+
+def _dotted(text: str, i: int) -> bool:
+    """Whether the middle dot at `i` is one of Catalan (l·l), of units (kW·h) or of syllables (syl·la·ble)."""
+    a, b = i, i + 1
+    while a and (_latin(text[a - 1]) or text[a - 1] == "·"):
+        a -= 1
+    while b < len(text) and (_latin(text[b]) or text[b] == "·"):
+        b += 1
+    return text[i - 1:i + 2].lower() == "l·l" or max(i - a, b - i - 1) < 3 or text.count("·", a, b) > 1
+
+
 def _odd(text: str) -> int:
     """How many characters stand where no European spelling has them."""
     n = 0
+    enclosing = {k for m in _ENCLOSED.finditer(text) for k in (m.start(), m.end() - 1)}
     for m in _RUN.finditer(text):
         s, e = m.span()
         for i in range(s, e):
             c, p, q = text[i], text[i - 1:i] if i else " ", text[i + 1:i + 2] or " "
+            if c in _BETWEEN and _latin(p) and _latin(q):
+                n += i not in enclosing and not (c == "·" and _dotted(text, i))
+                continue
             if c in _QUIET:
                 continue
             if "\x80" <= c <= "\x9f":
                 n += 1
-            elif c.isalpha():
+            elif c.isalpha() and c != "ˆ":
                 greek = "Α" <= c <= "ω"
                 if greek and (p.isascii() and p.isalpha() or q.isascii() and q.isalpha() or (p + q).strip(" .,:") == ""):
                     n += 1
@@ -203,7 +227,7 @@ def _odd(text: str) -> int:
                     n += 1
                 elif c.islower() and ord(c) < 0x250 and p.isupper() and q.isupper() and c not in "ßµºéïê":
                     n += 1
-            elif unicodedata.category(c)[0] in "SNP" and c not in "€×±µ©®™":
+            elif (c == "ˆ" or unicodedata.category(c)[0] in "SNP") and c not in "€×±µ©®™":
                 word = p.isalpha() and ord(p) < 0x250
                 if word and (q.isalpha() and ord(q) < 0x250) or ((word or q.isascii() and q.isalpha()) and c in "¸·˙ˆ‰¾▀▄≤⌠⌡÷³¹¿ﬂ" and (q if word else p).isspace() and not (c in "¿·‰³¹" and not word)):
                     n += 1
@@ -227,7 +251,7 @@ def _western_part(part: str) -> str:
         good = sum(b in _USUAL for b in changed)
         if good < 0.8 * len(changed):
             continue
-        score = 3 * (odd - _odd(s)) + good / len(changed)
+        score = 3 * (odd - _odd(s)) + good / len(changed) + 1e-3 * sum(b in _FREQUENT for b in changed) / len(changed)
         if odd > 2 * _odd(s) and score > best[0]:
             best = (score, s)
     return best[1]
@@ -295,7 +319,7 @@ def _decode_spans(text: str) -> str:
 
 
 # Single characters that no rule above objects to, wherever they stand: a shortcut, not a rule.
-_HARMLESS = frozenset("’“”–—…€µ→≈éïê")
+_HARMLESS = frozenset("’–—…€→éïê") - _BETWEEN
 
 
 def repair(text: str | None) -> tuple[bool, str | None, bool]:

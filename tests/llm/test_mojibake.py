@@ -53,3 +53,21 @@ def test_table(spark):
     assert got[1] == ("naïve", True) and set(got) == {1, 5}
     assert M.repair_mojibake(df).where("doc_id = 1").count() == 1
     assert M.repair_mojibake(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, true, read", [
+    ("Então foi embora.", "cp1252", "mac_roman"), ("Das Mädchen schön gelöscht.", "cp437", "cp1252"), ("Wir hörten nichts.", "cp850", "cp1252"), ("Alles gelöscht.", "cp1252", "mac_roman"), ("Det må være sant.", "cp1252", "cp850"),
+    ("Det kan være sant.", "cp1252", "cp437"), ("VÅR", "cp1252", "mac_roman"), ("Es muy fácil.", "cp1252", "mac_roman"), ("Litt smørbrød.", "cp1252", "cp850"), ("La Bucureşti.", "iso8859_2", "cp1252"),
+])
+def test_signs_between_letters_are_damage(text, true, read):
+    damaged = text.encode(true).decode(read)
+    assert damaged != text and M.repair(damaged) == (True, text, True)
+
+
+def test_ambiguous_sign_is_damage():
+    assert M.repair("El n·mero uno.")[0]  # á or ú, by the page
+
+
+@pytest.mark.parametrize("text", ["Una col·lecció de llibres.", "Two kW·h and 3 N·m.", "Read syl·la·ble aloud.", "He said“hello”and left.", "Er sagte„Hallo“und ging.", "Wait…what?", "From A→B at 20°C, 5 µm and 3µg.", "Il dit «oui» et nº 5.", "The “quoted” word, it’s well–known."])
+def test_signs_of_correct_text(text):
+    assert M.repair(text) == (False, text, True)
