@@ -8,12 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which every executor can reach; a local one only where none is set."""
-    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
+    """A new path below spark.checkpoint.dir, which every executor can reach.
+
+    Where none is set, a local run gets a temporary folder and a cluster an error: its executors would each write to
+    their own disk.  The folder is removed when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         root = f"file://{tempfile.gettempdir()}/tessella-shared"
-    return f"{root}/{uuid.uuid4().hex}"
+    path = f"{root}/{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return f"{path}/table"
 
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -21,3 +33,11 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Deletes the files of a materialized table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p.getParent(), True)
