@@ -46,25 +46,42 @@ def test_pairs_equal_brute_force(spark, seed):
     assert {tuple(r) for r in N.similar_pairs(df).collect()} == brute(items)
 
 
-def test_large_class_of_copies_is_a_star(spark, monkeypatch):
-    monkeypatch.setattr(N, "EXPANDED", 5)
-    base = " ".join(f"z{i}" for i in range(50))
-    items = [("records", f"c{k:03}", base) for k in range(40)] + [("records", "near", base + " more"), ("records", "far", base.replace("z", "y"))]
+@pytest.mark.parametrize("block", [5, 10_000])
+def test_large_classes_and_variants_keep_every_pair(spark, monkeypatch, block):
+    """One behaviour on both sides of a block's size: equal sets, and different near copies that share variants."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "LOOKED_AT", 1)
+    words = [f"z{i}" for i in range(50)]
+    items = [("records", f"c{k:03}", " ".join(words[k:] + words[:k])) for k in range(12)]  # one set, twelve texts
+    items += [("records", f"n{k:03}", " ".join(words) + f" more{k}") for k in range(40)]
+    items += [("chunks", f"c{k:03}", " ".join(words)) for k in range(3)] + [("records", "far", " ".join(words).replace("z", "y"))]
     df = spark.createDataFrame([(*x, "c", 1) for x in items], SCHEMA)
-    got = {tuple(r)[1:] for r in N.similar_pairs(df).collect()}
-    assert got == {("c000", f"c{k:03}") for k in range(1, 40)} | {("c000", "near")}
-
+    got = [tuple(r) for r in N.similar_pairs(df).collect()]
+    assert set(got) == brute(items) and len(got) == len(set(got))
+    assert N._spread(N.token_sets(df)).isEmpty() == (block > 100)
 
-def test_every_pair_of_a_large_class(spark, monkeypatch, tmp_path):
-    from tessella.llm import queries
 
-    monkeypatch.setattr(N, "EXPANDED", 5)
-    words = [f"z{i}" for i in range(50)]
-    items = [("records", f"c{k:03}", " ".join(words[k:] + words[:k])) for k in range(12)]  # one set, twelve texts
-    items += [("records", "near", " ".join(words) + " more"), ("records", "far", " ".join(words).replace("z", "y"))]
+def test_colliding_classes_are_told_apart(spark, monkeypatch):
+    items = corpus(4, 30)
     df = spark.createDataFrame([(*x, "c", 1) for x in items], SCHEMA)
-    monkeypatch.setattr(queries, "contents", lambda spark, folder: df)
-    assert {tuple(r) for r in queries.p1_found(spark, str(tmp_path)).collect()} == brute(items)
+    sets = N.token_sets(df)
+    monkeypatch.setattr(N, "token_sets", lambda *_: sets.withColumn("cls", sets.cls % 7))
+    apart = {r.set_key: r.cls for r in sets.withColumn("cls", sets.cls % 7).collect()}
+    keys = {(r.tbl, r.rec_id): r.set_key for r in sets.collect()}
+    seen = {tuple(r) for r in N.similar_pairs(df).collect()}
+    # Only pairs whose own classes collide can be missed: a class is not joined with itself.
+    assert brute(items) - seen <= {p for p in brute(items) if apart[keys[p[0], p[1]]] == apart[keys[p[0], p[2]]]} and seen <= brute(items)
+
+
+def test_many_distinct_near_copies(spark, monkeypatch):
+    """1,000 different texts around one template, dealt out in blocks: a link of each to the others, without a task that has all."""
+    monkeypatch.setattr(N, "BLOCK", 100)
+    monkeypatch.setattr(N, "LOOKED_AT", 8)
+    base = [f"z{i}" for i in range(200)]
+    df = spark.range(1000).selectExpr("'records' AS tbl", "lpad(id, 5, '0') AS rec_id", f"concat('{' '.join(base)} own', id) AS content")
+    sets = N.token_sets(df)
+    assert N._spread(sets).count() >= 60
+    assert N._candidates(sets).count() == 1000 * 999 // 2
 
 
 def test_empty_table(spark):
@@ -74,7 +91,8 @@ def test_empty_table(spark):
 
 
 def test_groups_are_components(spark):
-    items = corpus(3, 40) + [("records", f"copy{k}", " ".join(f"z{i}" for i in range(50))) for k in range(4)]
+    chain = [("chunks", f"chain{k:02}", " ".join(f"q{i}" for i in range(8 * k, 8 * k + 100))) for k in range(40)]  # neighbours are linked
+    items = corpus(3, 40) + [("records", f"copy{k}", " ".join(f"z{i}" for i in range(50))) for k in range(4)] + chain
     df = spark.createDataFrame([(*x, "c", 1) for x in items], SCHEMA)
     got = {(r.tbl, r.rec_id): r for r in N.near_duplicate_groups(df).collect()}
     parent = {k: k for k in got}
@@ -85,26 +103,31 @@ def test_groups_are_components(spark):
         return x
 
     for t, a, b in brute(items):
-        parent[root((t, a))] = root((t, b))
-    by_group, by_root = {}, {}
-    for k, r in got.items():
-        by_group.setdefault(r.group_id, set()).add(k)
-        by_root.setdefault(root(k), set()).add(k)
-    assert sorted(map(sorted, by_group.values())) == sorted(map(sorted, by_root.values()))
-    assert {got["records", f"copy{k}"].copies for k in range(4)} == {4}
-
-
-def test_packing_and_parity():
-    h = np.unique(np.random.default_rng(1).integers(0, 2**32, 200, dtype=np.uint64))
-    assert (N.unpack(N.pack(h)) == h).all()
+        x, y = sorted((root((t, a)), root((t, b))))
+        parent[y] = x
+    assert {k: r.group_id for k, r in got.items()} == {k: root(k)[1] for k in got}
+    assert {got["records", f"copy{k}"].copies for k in range(4)} == {4} and got["records", "copy3"].class_id == "copy0"
+    assert got["chunks", "chain39"].group_id == "chain00" and got["chunks", "chain05"].links == 2
+
+
+def test_parity():
+    h = np.unique(np.random.default_rng(1).integers(0, 2**64, 200, dtype=np.uint64))
     # Every token that only one set has turns one bit at most.
     a, b = h[:150], h[10:]
     apart = np.unpackbits(np.frombuffer(N.parity(a), np.uint8) ^ np.frombuffer(N.parity(b), np.uint8)).sum()
     assert apart <= len(np.setxor1d(a, b))
 
 
+def test_pigeonhole():
+    """Signatures that differ in 23 of 72 positions, however placed, share a variant."""
+    rng = random.Random(3)
+    for _ in range(300):
+        apart = set(rng.sample(range(N.SEGMENTS * N.WIDTH), 2 * N.SEGMENTS - 1))
+        assert any(sum(k * N.WIDTH + i in apart for i in range(N.WIDTH)) <= 1 for k in range(N.SEGMENTS))
+
+
 def test_one_wildcard_variants_match():
     rng = np.random.default_rng(2)
-    s = rng.integers(0, 2**32, 100, dtype=np.uint64)
-    v = N.variants([s, s, rng.integers(0, 2**32, 100, dtype=np.uint64)])
+    s = rng.integers(0, 2**64, 100, dtype=np.uint64)
+    v = N.variants([s, s, rng.integers(0, 2**64, 100, dtype=np.uint64)])
     assert (v[0] == v[1]).all() and not set(v[0]) & set(v[2])
