@@ -45,7 +45,7 @@ def p5_replaced(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return conversations.conversations(read(spark, folder, "messages")).select("channel_id", "root_ts", "pos", "ts")
+    return conversations.conversations(read(spark, folder, "messages"), texts=False)
 
 
 def p3_conversations(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,10 @@
+import functools
+import random
 from datetime import datetime
 from decimal import Decimal
 
+import pytest
+
 from tessella.llm import conversations as C
 
 SCHEMA = "channel_id string, ts string, thread_ts string, text string, reply_count bigint, subtype string, user_id string, scraped_at timestamp, root string, at string"
@@ -50,18 +54,43 @@ def test_equals_brute_force(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     got = [tuple(r) for r in C.conversations(df).select("channel_id", "root_ts", "pos", "ts").collect()]
     assert set(got) == brute(ROWS) and len(got) == len(set(got))
-    assert {r.channel_id: r.state for r in C.verdicts(C.keyed(df)).where("channel_id in ('b', 'c', 'd')").collect() if r.root in (Decimal("1.5"), Decimal(1))} == {"b": "replies missing", "c": "root by the system", "d": "empty"}
+    assert {r.channel_id: r.verdict for r in C.verdicts(C.automaton(C.keyed(df))).where("channel_id in ('b', 'c', 'd')").collect() if r.root in (Decimal("1.5"), Decimal(1))} == {"b": "replies missing", "c": "root by the system", "d": "empty"}
+    assert {tuple(r) for r in C.conversations(df, texts=False).collect()} == brute(ROWS)
+
+
+@pytest.fixture
+def small_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_composed_automaton_equals_single_steps(spark):
-    rows = C.keyed(spark.createDataFrame(ROWS, SCHEMA)).withColumn("letter", C.letter())
+def test_query_reads_as_single_steps_do(spark, small_ranges):
+    """The verdicts of the query against the automaton stepped over each whole conversation, its rows in several ranges."""
+    many = [row("z", str(k), "1", f"m{k}") for k in range(2, 900)] + [row("z", "1", n=898)]
+    rows = C.keyed(spark.createDataFrame(ROWS + many, SCHEMA))
     convs = {}
     for r in sorted(rows.collect(), key=lambda r: r["at"]):
-        c = convs.setdefault((r.channel_id, r.root), [[], 0])
-        c[0].append(r.letter)
-        c[1] = (r.reply_count or 0) if r.is_root else c[1]
-    assert {(r.channel_id, r.root): r.state for r in C.verdicts(rows.drop("letter")).collect()} == {k: C.verdict(*v) for k, v in convs.items()}
-    assert {x for v in convs.values() for x in v[0]} == set(C.LETTERS)
+        c = convs.setdefault((r.channel_id, r.root), [("absent", 0), 0, 0])
+        letter = C.LETTERS[r.letter]
+        c[0] = C.step(c[0], letter)
+        c[1] += letter.endswith("reply")
+        c[2] = max(c[2], 0 if letter.endswith("reply") else r.declared)
+    done = C.automaton(rows)
+    assert done.where("state is not null and channel_id = 'z'").count() > 1, "a long conversation lies in several ranges"
+    assert {(r.channel_id, r.root): r.verdict for r in C.verdicts(done).collect()} == {k: C.verdict(*v) for k, v in convs.items()}
+    assert [r.pos for r in C.conversations(spark.createDataFrame(ROWS + many, SCHEMA)).where("channel_id = 'z'").orderBy(C._number("ts")).collect()] == list(range(1, 900))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_states_compose(seed):
+    rng = random.Random(seed)
+    letters = [rng.choice(C.LETTERS) for _ in range(rng.randint(0, 12))]
+    k = rng.randint(0, len(letters))
+    fold = lambda xs: functools.reduce(C.step, xs, ("absent", 0))
+    assert C.composed(fold(letters[:k]), fold(letters[k:])) == fold(letters)
+    run = functools.reduce(lambda r, x: C.read(r, C.LETTERS.index(x), 3), letters, C.Run())
+    assert C.STATES[run.state] == fold(letters) and run.replies == sum(x.endswith("reply") for x in letters)
 
 
 def test_roles_and_latest_text(spark):
