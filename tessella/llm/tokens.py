@@ -1,10 +1,13 @@
 """Encoding of a corpus by a public byte-level BPE vocabulary.
 
-Text goes through a transducer that holds a bounded piece of it.  A cut between
-a non-blank and a blank character, or between a letter and a digit, is final as
-soon as it is seen: the split pattern never joins the two.  Inside a run that
-has no such cut, tokens leave as soon as every continuation agrees on them
-(`RunEncoder`), so that neither a text nor a run has to fit in memory.
+Every text goes through a transducer that holds a bounded piece of it.  A cut
+between a non-blank and a blank character, or between a letter and a digit, is
+final as soon as it is seen: the split pattern never joins the two.  Inside a
+run that has no such cut, a token leaves once the merge list's lookahead
+(`Vocabulary.lookahead`, computed from the list) has been read behind it.  So
+beside the value of the row itself and its list of ids, what is held is a block
+and the lookahead, whatever the length of the text.  Merges are done here, piece
+by piece, and remembered; the public library is what the tests compare with.
 
 Null and empty texts have no tokens; blank text is encoded as it stands; text
 that looks like a special token is plain text.
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import heapq
 import os
 import re
 import unicodedata
@@ -25,7 +29,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,83 +39,128 @@ BLOCK = 1 << 16
 ROWS = 1000
 
 
+def read_ranks(folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> dict[bytes, int]:
+    with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 @lru_cache(maxsize=4)
 def load(folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Vocabulary:
-    with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return Vocabulary(name, ranks)
+    return Vocabulary(read_ranks(folder, name))
 
 
 class Vocabulary:
-    def __init__(self, name: str, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks))
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.engine = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = _Pieces(self)
-        self.agrees = lru_cache(maxsize=1 << 18)(self._agrees)
+
+    def halves(self, token: bytes) -> list[bytes]:
+        """The two tokens that a token is merged from: what its bytes are when every earlier merge is done.  A token that
+        merges never reach has other than two; it stands in no encoding but its own."""
+        return self._merged(token, self.ranks[token])
+
+    def _merged(self, data: bytes, below: int) -> list[bytes]:
+        """Tokens of `data` under the merges that come before number `below`: again and again the first of the list that
+        applies, at its leftmost place."""
+        ranks, n = self.ranks, len(data)
+        if n < 400:
+            parts = [data[i:i + 1] for i in range(n)]
+            while len(parts) > 1:
+                best, at = below, -1
+                for i in range(len(parts) - 1):
+                    r = ranks.get(parts[i] + parts[i + 1], below)
+                    if r < best:
+                        best, at = r, i
+                if at < 0:
+                    break
+                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            return parts
+        # The same with a heap over a linked list, in time n log n.
+        end = list(range(1, n + 1))  # of the token that begins at i
+        before = list(range(-1, n - 1))
+        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(data[i:i + 2], below)) < below]
+        heapq.heapify(heap)
+        gone = bytearray(n + 1)
+        while heap:
+            _, i, width = heapq.heappop(heap)
+            if gone[i] or (mid := end[i]) >= n or end[mid] != i + width:
+                continue
+            gone[mid] = 1
+            end[i] = end[mid]
+            if end[i] < n:
+                before[end[i]] = i
+                if (r := ranks.get(data[i:end[end[i]]], below)) < below:
+                    heapq.heappush(heap, (r, i, end[end[i]] - i))
+            if (p := before[i]) >= 0 and (r := ranks.get(data[p:end[i]], below)) < below:
+                heapq.heappush(heap, (r, p, end[i] - p))
+        out, i = [], 0
+        while i < n:
+            out.append(data[i:end[i]])
+            i = end[i]
+        return out
+
+    def merge(self, data: bytes) -> list[int]:
+        """Ids of one piece."""
+        if (whole := self.ranks.get(data)) is not None:
+            return [whole]
+        return [self.ranks[t] for t in self._merged(data, len(self.ranks) + 1)]
 
     @property
     def lookahead(self) -> int:
-        """Bytes after which a token can't change any more, whatever follows (Berglund & van der Merwe 2023): the number
-        of merges times the longest token.  `RunEncoder` finds out online how few of them are needed."""
-        return (len(self.ranks) - 256) * self.longest
-
-    def _agrees(self, a: bytes, b: bytes) -> bool:
-        """Whether tokens a, b stand side by side in the encoding of a + b."""
-        return self.engine._core_bpe.encode_single_piece(a + b) == [self.ranks[a], self.ranks[b]]
+        if not hasattr(self, "_lookahead"):
+            merges = (self.halves(t) for t, _ in sorted(self.ranks.items(), key=lambda x: x[1]) if len(t) > 1)
+            self._lookahead = lookahead([(h[0], h[1]) for h in merges if len(h) == 2])
+        return self._lookahead
+
+
+def lookahead(merges: list[tuple[bytes, bytes]]) -> int:
+    """Bytes after which a token can't change any more, whatever follows.
+
+    Compare the tokens of a text with those of a longer one that begins with it.  Going down the list, the first place
+    where the two differ begins at the text's end.  A merge (u, v) moves it to the left only if v ends there, by the length
+    of v, and to the end of u; the next one to move it comes later in the list, and its own v ends where u ends, so that one
+    of the two is a suffix of the other.  What is sufficient is the greatest sum of lengths of v along such a chain, and the
+    token that then spans the place (compare Berglund and van der Merwe 2023)."""
+    of_u: dict[bytes, int] = {}  # greatest sum of a chain that ends with this u
+    of_end: dict[bytes, int] = {}  # and with a u that has this suffix
+    most = longest = 0
+    for u, v in merges:
+        best = len(v) + max((of_u.get(v[k:], 0) for k in range(len(v))), default=0)
+        best = max(best, len(v) + of_end.get(v, 0))
+        of_u[u] = max(best, of_u.get(u, 0))
+        for k in range(len(u)):
+            of_end[u[k:]] = max(best, of_end.get(u[k:], 0))
+        most, longest = max(most, best), max(longest, len(u) + len(v))
+    return most + longest
 
 
 class RunEncoder:
-    """Merge-list encoding of one run, fed in pieces.
+    """Merge-list encoding of one run, fed in pieces: of a block and the lookahead, the tokens before the lookahead leave.
 
-    The last token of the encoding of every prefix is found from the earlier ones (exactly one known token both ends the
-    prefix and agrees with the last token before it).  Every later token starts within the last `longest` bytes, so where
-    the chains of all those prefixes meet, what lies before is final and leaves."""
+    What follows a token's end is encoded alike on its own, for no merge ever crossed that place."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v, self.data, self.last = vocabulary, bytearray(), [b""]
+    def __init__(self, vocabulary: Vocabulary, block: int = BLOCK):
+        self.v, self.data, self.block = vocabulary, bytearray(), block
 
     def feed(self, piece: bytes) -> list[int]:
-        v, out = self.v, []
-        for byte in piece:
-            self.data.append(byte)
-            n = len(self.data)
-            for k in range(min(n, v.longest), 0, -1):
-                t = bytes(self.data[n - k:])
-                if t in v.ranks and (p := self.last[n - k]) is not None and (not p or v.agrees(p, t)):
-                    self.last.append(t)
-                    break
-            else:
-                self.last.append(None)  # a prefix that no text is cut at
-            if n >= 8 * v.longest and n % v.longest == 0:
-                out += self._settle()
+        out: list[int] = []
+        for at in range(0, len(piece), self.block):
+            self.data += piece[at:at + self.block]
+            if len(self.data) > self.block + self.v.lookahead:
+                final, n = len(self.data) - self.v.lookahead, 0
+                for i in self.v.merge(bytes(self.data)):
+                    if n + len(self.v.bytes_of[i]) > final:
+                        break
+                    n += len(self.v.bytes_of[i])
+                    out.append(i)
+                del self.data[:n]
         return out
 
-    def _chain(self, end: int) -> list[bytes]:
-        out = []
-        while end > 0 and self.last[end]:
-            out.append(self.last[end])
-            end -= len(self.last[end])
-        return out[::-1]
-
-    def _settle(self) -> list[int]:
-        n = len(self.data)
-        fronts = {i for i in range(n - self.v.longest + 1, n + 1) if self.last[i] is not None}
-        while len(fronts) > 1:
-            top = max(fronts)
-            fronts.discard(top)
-            fronts.add(top - len(self.last[top]))
-        meet = fronts.pop()
-        if meet <= 0:
-            return []
-        done = self._chain(meet)
-        keep, self.data = done[-1], self.data[meet - len(done[-1]):]  # the token before the cut is the next one's context
-        self.last = [b""] + [None] * (len(keep) - 1) + [keep] + self.last[meet + 1:]
-        return [self.v.ranks[t] for t in done[:-1]]
-
     def finish(self) -> list[int]:
-        return [self.v.ranks[t] for t in self._chain(len(self.data))]
+        out = self.v.merge(bytes(self.data)) if self.data else []
+        self.data.clear()
+        return out
 
 
 _FINAL_CUT = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
@@ -128,7 +176,9 @@ class Transducer:
     def __init__(self, vocabulary: Vocabulary, block: int = BLOCK):
         self.v, self.block, self.held, self.run, self.kind = vocabulary, block, "", None, ""
 
-    def feed(self, piece: str, last: bool = False) -> list[int]:
+    def feed(self, piece: str, last: bool = False) -> Iterable[int]:
+        if last and self.run is None and not self.held and len(piece) <= self.block:
+            return self._pieces(piece)
         self.held += piece
         out: list[int] = []
         while self.held:
@@ -147,10 +197,10 @@ class Transducer:
             elif len(self.held) <= self.block:
                 break
             elif cut := self._cut():
-                out += self.v.engine.encode_ordinary(self.held[:cut])
+                out.extend(self._pieces(self.held[:cut]))
                 self.held = self.held[cut:]
             elif (k := _SPLIT.match(self.held).end()) < len(self.held) - 1:
-                out += self.v.engine.encode_ordinary(self.held[:k])
+                out.extend(self._pieces(self.held[:k]))
                 self.held = self.held[k:]
             else:
                 self._start_run()
@@ -158,10 +208,15 @@ class Transducer:
             if self.run is not None:
                 out += self.run.finish()
                 self.run = None
-            out += self.v.engine.encode_ordinary(self.held)
+            out.extend(self._pieces(self.held))
             self.held = ""
         return out
 
+    def _pieces(self, text: str) -> Iterator[int]:
+        """Ids of a text whose ends are final cuts."""
+        split = _SPLIT if _SLOW_CHARS.search(text) else _FAST
+        return chain.from_iterable(map(self.v.pieces.__getitem__, split.findall(text)))
+
     def _cut(self) -> int:
         half = max(1, self.block // 2)
         if m := _FINAL_CUT.search(self.held, half):
@@ -177,7 +232,7 @@ class Transducer:
         if text[0] == " " and not text[1].isspace():
             out, text = b" ", text[1:]
         self.kind = next(k for k, p in _KINDS.items() if p.match(text))
-        self.run = RunEncoder(self.v)
+        self.run = RunEncoder(self.v, self.block)
         self.run.feed(out)
         self.held = text
 
@@ -202,26 +257,22 @@ class _Pieces(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.engine = vocabulary.engine._core_bpe
+        self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> list[int]:
-        ids = self.engine.encode_single_piece(piece.encode("utf-8"))
+        ids = self.vocabulary.merge(piece.encode("utf-8"))
         if len(self) < _REMEMBERED and len(piece) <= _SHORT:
             self[piece] = ids
         return ids
 
 
 def encode_into(out: array, text: str | None, vocabulary: Vocabulary, block: int = BLOCK) -> None:
-    """Appends the ids of `text` to `out`."""
+    """Appends the ids of `text` to `out`, block by block as they leave the transducer."""
     if not text:
         return
-    if len(text) > block:
-        for ids in encode_stream((text[i:i + block] for i in range(0, len(text), block)), vocabulary, block):
-            out.extend(ids)
-    elif not _SLOW_CHARS.search(text):
-        out.extend(chain.from_iterable(map(vocabulary.pieces.__getitem__, _FAST.findall(text))))
-    else:
-        out.extend(vocabulary.engine.encode_ordinary(text))
+    t, n = Transducer(vocabulary, block), len(text)
+    for at in range(0, n, block):
+        out.extend(t.feed(text[at:at + block], last=at + block >= n))
 
 
 def encode(text: str | None, vocabulary: Vocabulary, block: int = BLOCK) -> list[int]:
@@ -240,13 +291,25 @@ def decode_stream(ids: Iterable[int], vocabulary: Vocabulary) -> Iterator[str]:
         yield s
 
 
+_SHIPPED: dict[str, Vocabulary] = {}
+
+
+def _shipped(b, name: str) -> Vocabulary:
+    """The broadcast vocabulary, made once in each worker process."""
+    if name not in _SHIPPED:
+        _SHIPPED[name] = Vocabulary(b.value)
+    return _SHIPPED[name]
+
+
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """(id, ids) of every row of `df`, in one narrow stage; null and empty texts have an empty list, repeated rows stay
-    repeated, and other columns are not read."""
+    repeated, and other columns are not read.  The vocabulary (a fixed table of some 50,000 tokens) is read by the driver
+    and broadcast, so that executors need no files."""
     kind = df.schema[id_col].dataType.simpleString()
+    ranks, key = df.sparkSession.sparkContext.broadcast(read_ranks(tokenizers, name)), f"{tokenizers}/{name}"
 
     def run(batches):
-        v = load(tokenizers, name)
+        v = _shipped(ranks, key)
         for b in batches:
             for at in range(0, len(b), ROWS):
                 part = b.slice(at, ROWS)
@@ -257,3 +320,17 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))], [id_col, "ids"])
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+
+
+def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+    """(id, text) of every row of `df`: the ids read back by the byte-to-text machine; null and empty lists give empty texts."""
+    kind = df.schema[id_col].dataType.simpleString()
+    ranks, key = df.sparkSession.sparkContext.broadcast(read_ranks(tokenizers, name)), f"{tokenizers}/{name}"
+
+    def run(batches):
+        v = _shipped(ranks, key)
+        for b in batches:
+            texts = ["".join(decode_stream(x.as_py() or (), v)) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [id_col, "text"])
+
+    return df.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"`{id_col}` {kind}, text string")
