@@ -66,6 +66,10 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(read(spark, folder, "documents"), read(spark, folder, "eval_items"))
 
 
@@ -78,7 +82,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_spans, p2_redacted, p3_found, p3_conversations, p4_found, p4_pieces, p5_found, p5_replaced, p6_ids, p7_found, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_spans, p2_redacted, p3_found, p3_conversations, p4_found, p4_pieces, p5_found, p5_replaced, p6_ids, p7_found, p7_leaks, p8_found, p8_restored)}
 
 
 _BOTH = "(SELECT DISTINCT 'records' AS tbl, id, source, content FROM records UNION SELECT DISTINCT 'chunks', id, source, content FROM chunks)"
@@ -106,5 +110,8 @@ iw AS (SELECT DISTINCT item_id, hash(w[k:k + 11]) AS h FROM (SELECT item_id, w,
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (h)"""
 
 
+_P7_LEAKS = _P7.replace("SELECT DISTINCT doc_id, item_id FROM", "SELECT doc_id, item_id, count(*) AS n_windows FROM") + " GROUP BY doc_id, item_id"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p3_found": _P3, "p4_found": _P4, "p7_found": _P7}
+    return {"p1_found": _P1, "p3_found": _P3, "p4_found": _P4, "p7_found": _P7, "p7_leaks": _P7_LEAKS}

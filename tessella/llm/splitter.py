@@ -1,14 +1,19 @@
 """Items above a size limit, cut into overlapping pieces at natural boundaries.
 
-A text is split by sections; parts that are still too large by paragraphs,
+A text is split by sections; parts that are still above the limit by paragraphs,
 lines, sentences, words and at last characters.  The parts are packed greedily
 up to the limit, and every piece but the first begins with the end of the one
 before.  Pieces are spans of the source, so nothing is lost or rewritten.
 
+A part that fits the limit stays whole: where it fits only without the full
+overlap, the overlap is what still fits, and the part is not cut for its sake.
+Else the overlap is what was asked, less at most 7 tokens so that it begins at a
+word; a word above 32 characters is cut.  Every piece says how much it overlaps.
+
 The size of a text is the greater of its number of words and a quarter of its
-code points, rounded down.  A null limit or null content never splits; an
-overlap that is null counts as 0, one that leaves no room (half of the limit or more) is cut
-to half of it.  Empty and blank texts are one piece at most.
+code points, rounded down.  A null limit or null content never splits; a null
+overlap counts as 0, one of the limit or more as one below the limit, as every
+piece must bring something new.  Empty and blank texts are one piece at most.
 """
 
 from __future__ import annotations
@@ -34,39 +39,41 @@ def size(text: str) -> int:
     return max(len(_WORD.findall(text)), len(text) // 4)
 
 
-def _parts(text: str, start: int, end: int, level: int, room: int) -> list[tuple[int, int, int]]:
-    """Spans (start, end, words) that fill [start, end), none above `room`."""
+#: Longest word that an overlap is not begun within.
+LONG_WORD = 32
+
+
+def _parts(text: str, start: int, end: int, level: int, limit: int, step: int) -> list[tuple[int, int, int]]:
+    """Spans (start, end, words) that fill [start, end), none above `limit`; runs of characters are cut every `step` tokens."""
     n = len(_WORD.findall(text, start, end))
-    if max(n, (end - start + 3) // 4) <= room:
+    if max(n, (end - start) // 4) <= limit:
         return [(start, end, n)]
     if level == len(LEVELS):
-        step = 4 * room
-        return [(i, min(i + step, end), 1) for i in range(start, end, step)]
+        return [(i, min(i + 4 * step, end), 1) for i in range(start, end, 4 * step)]
     cuts = [m.end() for m in LEVELS[level][1].finditer(text, start, end) if start < m.end() < end]
     out = []
     for a, b in zip([start, *cuts], [*cuts, end]):
-        out += _parts(text, a, b, level + 1, room)
+        out += _parts(text, a, b, level + 1, limit, step)
     return out
 
 
 def _tail(text: str, start: int, end: int, overlap: int) -> int:
-    """Where the last `overlap` tokens of [start, end) begin, at a word unless the word alone is larger."""
+    """Where the last `overlap` tokens of [start, end) begin: at a word, unless the one there is above `LONG_WORD`."""
     if overlap <= 0:
         return end
-    least, at, n = max(start, end - 4 * overlap), end, 0
-    while at > least and n < overlap:
-        word_end = at
-        while word_end > least and text[word_end - 1] in " \t\r\n":
-            word_end -= 1
-        word = word_end
-        while word > least and text[word - 1] not in " \t\r\n":
-            word -= 1
-        if word == word_end:
-            break
-        if word == least and word > start and text[word - 1] not in " \t\r\n":
-            return least if end - at < 2 * overlap else at  # cut within a word only where little else overlaps
-        at, n = word, n + 1
-    return at
+    at = max(start, end - 4 * overlap - 3)
+    ws = [m.start() for m in _WORD.finditer(text, at, end)]
+    if len(ws) > overlap:
+        at = ws[-overlap]
+    if at == start or text[at - 1] in " \t\r\n" or text[at] in " \t\r\n":
+        return at
+    # Within a word: on to the next, if the word is one.
+    a, b = at, at
+    while a > start and at - a <= LONG_WORD and text[a - 1] not in " \t\r\n":
+        a -= 1
+    while b < end and b - a <= LONG_WORD and text[b] not in " \t\r\n":
+        b += 1
+    return b if b - a <= LONG_WORD and b < end else at
 
 
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
@@ -74,15 +81,24 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     if size(text) <= limit:
         return [(0, len(text))]
     limit = max(1, limit)
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 1))
     out: list[tuple[int, int]] = []
     start, words, last = 0, 0, 0
-    for a, b, n in _parts(text, 0, len(text), 0, max(1, limit - overlap - 1) if limit > 2 else 1):
-        if b - start and a > last and max(words + n, (b - start) // 4) > limit:
-            out.append((start, a))
-            last = a
-            start = _tail(text, start, a, overlap)
-            words = len(_WORD.findall(text, start, a))
+    todo = _parts(text, 0, len(text), 0, limit, max(1, limit - overlap))[::-1]
+    while todo:
+        a, b, n = todo.pop()
+        if max(words + n, (b - start) // 4) > limit:
+            if a > last:
+                out.append((start, a))
+                last = a
+                start = _tail(text, start, a, overlap)
+                words = len(_WORD.findall(text, start, a))
+            # The part is whole within the limit: the overlap gives way where both don't fit.
+            for less in range(overlap - 1, -1, -1):
+                if max(words + n, (b - start) // 4) <= limit:
+                    break
+                start = _tail(text, start, a, min(less, limit - max(n, (b - a) // 4)))
+                words = len(_WORD.findall(text, start, a))
         words += n
     if last < len(text):
         out.append((start, len(text)))
@@ -90,9 +106,9 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
 
 
 def split_oversized(df: DataFrame, limits: DataFrame, keys: tuple[str, ...] = ("tbl", "rec_id"), text_col: str = "content", source_col: str = "source") -> DataFrame:
-    """(*keys, piece_no, start_pos, end_pos, piece) of every row of `df` above its source's max_chunk_tokens.
+    """(*keys, piece_no, start_pos, end_pos, overlap, piece) of every row of `df` above its source's max_chunk_tokens.
 
-    `limits` has source, max_chunk_tokens and chunk_overlap_tokens; repeated sources take the smallest limit.  Repeated
+    overlap is the size of what a piece shares with the one before.  `limits` has source, max_chunk_tokens and chunk_overlap_tokens; repeated sources take the smallest limit.  Repeated
     rows come out once.  Rows within their limit don't come out."""
     per = limits.where(F.col("max_chunk_tokens").isNotNull()).groupBy(F.col("source").alias("__source")).agg(F.min(F.struct("max_chunk_tokens", "chunk_overlap_tokens")).alias("__l"))
     rows = df.select(*keys, F.col(source_col).alias("__source"), F.col(text_col).alias("__text")).join(per, "__source")
@@ -103,15 +119,17 @@ def split_oversized(df: DataFrame, limits: DataFrame, keys: tuple[str, ...] = ("
 
     def run(batches):
         for b in batches:
-            at, no, starts, ends, texts = [], [], [], [], []
+            at, no, starts, ends, shared, texts = [], [], [], [], [], []
             limit, overlap = b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist()
             for i, t in enumerate(b.column(len(keys) + 2)):
                 t = t.as_py()
                 if size(t) <= limit[i]:
                     continue
+                before = 0
                 for k, (s, e) in enumerate(pieces(t, limit[i], overlap[i] or 0)):
-                    at.append(i), no.append(k), starts.append(s), ends.append(e), texts.append(t[s:e])
+                    at.append(i), no.append(k), starts.append(s), ends.append(e), shared.append(size(t[s:before])), texts.append(t[s:e])
+                    before = e
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in range(len(keys))), pa.array(no, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(texts, pa.string())], [*keys, "piece_no", "start_pos", "end_pos", "piece"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in range(len(keys))), pa.array(no, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(shared, pa.int32()), pa.array(texts, pa.string())], [*keys, "piece_no", "start_pos", "end_pos", "overlap", "piece"])
 
-    return rows.mapInArrow(run, schema + ", piece_no int, start_pos int, end_pos int, piece string").dropDuplicates([*keys, "start_pos", "end_pos", "piece_no"])
+    return rows.mapInArrow(run, schema + ", piece_no int, start_pos int, end_pos int, overlap int, piece string").dropDuplicates([*keys, "start_pos", "end_pos", "piece_no"])

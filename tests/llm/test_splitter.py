@@ -1,4 +1,7 @@
 import random
+import re
+
+import pytest
 
 from tessella.llm import splitter as S
 
@@ -19,6 +22,28 @@ def test_pieces_keep_every_promise():
         assert len(cut) == 1 or S.size(text) > limit
 
 
+@pytest.mark.parametrize("overlap", [0, 13, 64, 300, 511, 512, 9999])
+def test_paragraphs_that_fit_stay_whole(overlap):
+    """The overlap gives way to a paragraph that fits the limit, below and above half of the limit alike."""
+    text = "\n\n".join(" ".join(f"{p}w{j:03}" for j in range(331)) for p in "abc")  # 331 words, 496 tokens
+    cut = S.pieces(text, 512, overlap)
+    assert [b for _, b in cut[:-1]] == [m.end() for m in re.finditer("\n\n", text)]
+    if overlap >= 13:
+        assert all(9 <= S.size(text[c:b]) <= 16 for (_, b), (c, _) in zip(cut, cut[1:])), "as much overlap as fits"
+
+
+@pytest.mark.parametrize("limit, overlap", [(100, 10), (100, 49), (100, 51), (100, 80), (100, 99), (512, 64)])
+def test_overlap_is_as_asked(limit, overlap):
+    """Words of ordinary length: above half of the limit as below it."""
+    rng = random.Random(limit + overlap)
+    text = " ".join("x" * rng.randint(1, 12) for _ in range(3000))
+    cut = S.pieces(text, limit, overlap)
+    assert all(max(0, overlap - 7) <= S.size(text[c:b]) <= overlap for (_, b), (c, _) in zip(cut, cut[1:-1]))
+    run = "y" * 50_000
+    cut = S.pieces(run, limit, overlap)
+    assert all(S.size(run[c:b]) == overlap for (_, b), (c, _) in zip(cut, cut[1:]))
+
+
 def test_natural_boundaries_and_overlap():
     text = "\n\n".join(" ".join(f"p{i}w{j}" for j in range(20)) + "." for i in range(10))
     cut = S.pieces(text, 110, 10)
