@@ -4,9 +4,15 @@ Lines that name a credential (or show a vendor's token format, an address with
 a password, a private key) give candidate values.  A candidate is scored by a
 logistic regression on the value's likelihood under a character Markov model of
 the corpus's ordinary words, on the identifiers around it and on the path of
-the file.  The model is fitted on a bounded sample (`SAMPLE_ROWS` contents, the
-least by hash of id and table), labelled by patterns that are sure of themselves; a held-out third of it
-calibrates the scores (Platt), and scores of `THRESHOLD` or more count.
+the file.  The Markov model counts the characters of all contents; the
+regression is fitted on a bounded sample (`SAMPLE_ROWS` different contents of
+`SAMPLE_CHARS` characters together, the least by hash), labelled by patterns
+that are sure of themselves; a held-out third of it calibrates the scores
+(Platt), and scores of `THRESHOLD` or more count.
+
+A private key is taken by its header and the lines of key material below it, up
+to its own END line or, in a truncated block, to where lines stop looking like
+key material; each line's material is a span of its own.
 
 Null and empty contents have no credentials; repeated rows count once; line
 numbers count from 1 and lines end at LF.  Without a sample of both kinds the
@@ -25,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS, THRESHOLD = 4000, 0.5
+SAMPLE_ROWS, SAMPLE_CHARS, THRESHOLD = 4000, 40_000_000, 0.5
 MASK = "[REDACTED]"
 
 # Words that make a key a credential.
@@ -68,10 +74,12 @@ _PAIR = re.compile(r"(?i)auth\w*\s*[=(:]\s*\(?\s*[\"'](?P<key>[^\"'\s]*)[\"']\s*
 _SHORT_FLAG = re.compile(r"\s(?:-u|--user[= ])\s?(?P<key>\S+)\s(?:[^|;]*\s)?-p\s?['\"]?(?P<val>[^\s'\"]{4,})")
 _BEARER = re.compile(r"(?i)\b(?P<key>bearer|basic)\s+(?P<val>[^\s'\"`<>]{6,})")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_KEY_BODY = re.compile(r"^[\s+\-\"'>#*/\\n]*[A-Za-z0-9+/=]{16,}")
 # Between BEGIN and body: blank lines and headers ("Proc-Type: 4,ENCRYPTED", "Version: ..."), quoted or in a diff like the body.
 _KEY_HEADER = re.compile(r"^[\s+\-\"'>#*/\\n]*(?:[A-Z][A-Za-z0-9-]*:(?:\s.*)?)?$")
-_AROUND_BODY = " \t\r\"'`>#*,;+-"
+_AROUND_BODY = " \t\r\"'`>#*,;+-.&|()"
+_MATERIAL = re.compile(r"[A-Za-z0-9+/=]+")
+_KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_IN_LINE = re.compile(r"(?:\\[rn]|[\s\"'+])*([A-Za-z0-9/=][A-Za-z0-9+/=]*)")
 _PLACEHOLDER = re.compile(
     r"(?i)^[\"'`]*(?:\$|%[({sd]|\{\{|\{[a-z_.]*\}|<|\[|\(|env\b|process\.env|os\.|await\b|var\.|vault\b|secrets?\.|data\.|none\b|null\b|nil\b|true\b|false\b|str\b|string\b|bytes\b|int\b|any\b|optional|undefined\b|\*+$|x+$|\.+$|-+$|_+$|0+$)"
     r"|example|changeme|change[_-]me|your[_-]|placeholder|redacted|dummy|\bvault[./:]|\{\{|\$\{|^x{4,}|\*{3,}|todo\b|^<|getenv|environ"
@@ -139,25 +147,60 @@ def names_credential(key: str) -> bool:
     return bool(p) and (p[-1] in _LAST or p[-1] == "key" and len(p) > 1 and p[-2] in _BEFORE_KEY)
 
 
-def _has_body(content: str, at: int) -> bool:
-    """Whether the lines from `at` on begin a key's body, after blank lines and headers and before the END line.
-
-    After those, a line of letters alone is a body only if an END line follows: it may be a word of the text."""
-    end, again = content.find("-----END", at), content.find("-----BEGIN", at)
-    closed = end >= 0 and not 0 <= again < end
-    to = min((x for x in (end, again) if x >= 0), default=len(content))
-    first = at
-    while at < to:
-        stop = content.find("\n", at)
-        stop = len(content) if stop < 0 else stop
-        line = content[at:stop]
-        if at == first and _KEY_BODY.match(line):
-            return True
-        if not _KEY_HEADER.match(line):
-            body = re.sub(r"(?:\\[rn])+$", "", line.strip(_AROUND_BODY))
-            return bool(re.fullmatch("[A-Za-z0-9+/=]{16,}", body)) and (closed or any(map(str.isdigit, body)))
-        at = stop + 1
-    return False
+def _body(line: str) -> tuple[int, int] | None:
+    """Where a line's key material stands, if beside it there is only what quotes, comments, diffs and code put around it."""
+    x = line.strip(_AROUND_BODY)
+    if x.startswith("//"):
+        x = x[2:].lstrip(_AROUND_BODY)
+    while x.endswith(("\\n", "\\r")):
+        x = x[:-2].rstrip(_AROUND_BODY)
+    if not _MATERIAL.fullmatch(x):
+        return None
+    at = line.index(x)
+    return at, at + len(x)
+
+
+def _wordlike(body: str) -> bool:
+    """Whether what may be key material may be a word of the text as well."""
+    mixed = any(map(str.isdigit, body)) and any(map(str.isalpha, body)) or not body.isalnum()
+    return not mixed and (body.islower() or body.istitle() or len(body) < 48)
+
+
+def _key_spans(content: str, after: int) -> list[tuple[int, int]]:
+    """Spans of the key material behind a header that ends at `after`; none where the header is only mentioned.
+
+    The block goes to its own END line; where there is none, to the first line that can't be key material."""
+    line_end = content.find("\n", after)
+    line_end = len(content) if line_end < 0 else line_end
+    rest = content[after:line_end]
+    rest = rest[:stop] if (stop := rest.find("-----")) >= 0 else rest
+    inline, at = [], 0
+    while m := _IN_LINE.match(rest, at):  # the whole key in one line, its line ends written out
+        inline.append((after + m.start(1), after + m.end(1)))
+        at = m.end()
+    if any(b - a >= 16 for a, b in inline) and (stop >= 0 or not _wordlike(content[inline[0][0]:inline[0][1]])):
+        return inline
+    spans: list[tuple[int, int]] = []
+    at, closed = line_end + 1, False
+    while at < len(content):
+        end = content.find("\n", at)
+        end = len(content) if end < 0 else end
+        line = content[at:end]
+        if "-----" in line:
+            closed = _KEY_END.search(line) is not None
+            break
+        if x := _body(line):
+            spans.append((at + x[0], at + x[1]))
+        elif spans or not _KEY_HEADER.match(line):
+            break
+        at = end + 1
+    if not spans or spans[0][1] - spans[0][0] < 16:
+        return []
+    if not closed:
+        for k, (a, b) in enumerate(spans):
+            if _wordlike(content[a:b]):
+                return spans[:k]
+    return spans
 
 
 def candidates(content: str | None) -> list[Candidate]:
@@ -181,15 +224,11 @@ def candidates(content: str | None) -> list[Candidate]:
         found: list[Candidate] = []
 
         def add(spans, key, value, kind):
-            if value:
+            if value and spans:
                 found.append(Candidate(line_no, tuple((a + s, a + e) for s, e in spans), key, value, kind, path, comment))  # noqa: B023
 
         for m in _KEY_BLOCK.finditer(line):
-            rest = line[m.end():]
-            if re.search(r"[A-Za-z0-9+/=]{16,}", rest) or _has_body(content, b + 1):
-                end = content.find("-----END", b)
-                stop = content.rfind("\n", 0, end) if end > 0 else b
-                add([(m.end(), max(len(line), stop - a))], "private key", "block", "block")
+            add([(x - a, y - a) for x, y in _key_spans(content, a + m.end())], "private key", "block", "block")
         for m in _VENDOR.finditer(line):
             add([m.span()], "", m[0], "vendor")
         for m in _ADDRESS.finditer(line):
@@ -222,6 +261,31 @@ def _codes(s: str) -> np.ndarray:
     return np.where((x < 1) | (x >= _N), 0, x)
 
 
+_PLAIN = re.compile(r"[A-Za-z_][\w.-]{2,40}")
+
+
+def _plain(content: str) -> str:
+    """The words of the lines of a content that have no hint of a credential."""
+    kept, at = [], 0
+    for a in _hinted(content):
+        kept.append(content[at:a])
+        at = content.find("\n", a)
+        if at < 0:
+            at = len(content)
+    kept.append(content[at:])
+    return " ".join(_PLAIN.findall("".join(kept)))
+
+
+def _pairs(text: str) -> np.ndarray:
+    c = _codes(f" {text} ")
+    return np.bincount(c[:-1] * _N + c[1:], minlength=_N * _N)
+
+
+def _log(counts: np.ndarray) -> np.ndarray:
+    n = 0.3 + counts.reshape(_N, _N)
+    return np.log(n / n.sum(axis=1, keepdims=True))
+
+
 class Markov:
     """Likelihood of a text's characters, each given the one before."""
 
@@ -230,9 +294,7 @@ class Markov:
 
     @classmethod
     def fit(cls, texts: list[str]) -> Markov:
-        c = _codes(" " + " ".join(texts) + " ")
-        n = 0.3 + np.bincount(c[:-1] * _N + c[1:], minlength=_N * _N).reshape(_N, _N)
-        return cls(np.log(n / n.sum(axis=1, keepdims=True)))
+        return cls(_log(sum((_pairs(_plain(t)) for t in texts), np.zeros(_N * _N, np.int64))))
 
     def mean(self, s: str) -> float:
         c = _codes(" " + s + " ")
@@ -297,11 +359,9 @@ class Scorer:
         self.markov, self.weights, self.platt, self.known = markov, weights, platt, {}
 
     @classmethod
-    def fit(cls, contents: list[str]) -> Scorer:
+    def fit(cls, contents: list[str], markov: Markov | None = None) -> Scorer:
         found = [c for t in contents for c in candidates(t)]
-        taken = {c.value for c in found if weak_label(c) != 0}
-        plain = [w for t in contents for w in re.findall(r"[A-Za-z_][\w.-]{2,40}", t) if w not in taken]
-        markov = Markov.fit(plain)
+        markov = markov or Markov.fit(contents)
         labelled = [(c, y) for c in found if c.kind != "block" and (y := weak_label(c)) is not None]
         ys = np.array([y for _, y in labelled], float)
         if not len(ys) or ys.min() == ys.max():
@@ -357,7 +417,7 @@ def scan(content: str | None, scorer: Scorer, threshold: float = THRESHOLD) -> l
 
 
 def redact(content: str | None, spans: list[tuple[int, int]], mask: str = MASK) -> str | None:
-    """`content` with the spans masked; of a key block the line breaks, line prefixes and END line stay."""
+    """`content` with the spans masked; spans that overlap are masked together."""
     if not spans or content is None:
         return content
     merged: list[list[int]] = []
@@ -368,21 +428,53 @@ def redact(content: str | None, spans: list[tuple[int, int]], mask: str = MASK)
             merged.append([a, b])
     out, at = [], 0
     for a, b in merged:
-        old = content[a:b]
-        new = re.sub(r"(?m)^([-+ ]?)[^\n]+$", lambda m: m[1] + mask, old) if "\n" in old else mask
-        out += [content[at:a], new]
+        out += [content[at:a], mask]
         at = b
     return "".join(out) + content[at:]
 
 
-def train(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
-    """A scorer fitted on the `sample_rows` contents of `df` (tbl, rec_id, content) that come first by hash.
-
-    Rows above a hash that twice as many are below are never sent: what reaches the driver is bounded at every size."""
-    rows = df.where(F.length("content") > 0).select("content", F.xxhash64("rec_id", "tbl").alias("k"))
-    share = min(1.0, 2 * sample_rows / max(1, df.where(F.length("content") > 0).count()))
-    least = rows.where(F.col("k") <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else rows
-    return Scorer.fit([r.content for r in least.orderBy("k", "content").limit(sample_rows).collect()])
+def _counted(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """How often each character follows each other one in the words of all contents, on lines without a hint of a
+    credential, and the number of contents.  What reaches the driver is a table of `_N` x `_N` counts at most."""
+    def run(batches):
+        counts, n = np.zeros(_N * _N, np.int64), 0
+        for b in batches:
+            for t in b.column(0):
+                n += 1
+                counts += _pairs(_plain(t.as_py()))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], n))], ["cell", "n"])
+
+    table, n = np.zeros(_N * _N), 0
+    for r in rows.select("content").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        if r["cell"] < 0:
+            n = r["n"]
+        else:
+            table[r["cell"]] = r["n"]
+    return table.reshape(_N, _N), n
+
+
+def train(df: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Scorer:
+    """A scorer whose Markov model has counted all contents of `df` (tbl, rec_id, content) and whose regression is fitted
+    on the different contents that come first by hash, `sample_rows` of `sample_chars` characters together at most.
+
+    Rows above a hash that twice as many are below are never sent: what reaches the driver is bounded at every size, and a
+    group of copies is one content."""
+    rows = df.where(F.length("content") > 0).select("content")
+    counts, n = _counted(rows)
+    share = min(1.0, 2 * sample_rows / max(1, n))
+    keyed = rows.withColumn("k", F.xxhash64("content"))
+    least = keyed.where(F.col("k") <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else keyed
+    sizes = least.groupBy("k").agg(F.max(F.length("content")).alias("n")).orderBy("k").limit(sample_rows).collect()  # two numbers each
+    total, last = 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > sample_chars:
+            break
+        last = r["k"]
+    if last is None:
+        return Scorer.fit([], Markov(_log(counts)))
+    return Scorer.fit([r.content for r in least.where(F.col("k") <= last).groupBy("k").agg(F.max("content").alias("content")).orderBy("k").collect()], Markov(_log(counts)))
 
 
 def find_credentials(df: DataFrame, scorer: Scorer | None = None, threshold: float = THRESHOLD) -> DataFrame:
