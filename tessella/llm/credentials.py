@@ -7,7 +7,7 @@ the corpus's ordinary words, on the identifiers around it and on the path of
 the file.  The Markov model counts the characters of all contents; the
 regression is fitted on a bounded sample (`SAMPLE_ROWS` different contents of
 `SAMPLE_CHARS` characters together, the least by hash), labelled by patterns
-that are sure of themselves; a held-out third of it calibrates the scores
+that are sure of themselves; scores of rows held out in turn calibrate it
 (Platt), and scores of `THRESHOLD` or more count.
 
 A private key is taken by its header and the lines of key material below it, up
@@ -265,15 +265,8 @@ _PLAIN = re.compile(r"[A-Za-z_][\w.-]{2,40}")
 
 
 def _plain(content: str) -> str:
-    """The words of the lines of a content that have no hint of a credential."""
-    kept, at = [], 0
-    for a in _hinted(content):
-        kept.append(content[at:a])
-        at = content.find("\n", a)
-        if at < 0:
-            at = len(content)
-    kept.append(content[at:])
-    return " ".join(_PLAIN.findall("".join(kept)))
+    """The words of a content.  Values of credentials are among them, too few to weigh against the ordinary words."""
+    return " ".join(_PLAIN.findall(content))
 
 
 def _pairs(text: str) -> np.ndarray:
@@ -367,13 +360,14 @@ class Scorer:
         if not len(ys) or ys.min() == ys.max():
             return cls(markov, None)
         x = np.array([features(c, markov) for c, _ in labelled])
-        held = np.arange(len(ys)) % 3 == 2
-        w = _logistic(x[~held], ys[~held])
-        s = x[held] @ w
-        if ys[held].min() == ys[held].max():
-            return cls(markov, w)
-        a, b = _logistic(np.stack([s, np.ones_like(s)], 1), ys[held], ridge=1e-2)
-        return cls(markov, w, (float(a), float(b)))
+        fold = np.arange(len(ys)) % 3
+        if any(ys[fold != k].min() == ys[fold != k].max() for k in range(3)):
+            return cls(markov, _logistic(x, ys))
+        ws = [_logistic(x[fold != k], ys[fold != k]) for k in range(3)]
+        held = np.array([x[i] @ ws[fold[i]] for i in range(len(ys))])  # each scored by the fit that has not seen it
+        # Log odds already: calibration departs from them (slope 1, shift 0) as far as the held-out rows show it.
+        a, b = _logistic(np.stack([held, np.ones_like(held)], 1), ys, ridge=0.02 * len(ys), prior=np.array([1.0, 0.0]))
+        return cls(markov, np.mean(ws, axis=0), (float(a), float(b)))
 
     def score(self, c: Candidate) -> float:
         if c.kind == "block":
@@ -390,13 +384,14 @@ class Scorer:
         return p
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
-    """Newton's method; both classes weigh the same."""
-    w = np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40, prior: np.ndarray | None = None) -> np.ndarray:
+    """Newton's method, with a pull towards `prior` (zero); both classes weigh the same."""
+    prior = np.zeros(x.shape[1]) if prior is None else prior
+    w = prior.copy()
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        g = x.T @ (weight * (p - y)) + ridge * w
+        g = x.T @ (weight * (p - y)) + ridge * (w - prior)
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
         d = np.linalg.solve(h, g)
         w -= d
@@ -434,8 +429,7 @@ def redact(content: str | None, spans: list[tuple[int, int]], mask: str = MASK)
 
 
 def _counted(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """How often each character follows each other one in the words of all contents, on lines without a hint of a
-    credential, and the number of contents.  What reaches the driver is a table of `_N` x `_N` counts at most."""
+    """How often each character follows each other one in the words of all contents, and the number of contents.  What reaches the driver is a table of `_N` x `_N` counts at most."""
     def run(batches):
         counts, n = np.zeros(_N * _N, np.int64), 0
         for b in batches:
