@@ -3,9 +3,15 @@
 Every maximal run of non-ASCII characters is mapped back to the bytes that each
 legacy code page would have read, a byte-structure automaton picks the maximal
 well-formed multibyte spans, and only those spans are decoded.  The step is
-repeated on its own result, so text that was damaged more than once comes back
-as well.  Damage that leaves no multibyte structure (a single-byte page read as
-another one, bytes replaced by U+FFFD) is told by its letters.
+repeated on its own result until nothing changes (a step always shortens the
+text), so text that was damaged however often comes back as well.  Lines whose
+characters are the pairs of an East Asian page go through that page's automaton
+and count only as text of its language.  Damage that leaves no multibyte
+structure (a single-byte page read as another one, bytes replaced by U+FFFD) is
+told by its letters.
+
+A decoded span is read again the wrong way and must give the source; what looks
+damaged but fits no page stays as it is, with `whole` false.
 
 Nulls and empty texts are never damaged and come out as they are.
 """
@@ -24,7 +30,6 @@ from pyspark.sql import functions as F
 UTF8_MISREAD_AS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "iso8859_2", "cp1254", "koi8_r", "cp866")
 # Fixed values: (true page, page it was read as) of single-byte mix-ups.
 CYRILLIC_SWAPS = (("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("iso8859_5", "cp1251"), ("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("cp866", "cp1252"))
-MAX_ROUNDS = 4
 
 _RUN = re.compile("[^\x00-\x7f]+")
 # The automaton of well-formed UTF-8 (RFC 3629, table 3-7), multibyte forms only.
@@ -109,25 +114,33 @@ def _plausible(span: str, codec: str, text: str, before: str, after: str) -> boo
     return True
 
 
+def _comes_back(span: str, text: str, codec: str) -> bool:
+    """Whether `text`, encoded and read by the page again, gives `span`; a byte that the page leaves open may stand as the
+    control character of its number."""
+    again = text.encode("utf-8")
+    return len(again) == len(span) and all(_PAGES[codec].get(c) == b for c, b in zip(span, again))
+
+
+#: Bytes that a page has a character of its own for: where the control character stands instead, another page was read.
+_OWN = {codec: {b for c, b in table.items() if not "\x80" <= c <= "\x9f"} for codec, table in _PAGES.items()}
+
+
 @lru_cache(maxsize=1 << 16)
-def _decode_run(run: str, before: str, after: str) -> tuple[str, str]:
-    """The run with its best page's spans decoded, and that page; the run itself and '' where nothing is damaged."""
-    best = (0, run, "")
+def _readings(run: str, before: str, after: str, sure: str) -> dict[str, tuple[int, str, int, int]]:
+    """By page, what the run's spans decode to where that is plausible: characters won, text, controls that stand for the
+    page's own characters (counted negative) and letters in use.  For the pages in `sure` it need not be plausible."""
+    out = {}
     for codec, table in _PAGES.items():
         data = bytes(table.get(c, 0) for c in run)
-        hits = list(_WELL_FORMED.finditer(data))
-        if not hits:
-            continue
-        out, at, won = [], 0, 0
-        for h in hits:
-            span = run[h.start():h.end()]
-            text = h.group().decode("utf-8")
-            if _plausible(span, codec, text, run[h.start() - 1] if h.start() else before, run[h.end()] if h.end() < len(run) else after):
-                out += [run[at:h.start()], text]
-                at, won = h.end(), won + len(span)
-        if won > best[0]:
-            best = (won, "".join(out) + run[at:], codec)
-    return best[1], best[2]
+        parts, at, won, usual = [], 0, 0, 0
+        for h in _WELL_FORMED.finditer(data):
+            span, text = run[h.start():h.end()], h[0].decode("utf-8")
+            if _comes_back(span, text, codec) and (codec in sure or _plausible(span, codec, text, run[h.start() - 1] if h.start() else before, run[h.end()] if h.end() < len(run) else after)):
+                parts += [run[at:h.start()], text]
+                at, won, usual = h.end(), won + len(span), usual + sum(10 * (c in _USUAL) + (c in _FREQUENT) for c in text)
+        if won:
+            out[codec] = won, "".join(parts) + run[at:], -sum("\x80" <= c <= "\x9f" and ord(c) in _OWN[codec] for c in run), usual
+    return out
 
 
 # --- Single-byte pages read as one another -------------------------------------------------------------------------
@@ -208,6 +221,9 @@ def _odd(text: str) -> int:
     enclosing = {k for m in _ENCLOSED.finditer(text) for k in (m.start(), m.end() - 1)}
     for m in _RUN.finditer(text):
         s, e = m.span()
+        if _latin(text[s - 1:s] or " ") and _latin(text[e:e + 1] or " ") and all(c in "÷▀ⁿ" for c in m[0]):
+            n += e - s  # ö, ß and ü of the Western page read as a PC page
+            continue
         for i in range(s, e):
             c, p, q = text[i], text[i - 1:i] if i else " ", text[i + 1:i + 2] or " "
             if c in _BETWEEN and _latin(p) and _latin(q):
@@ -257,65 +273,159 @@ def _western_part(part: str) -> str:
     return best[1]
 
 
-# Double-byte Japanese pages: the automaton of their well-formed pairs, where lead and trail may be ASCII.
-_EAST_PAGES = (("euc_jp", re.compile(rb"(?:[\xa1-\xf4][\xa1-\xfe]|\x8e[\xa1-\xdf]|\x8f[\xa1-\xfe]{2})+")), ("cp932", re.compile(rb"(?:[\x81-\x9f\xe0-\xef][\x40-\x7e\x80-\xfc]|[\xa1-\xdf])+")))
+# Double-byte pages of East Asia: the automaton of their well-formed pairs, where lead and trail may be ASCII.
+_EAST_PAGES = {
+    "euc_jp": re.compile(rb"(?:[\xa1-\xf4][\xa1-\xfe]|\x8e[\xa1-\xdf]|\x8f[\xa1-\xfe]{2})+"),
+    "cp932": re.compile(rb"(?:[\x81-\x9f\xe0-\xef][\x40-\x7e\x80-\xfc]|[\xa1-\xdf])+"),
+    "cp949": re.compile(rb"(?:[\xa1-\xfd][\xa1-\xfe])+"),
+    "gbk": re.compile(rb"(?:[\xa1-\xf7][\xa1-\xfe])+"),
+    "big5": re.compile(rb"(?:[\xa1-\xf9][\x40-\x7e\xa1-\xfe])+"),
+}
 _KANA = re.compile("[぀-ヿ、。]")
 _THREE = re.compile(rb"(?:\x8f[\xa1-\xfe]{2})+\Z")
+_HANGUL = re.compile("[가-힣]")
+# The most frequent characters of Chinese text, simplified and traditional.
+_HAN = {"gbk": frozenset("的一是不了在人有我他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可里后小么心多天而能好都然没"), "big5": frozenset("的一是不了在人有我他這中大來上國個到說們為子和你地出道也時年得就那要下以生會自著去之過家學對可裡後小麼心多天而能好都然沒")}
 
 
-def _east(part: str) -> str:
-    """Japanese double-byte text shown as Western characters, decoded where its pairs are whole."""
+def _reads_as(page: str, text: str, data: bytes) -> bool:
+    """Whether what a page's pairs decode to is text of its language."""
+    if page in ("euc_jp", "cp932"):
+        kana = len(_KANA.findall(text))
+        return len(text) >= 3 and kana >= 0.25 * len(text) or len(text) >= 2 and kana == len(text) and not data.isascii() or page == "euc_jp" and _THREE.match(data) is not None
+    if page == "cp949":
+        return len(text) >= 2 and len(_HANGUL.findall(text)) >= 0.9 * len(text)
+    return len(text) >= 4 and sum(c in _HAN[page] for c in text) >= 0.1 * len(text)
+
+
+def _bytes_of(part: str) -> bytes | None:
     table = _PAGES["cp1252"]
-    if sum(c > "\x7f" for c in part) < 3 or any(c > "\x7f" and c not in table and ord(c) > 0xFF for c in part):
+    if any(c > "\x7f" and c not in table and ord(c) > 0xFF for c in part):
+        return None
+    return bytes(ord(c) if ord(c) < 0x80 else table.get(c, ord(c)) for c in part)
+
+
+def _east(part: str) -> str:
+    """Double-byte text shown as Western characters, decoded where its pairs are whole and read as the page's language."""
+    # Most pairs have no ASCII byte; of katakana in cp932, which may, the lead byte is one of two.
+    if sum(len(r) for r in _RUN.findall(part) if len(r) > 1) < 3 and sum(map(part.count, "ƒ\x83‚\x82")) < 2 or (data := _bytes_of(part)) is None:
         return part
-    data = bytes(ord(c) if ord(c) < 0x80 else table.get(c, ord(c)) for c in part)
-    for page, automaton in _EAST_PAGES:
-        out, at = [], 0
+    best = (0, part)
+    for page, automaton in _EAST_PAGES.items():
+        out, at, won, tried = [], 0, 0, 0
         for m in automaton.finditer(data):
             try:
                 text = m[0].decode(page)
             except UnicodeDecodeError:
                 continue
-            kana = len(_KANA.findall(text))
-            if len(text) >= 3 and kana >= 0.25 * len(text) or len(text) >= 2 and kana == len(text) and not m[0].isascii() or page == "euc_jp" and _THREE.match(m[0]):
+            tried += len(m[0])
+            if text.encode(page, "replace") == m[0] and _reads_as(page, text, m[0]):
                 out += [part[at:m.start()], text]
-                at = m.end()
-        if out:
-            return "".join(out) + part[at:]
-    return part
+                at, won = m.end(), won + len(m[0])
+        # Words of Korean and Chinese are short: the line's other spans must read alike.
+        if page in ("cp949", "gbk", "big5") and (won < 8 or won < 0.8 * tried):
+            continue
+        if won > best[0]:
+            best = (won, "".join(out) + part[at:])
+    return best[1]
+
+
+def _pair_class(codec: str) -> str:
+    """A pattern of a page's characters for a byte that leads a sequence and one that goes on with it."""
+    of = lambda low, high: "".join(re.escape(c) for c, b in _PAGES[codec].items() if low <= b <= high)
+    return f"[{of(0xC2, 0xF4)}][{of(0x80, 0xBF)}]"
+
+
+_ANY_PAIR = re.compile("|".join(map(_pair_class, UTF8_MISREAD_AS)))
+
+
+@lru_cache(maxsize=1 << 17)
+def _well_formed(run: str) -> tuple[tuple[str, int], ...]:
+    """By page, how many of a run's characters stand in well-formed spans, where any do."""
+    if not _ANY_PAIR.search(run):
+        return ()
+    found = ((codec, sum(len(m[0]) for m in _WELL_FORMED.finditer(bytes(table.get(c, 0) for c in run)))) for codec, table in _PAGES.items())
+    return tuple(x for x in found if x[1])
+
+
+def _utf8_shares(line: str) -> dict[str, float]:
+    """By page, the share of a line's characters above ASCII that stand in well-formed spans, for pages that have any."""
+    n, out = 0, {}
+    for run in _RUN.findall(line):
+        n += len(run)
+        if len(run) > 1:
+            for codec, k in _well_formed(run):
+                out[codec] = out.get(codec, 0) + k
+    return {codec: k / n for codec, k in out.items()}
+
+
+def _suspect(line: str) -> bool:
+    """Whether a line that was decoded looks damaged still."""
+    return any("\x80" <= c <= "\x9f" for c in line) or sum(c > "\x7f" for c in line) >= 4 and max(_utf8_shares(line).values(), default=0) >= 0.9
 
 
 _LINES = re.compile(r"(\n)")
 
 
-def _whole_lines(text: str) -> str:
-    """Lines of Japanese or Cyrillic text that were read as Western."""
-    out = []
-    for x in _LINES.split(text):
-        if not x.isascii():
-            x = _east(x)
-            if not _CYR_WORD.search(x):
-                x = _cyrillic_part(x)
-        out.append(x)
-    return "".join(out)
+def _unread(text: str) -> list[str]:
+    """Runs of Western letters that no Western word has: pairs of a page that none of the rules reads."""
+    return [m[0] for m in _LATIN1_RUN.finditer(text) if sum("À" <= c <= "ÿ" and c not in "×÷" for c in m[0]) >= 4 and len(set(m[0])) > 2]
+
+
+def _line(x: str) -> tuple[str, bool]:
+    """A line with its multibyte spans decoded, of UTF-8 again and again, and whether nothing is left in it; a line that
+    doesn't come out clean stays as it is."""
+    if x.isascii():
+        return x, True
+    # Pairs of an East Asian page have some well-formed bytes by chance; of UTF-8 all are.
+    shares = _utf8_shares(x)
+    if max(shares.values(), default=0) < 0.9:
+        if (y := _east(x)) != x:
+            return y, True
+        if not _CYR_WORD.search(x) and (y := _cyrillic_part(x)) != x:
+            return y, True
+        if any(max((k for _, k in _well_formed(r)), default=0) < len(r) for r in _unread(x)):
+            return x, False
+        if not shares:
+            return x, True
+    y = x
+    while (z := _decode_spans(y)) != y:
+        y = z
+    if y == x:
+        return x, True
+    if not y.isascii():
+        y = z if (z := _east(y)) != y or _CYR_WORD.search(y) else _cyrillic_part(y)
+    return (x, False) if _suspect(y) else (y, True)
 
 
 def _pages_swapped(text: str) -> str:
     out = []
     for x in _PART.split(text):
-        out.append(x if x.isascii() else _western_part(_cyrillic_part(x)))
+        if not x.isascii():
+            y = _cyrillic_part(x)
+            x = y if y != x or _unread(x) else _western_part(x)
+        out.append(x)
     return "".join(out)
 
 
-def _decode_spans(text: str) -> str:
+def _decode_spans(line: str) -> str:
+    """One step: every run by the page that explains most of it, and among those by the page that explains most of the line."""
+    runs = list(_RUN.finditer(line))
+    n = sum(len(m[0]) for m in runs)
+    shares = _utf8_shares(line)
+    if not shares:
+        return line
+    # No correct text in Cyrillic is well-formed throughout: then what comes out may be anything, damaged text as well.
+    sure = " ".join(c for c, share in shares.items() if share == 1 and n >= (12 if c == "cp866" else 6)) if n >= 6 else ""
+    read = [_readings(m[0], line[m.start() - 1:m.start()], line[m.end():m.end() + 1], sure) if _well_formed(m[0]) else {} for m in runs]
+    total = {c: [sum(r[c][k] for r in read if c in r) for k in (0, 2, 3)] for c in _PAGES}
     out, at = [], 0
-    for m in _RUN.finditer(text):
-        s, e = m.span()
-        new, page = _decode_run(m[0], text[s - 1:s], text[e:e + 1])
-        if page:
-            out += [text[at:s], new]
-            at = e
-    return "".join(out) + text[at:] if out else text
+    for m, r in zip(runs, read):
+        if r:
+            best = max(r, key=lambda c: (r[c][0], *total[c], -UTF8_MISREAD_AS.index(c)))  # noqa: B023
+            out += [line[at:m.start()], r[best][1]]
+            at = m.end()
+    return "".join(out) + line[at:]
 
 
 # Single characters that no rule above objects to, wherever they stand: a shortcut, not a rule.
@@ -323,21 +433,18 @@ _HARMLESS = frozenset("’–—…€→éïê") - _BETWEEN
 
 
 def repair(text: str | None) -> tuple[bool, str | None, bool]:
-    """(damaged, text with every restorable span restored, whether no character is lost for good)."""
+    """(damaged, text with every restorable span restored, whether nothing damaged is left in it)."""
     if not text or text.isascii() or _HARMLESS.issuperset(_RUN.findall(text)):
         return False, text, True
-    now = _whole_lines(text)
-    for _ in range(MAX_ROUNDS):
-        if (new := _decode_spans(now)) == now:
-            break
-        now = new
-    now = _pages_swapped(now)
-    lost = "\ufffd" in text
+    lines = [_line(x) for x in _LINES.split(text)]
+    now = _pages_swapped("".join(x for x, _ in lines))
+    lost = "\ufffd" in text or not all(clean for _, clean in lines) or bool(_unread(now))
     return lost or now != text, now, not lost
 
 
 def repair_mojibake(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct damaged row of `df`: its id, `restored` text, and `whole`, false where characters are lost for good.
+    """One row per distinct damaged row of `df`: its id, `restored` text, and `whole`, false where damage is left: characters that
+    are lost for good, or that no page explains.
 
     Rows with null or empty text never come out.  A row that occurs twice comes out once.  Other columns of `df` are
     not read.  The scan is a single narrow stage; only damaged rows are shuffled (for the distinct)."""

@@ -71,3 +71,54 @@ def test_ambiguous_sign_is_damage():
 @pytest.mark.parametrize("text", ["Una col·lecció de llibres.", "Two kW·h and 3 N·m.", "Read syl·la·ble aloud.", "He said“hello”and left.", "Er sagte„Hallo“und ging.", "Wait…what?", "From A→B at 20°C, 5 µm and 3µg.", "Il dit «oui» et nº 5.", "The “quoted” word, it’s well–known."])
 def test_signs_of_correct_text(text):
     assert M.repair(text) == (False, text, True)
+
+
+def read_as(data, page):
+    return "".join(bytes([b]).decode(page) if b < 128 or bytes([b]).decode(page, "ignore") else chr(b) for b in data)
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3, 4, 5, 6])
+@pytest.mark.parametrize("page", ["latin-1", *M.UTF8_MISREAD_AS])
+def test_any_number_of_rounds(page, rounds):
+    for text in TEXTS:
+        broken = text
+        for _ in range(rounds):
+            broken = read_as(broken.encode(), page)
+        assert M.repair(f"Correct beginning. {broken}") == (True, f"Correct beginning. {text}", True)
+
+
+@pytest.mark.parametrize("read", ["cp1252", "latin-1"])
+@pytest.mark.parametrize("true, text", [
+    ("gbk", "我们今天讨论了系统的问题，但是没有得到结果。"), ("gbk", "数据库的备份在昨天晚上已经完成了，请检查。"), ("euc_kr", "안녕하세요 오늘은 서버 점검을 합니다"), ("euc_kr", "데이터베이스 백업이 완료되었습니다 확인해 주세요"),
+    ("big5", "我們今天討論了系統的問題，但是沒有得到結果。"), ("euc_jp", "昨日の作業では、古い索引を再作成しました。"), ("cp932", "昨日の作業では、古い索引を再作成しました。"),
+])
+def test_east_asian_pages(true, text, read):
+    assert M.repair(f"Elif: {read_as(text.encode(true), read)}") == (True, f"Elif: {text}", True)
+
+
+@pytest.mark.parametrize("text", ["Größe", "Der Schlüssel", "Der Schlüssel ist weg und die Größe stimmt nicht."])
+def test_pc_page(text):
+    assert M.repair(text.encode("cp1252").decode("cp437")) == (True, text, True)
+
+
+@pytest.mark.parametrize("true, text", [("gbk", "龍鳳麒麟龜鶴"), ("euc_kr", "漢字混用文"), ("iso8859_7", "καλημέρα σας, λειτουργία"), ("cp1255", "שלום לכולם, בדיקה")])
+def test_what_no_page_explains_stays(true, text):
+    """Damage that none of the rules reads is told, and the text is left as it came."""
+    broken = read_as(text.encode(true), "latin-1")
+    assert M.repair(broken) == (True, broken, False)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_what_is_restored_reads_wrong_again(seed):
+    """A restored text, damaged again along the same page, is the source: nothing is invented."""
+    import random
+
+    rng = random.Random(seed)
+    page = rng.choice(M.UTF8_MISREAD_AS)
+    text = " ".join(rng.choice(TEXTS).split()[k % 3] for k in range(6))
+    broken = read_as(text.encode(), page)
+    bad, restored, whole = M.repair(broken)
+    if bad and whole:
+        assert read_as(restored.encode(), page) == broken or restored.encode().decode() == restored and len(restored) < len(broken)
+    else:
+        assert restored == broken or not whole
