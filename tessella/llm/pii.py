@@ -7,8 +7,11 @@ mapped back, so that positions and replacements refer to the source as it is.
 
 Names are told by a model of the people table: given names, and family names as
 stems and endings that several people share, so that families the table lacks
-are known too if their halves are.  The table is a dimension; its size is
-checked against `PEOPLE`.
+are known too if their halves are; and, whoever is in the table, by given names
+that are common in many countries before a capitalized word that is no ordinary
+one.  The people table may have any size: what is made of it, and broadcast, are
+its different given names and family parts, which are few however many people
+there are, and whose number is checked against `PARTS`.
 
 Null, empty and blank contents have nothing; repeated rows count once.
 """
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PEOPLE = 200_000
+PARTS = 200_000
 KINDS = ("name", "email", "phone", "id_number", "address")
 
 # --- Disguises -------------------------------------------------------------------------------------------------------
@@ -42,6 +45,8 @@ _DOT = re.compile(r"(?i)(?<=\w)(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\
 _SUSPECT = re.compile(f"[{_INVISIBLE}！-～Ѐ-ԯΑ-ω]")
 _AT_HINTS = ("[at", "(at", "{at", "<at", "[ at", "( at", " dot ", "[dot", "(dot", "[@", "(@", "[ @", "( @", "arroba", "ät]", "ät)", "punkt", "punto")
 _LABEL = re.compile(r"[\w-]+")
+_LOCAL_CHAR = re.compile(r"[\w.+-]")
+_DOT_BEFORE = re.compile(r"(?i)(?<=\w)(?:\s+dot\s+|\s*[\[(]\s*dot\s*[\])]\s*)\Z")
 
 
 def _edits(text: str, low: str) -> list[tuple[int, int, str]]:
@@ -65,10 +70,13 @@ def _edits(text: str, low: str) -> list[tuple[int, int, str]]:
                 out.append((x.start(), x.end(), "."))
                 at = x.end()
             end = m.start()
-            while x := re.search(r"(?i)(?<=\w)(?:\s+dot\s+|\s*[\[(]\s*dot\s*[\])]\s*)(?=[\w.+-]+\Z)", text[max(0, end - 80):end]):
-                base = max(0, end - 80)
-                out.append((base + x.start(), base + x.end(), "."))
-                end = base + x.start()
+            while True:
+                while end and _LOCAL_CHAR.match(text[end - 1]):
+                    end -= 1
+                if not (x := _DOT_BEFORE.search(text, max(0, end - 40), end)):  # a disguise, however long the name before it
+                    break
+                out.append((x.start(), x.end(), "."))
+                end = x.start()
     if sum(low.count(w) for w in _DIGIT_WORDS) >= 6:
         for m in _SPELLED.finditer(text):
             digits, times = "", 1
@@ -130,21 +138,30 @@ _PARTICLES = "af|av|de|da|di|del|della|dos|du|la|le|van|van der|van den|von|von
 _LETTER = r"[^\W\d_]"
 
 
+def _name_parts(name: str) -> tuple[str, list[str]] | None:
+    """The given name and the parts of the family name of a person's name; none of what isn't one."""
+    if not name or not re.fullmatch(rf"{_LETTER}[\w'’. -]*", name) or re.search(r"\d|bot$", name):
+        return None
+    w = name.split()
+    return (w[0], w[-1].split("-")) if len(w) > 1 else None
+
+
 class People:
     """Given names and families of a people table."""
 
     def __init__(self, names: list[str]):
-        given, families = Counter(), Counter()
-        for n in names:
-            if not n or not re.fullmatch(rf"{_LETTER}[\w'’. -]*", n) or re.search(r"\d|bot$", n):
-                continue
-            w = n.split()
-            if len(w) < 2:
-                continue
-            given[w[0]] += 1
-            families[w[-1]] += 1
+        split = [x for n in names if (x := _name_parts(n))]
+        self._learn({g for g, _ in split}, {p for _, f in split for p in f})
+
+    @classmethod
+    def of_parts(cls, given: set[str], parts: set[str]) -> People:
+        out = cls([])
+        out._learn(given, parts)
+        return out
+
+    def _learn(self, given: set[str], family_parts: set[str]) -> None:
         self.given = sorted((g for g in given if len(g) > 1 and g[0].isupper()), key=lambda g: (-len(g), g))
-        parts = sorted({p for f in families for p in f.split("-") if len(p) > 2 and p[0].isupper()})
+        parts = sorted(p for p in family_parts if len(p) > 2 and p[0].isupper())
         stems, ends = Counter(), Counter()
         for p in parts:
             for i in range(3, len(p) - 1):
@@ -193,27 +210,51 @@ def _cased(name: str) -> bool:
     return all(w[0].isupper() or w.lower() in "af av de da di del della dos du la le van der den von ter ten zu".split() for w in words) and not any(w.isupper() and len(w) > 1 for w in words)
 
 
+# Given names that are common in many countries and are no ordinary words of a text.
+_COMMON = frozenset("""Ahmed Aisha Akira Alejandro Aleksandra Alessandro Amina Ananya Andrei Anjali Antonio Arjun Bogdan Carlos Chiara Chidi Chioma Deepak Dmitri Dmitry Ekaterina Emeka Fatima Fernando Francesca Giovanni Giulia
+Giuseppe Guillermo Haruka Hassan Hiroshi Ibrahim Isabella Ivan Jamal Jorge José Juan Kavita Kenji Khadija Krzysztof Kwame Lakshmi Leila Luca Magdalena Małgorzata Mariana Mehmet Mei Mohamed Mohammed Muhammad Mustafa Natalia
+Nikolai Ngozi Nguyen Olga Oluwaseun Omar Pablo Paolo Priya Rahul Rajesh Ravi Roberto Sanjay Sergei Sergey Sofía Sunita Svetlana Takeshi Tatiana Thabo Vikram Vladimir Wei Wojciech Xiao Yuki Yusuf Zainab""".split())
+# Words that stand behind a given name without being a family's.
+_NOT_FAMILIES = frozenset("And Or The A An Is Was Has Had Will Can Team Service Cluster Server Group Project Street Road Avenue Lane Drive On In At For From To With By Of As If But Not When Then This That Please Thanks Hi Hello".split())
+_COMMON_NAME = re.compile(rf"(?<![\w@.+/-])({'|'.join(sorted(_COMMON, key=lambda x: (-len(x), x)))})[  ]((?:(?:{_PARTICLES})[  ])?[A-ZÀ-ÖØ-ÞŁŚŻŹČŠŽ][^\W\d_]+(?:-[A-ZÀ-ÖØ-ÞŁŚŻŹČŠŽ][^\W\d_]+)?)(?![\w@]|[.+-]\w)")
+
+
+def _common_names(t: str):
+    for m in _COMMON_NAME.finditer(t):
+        if m[2] not in _NOT_FAMILIES and not m[2].isupper():
+            yield m.span()
+
+
 # --- The other kinds -------------------------------------------------------------------------------------------------
 
-_LOCAL = re.compile(r"[\w.%+'*=/!#$&?^`{|}~-]*[\w+-]\Z")
+_LOCAL = frozenset("0123456789_.%+'-") | frozenset(chr(c) for c in range(0x250) if chr(c).isalpha())
 _DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w@-])")
+_SAYS_MAIL = re.compile(r"(?i)(?:mailto|e-?mail|mail|cc|to|from|contact|sender|author|reply-to|bcc|by|write|at|address|addr):\Z")
+_IN_ADDRESS = re.compile(r"[\w$}%]:\Z")
 
 
 def _emails(t: str):
-    i = t.find("@")
+    """One pass: the word that an address stands in, and whether a "://" is in it, are carried on from address to address."""
+    i, read, word, scheme = t.find("@"), 0, 0, -1
     while i >= 0:
         m = _DOMAIN.match(t, i + 1)
-        if m:
-            left = re.search(r"[A-Za-zÀ-ɏ0-9_.%+'-]*[A-Za-zÀ-ɏ0-9_+-]\Z", t[max(0, i - 70):i])
-            if left and left[0].strip("._%+'-"):
-                a = i - len(left[0])
-                while t[a] in ".'-%+":
-                    a += 1
-                word = re.search(r"\S*\Z", t[max(0, a - 200):a])[0]
-                remote = left[0] == "git" and t[m.end():m.end() + 1] in (":", "/")
-                in_address = "://" in word or re.search(r"[\w$}%]:\Z", word) and not re.search(r"(?i)(?:mailto|e-?mail|mail|cc|to|from|contact|sender|author|reply-to|bcc|by|write|at|address|addr):\Z", word)
-                if not remote and not in_address:
-                    yield a, m.end()
+        a = i
+        while a > read and t[a - 1] in _LOCAL:
+            a -= 1
+        while a < i and t[a] in ".'-%+":
+            a += 1
+        if m and a < i and t[i - 1] not in ".%'" and t[a:i].strip("._%+'-"):
+            for k in range(a - 1, read - 1, -1):
+                if t[k].isspace():
+                    word = k + 1
+                    break
+            scheme = max(scheme, t.rfind("://", max(0, read - 3), a))
+            left = t[max(word, a - 16):a]
+            remote = t[a:i] == "git" and t[m.end():m.end() + 1] in (":", "/")
+            in_address = scheme >= word or _IN_ADDRESS.search(left) and not _SAYS_MAIL.search(left)
+            read = a
+            if not remote and not in_address:
+                yield a, m.end()
         i = t.find("@", i + 1)
 
 
@@ -267,12 +308,14 @@ _FLAT = r"(?:,\s(?:Apt|Flat|Unit|Suite|Ste|Floor|Room)\.? ?\w+)?"
 _ADDRESS = re.compile(
     r"(?<![\w./:@#-])(?:"
     rf"\d{{1,5}}[a-z]?,? (?:{_CAP} ){{1,3}}(?:Street|Str|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Way|Close|Court|Ct|Crescent|Cres|Row|Place|Pl|Terrace|Square|Sq|Boulevard|Blvd|Hill|Gardens|Walk|Mews|Parade|Grove|Highway|Parkway)\b\.?{_FLAT}{_TOWN}"
+    rf"|(?:Rue|Avenue|Boulevard|Place|Chemin|Quai|Allée)(?: (?:de la|de l[’']|du|des|de|d[’']))? ?(?:{_CAP}[ -]?)+,? ?\d{{1,4}}[a-z]?\b{_TOWN}"
+    rf"|(?:{_CAP} )?{_CAP}(?:gatan|vägen|gränd|torget|gade|veien|vej|straat|laan|kade|plein|gracht|dijk|katu) \d{{1,4}}(?: ?[a-zA-Z])?\b{_TOWN}"
     rf"|\d{{1,5}}(?: ?(?:bis|ter|[a-z]))?,? (?:rue|avenue|boulevard|place|chemin|impasse|allée|quai|route|cours)(?: (?:de la|de l[’']|du|des|de|d[’'])){{0,1}} ?(?:{_CAP}[ -]?)+{_TOWN}"
     rf"|(?:{_CAP}[ -])?{_CAP}(?<=[a-zäöüß])?(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|damm|ufer|steig) \d{{1,4}}(?: ?[a-z])?\b{_TOWN}"
     rf"|(?:Calle|Avenida|Plaza|Paseo|Rua|Via|Viale|Piazza|ul\.|al\.|ulica|aleja|plac)(?: (?:de|del|la|las|los|da|do|dos))* (?:{_CAP} ?)+,? ?(?:n[.º°]? ?)?\d{{1,4}}[a-z]?\b{_TOWN}"
     r")"
 )
-_STREETS = ("Street", "Str", " St ", " St.", " St,", "Avenue", " Ave", "Road", " Rd", "Lane", " Ln", "Drive", " Dr", "Way", "Close", "Court", " Ct", "Cres", "Row", "Place", " Pl", "Terrace", "Square", " Sq", "Boulevard", "Blvd", "Hill", "Gardens", "Walk", "Mews", "Parade", "Grove", "Highway", "Parkway", "straße", "strasse", "str.", "weg ", "allee ", "platz ", "gasse ", "ring ", "damm ", "ufer ", "steig ", " rue", " avenue", " boulevard", " place", "chemin", "impasse", "allée", " quai", " route", " cours", "Calle", "Avenida", "Plaza", "Paseo", "Rua ", "Via ", "Viale", "Piazza", "ul.", "al.", "ulica", "aleja", "plac ")
+_STREETS = ("Street", "Str", " St ", " St.", " St,", "Avenue", " Ave", "Road", " Rd", "Lane", " Ln", "Drive", " Dr", "Way", "Close", "Court", " Ct", "Cres", "Row", "Place", " Pl", "Terrace", "Square", " Sq", "Boulevard", "Blvd", "Hill", "Gardens", "Walk", "Mews", "Parade", "Grove", "Highway", "Parkway", "straße", "strasse", "str.", "weg ", "allee ", "platz ", "gasse ", "ring ", "damm ", "ufer ", "steig ", " rue", " avenue", " boulevard", " place", "chemin", "impasse", "allée", " quai", " route", " cours", "Calle", "Avenida", "Plaza", "Paseo", "Rua ", "Via ", "Viale", "Piazza", "ul.", "al.", "ulica", "aleja", "plac ", "Rue ", "Chemin", "Quai ", "Allée ", "gatan ", "vägen ", "gränd ", "torget ", "gade ", "veien ", "vej ", "straat ", "laan ", "kade ", "plein ", "gracht ", "dijk ", "katu ")
 
 
 def _addresses(t: str):
@@ -296,11 +339,14 @@ def find(content: str | None, people: People) -> list[tuple[str, int, int]]:
     spans += [("phone", a, b) for a, b in _phones(t)]
     spans += [("phone", a, b) for a, b in n.spelled if 9 <= b - a <= 15]
     spans += [("name", a, b) for a, b in people.spans(t)]
+    spans += [("name", a, b) for a, b in _common_names(t)]
     out: list[tuple[str, int, int]] = []
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []  # of the spans that stay, in order, and their ends
+    ends: list[int] = []
     for kind, a, b in spans:
-        if not any(a < y and x < b for x, y in taken):
-            taken.append((a, b))
+        k = bisect_right(starts, a)
+        if (k == 0 or ends[k - 1] <= a) and (k == len(starts) or starts[k] >= b):
+            starts.insert(k, a), ends.insert(k, b)
             out.append((kind, n.start(a), n.end(b)))
     return sorted(out, key=lambda x: x[1:])
 
@@ -316,11 +362,16 @@ def redact(content: str | None, spans: list[tuple[str, int, int]]) -> str | None
 
 
 def people_of(users: DataFrame, name_col: str = "name") -> People:
-    """The model of a people table of at most `PEOPLE` different names (else it raises)."""
-    names = [r[0] for r in users.select(name_col).where(F.col(name_col).isNotNull()).distinct().limit(PEOPLE + 1).collect()]
-    if len(names) > PEOPLE:
-        raise ValueError(f"more than {PEOPLE} different names: give a smaller people table")
-    return People(sorted(names))
+    """The model of a people table of any size with at most `PARTS` different given names and family parts (else it raises)."""
+    def run(batches):
+        for b in batches:
+            seen = {x for n in b.column(0).to_pylist() if (p := _name_parts(n)) for x in [("g", p[0]), *(("f", y) for y in p[1])]}
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.string())], ["kind", "part"])
+
+    rows = users.select(F.col(name_col).alias("name")).where(F.col(name_col).isNotNull()).distinct().mapInArrow(run, "kind string, part string").distinct().limit(PARTS + 1).collect()
+    if len(rows) > PARTS:
+        raise ValueError(f"more than {PARTS} different given names and family parts: that is no table of people")
+    return People.of_parts({r[1] for r in rows if r[0] == "g"}, {r[1] for r in rows if r[0] == "f"})
 
 
 def find_personal_data(df: DataFrame, users: DataFrame) -> DataFrame:

@@ -55,6 +55,36 @@ def test_table(spark):
     assert P.find_personal_data(df.limit(0), users).count() == 0
     assert {r.kind for r in P.find_personal_data(df, users.limit(0)).collect()} == {"phone"}
     with pytest.MonkeyPatch.context() as m:
-        m.setattr(P, "PEOPLE", 2)
+        m.setattr(P, "PARTS", 2)
         with pytest.raises(ValueError):
             P.people_of(users)
+    many = spark.range(300_000).selectExpr("concat('Elif Brem', substr('quistdahlwick', 1 + id % 9, 4)) AS name")
+    assert P.people_of(many).given == ["Elif"], "more people than parts"
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("ask Wei Zhang and Priya Natarajan", ["Wei Zhang", "Priya Natarajan"]), ("by José García-Pérez, Omar van der Berg", ["José García-Pérez", "Omar van der Berg"]),
+    ("Wei Team, Omar Is here, Ivan THE", []), ("Rue de Rivoli 12, Paris", ["Rue de Rivoli 12, Paris"]), ("to Kungsgatan 12 now", ["Kungsgatan 12"]), ("Keizersgracht 101 b", ["Keizersgracht 101 b"]), ("Nørregade 7, Odense", ["Nørregade 7, Odense"]),
+])
+def test_beyond_the_table(text, expected, people):
+    assert [t for _, t in spans(text, people)] == expected
+
+
+@pytest.mark.parametrize("n", [10, 60, 75, 300, 5000])
+def test_long_addresses(n, people):
+    """No address is cut for its length, nor for that of the word it stands in."""
+    local = "ab." * (n // 3) + "c"
+    assert spans(f"to {local}@orbiq.example now", people) == [("email", f"{local}@orbiq.example")]
+    dotted = " dot ".join(["ab"] * (n // 6 + 1))
+    assert spans(f"to {dotted} [at] orbiq dot example", people)[0][0] == "email" and spans(f"to: {dotted} [at] orbiq dot example", people)[0][1].startswith("ab")
+    assert spans("https://" + "x" * n + ":y@orbiq.example", people) == []
+    assert spans("x" * n + ",bram@orbiq.example", people) == [("email", "bram@orbiq.example")]
+
+
+def test_many_values_in_one_text(people):
+    import time
+
+    began = time.monotonic()
+    text = "Elif Bremquist bram@orbiq.example,+19375550174; " * 8000
+    assert len(P.find(text, people)) == 24000 and len(P.find("a@b.example," * 20_000, people)) == 20_000
+    assert time.monotonic() - began < 60
