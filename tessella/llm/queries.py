@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import conversations, credentials, leaks, mojibake, neardup, pii, splitter, tokens
@@ -36,6 +36,12 @@ def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.redact_credentials(_diffs(spark, folder)).dropDuplicates(["tbl", "rec_id"])
 
 
+def p2_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What redaction must leave and must not: the number of line ends of every text, and of key headers with key lines below."""
+    open_key = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----\n[-+ ]?[A-Za-z0-9+/]{40,}"
+    return p2_redacted(spark, folder).select("tbl", "rec_id", F.regexp_count("redacted", F.lit("\n")).cast("bigint").alias("n_line_ends"), F.regexp_count("redacted", F.lit(open_key)).cast("bigint").alias("n_open_keys"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal_data(contents(spark, folder), read(spark, folder, "users")).select("tbl", "rec_id", "kind", "start_pos")
 
@@ -61,10 +67,28 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitter.split_oversized(contents(spark, folder), read(spark, folder, "ingest_config"))
 
 
+def p4_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Every oversized text put together again from its pieces, and the number of its pieces above the limit."""
+    limits = read(spark, folder, "ingest_config").where("max_chunk_tokens is not null").groupBy("source").agg(F.min("max_chunk_tokens").alias("most"))
+    rows = splitter.split_oversized(contents(spark, folder), read(spark, folder, "ingest_config"), keys=("tbl", "rec_id", "source"))
+    before = F.coalesce(F.lag("end_pos").over(Window.partitionBy("tbl", "rec_id").orderBy("piece_no")), F.lit(0))
+    words = F.size(F.array_remove(F.split(F.translate("piece", "\t\r\n", "   "), " "), ""))
+    size = F.greatest(words, F.floor(F.length("piece") / 4))
+    new = rows.join(limits, "source").withColumn("new", F.substring("piece", before - F.col("start_pos") + 1, F.length("piece"))).withColumn("over", (size > F.col("most")).cast("bigint"))
+    # The pieces of one text, which was a row's value.
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("piece_no", "new"))), lambda x: x["new"])
+    return new.groupBy("tbl", "rec_id").agg(F.md5(F.array_join(parts, "")).alias("content"), F.sum("over").alias("n_over"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(read(spark, folder, "documents"))
 
 
+def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text read back from its ids."""
+    return tokens.decode_corpus(p6_ids(spark, folder)).select("doc_id", F.md5("text").alias("text"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).select("doc_id", "item_id")
 
@@ -82,7 +106,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_spans, p2_redacted, p3_found, p3_conversations, p4_found, p4_pieces, p5_found, p5_replaced, p6_ids, p7_found, p7_leaks, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_spans, p2_redacted, p2_kept, p3_found, p3_conversations, p4_found, p4_pieces, p4_rebuilt, p5_found, p5_replaced, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_restored)}
 
 
 _BOTH = "(SELECT DISTINCT 'records' AS tbl, id, source, content FROM records UNION SELECT DISTINCT 'chunks', id, source, content FROM chunks)"
@@ -113,5 +137,21 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (h)"""
 _P7_LEAKS = _P7.replace("SELECT DISTINCT doc_id, item_id FROM", "SELECT doc_id, item_id, count(*) AS n_windows FROM") + " GROUP BY doc_id, item_id"
 
 
+_P1_GROUPS = rf"""WITH RECURSIVE pairs AS ({_P1}),
+sets AS (SELECT tbl, id, list_sort(list_distinct(list_filter(string_split_regex(lower(content), '[ \t\r\n]+'), lambda t: t <> ''))) AS w FROM {_BOTH} WHERE content IS NOT NULL),
+cls AS (SELECT tbl, id, min(id) OVER (PARTITION BY tbl, w) AS class_id, count(*) OVER (PARTITION BY tbl, w) AS copies FROM (SELECT DISTINCT tbl, id, w FROM sets WHERE len(w) >= 30)),
+edges AS (SELECT tbl, id_a AS a, id_b AS b FROM pairs UNION ALL SELECT tbl, id_b, id_a FROM pairs),
+reach(tbl, id, g) AS (SELECT tbl, id, id FROM cls UNION SELECT r.tbl, e.b, r.g FROM reach r JOIN edges e ON e.tbl = r.tbl AND e.a = r.id),
+grp AS (SELECT tbl, id, min(g) AS group_id FROM reach GROUP BY tbl, id),
+lnk AS (SELECT x.tbl, x.class_id, count(DISTINCT y.class_id) AS links FROM edges e JOIN cls x ON x.tbl = e.tbl AND x.id = e.a JOIN cls y ON y.tbl = e.tbl AND y.id = e.b WHERE x.class_id <> y.class_id GROUP BY ALL)
+SELECT c.tbl, c.id AS rec_id, c.class_id, g.group_id, c.copies, coalesce(l.links, 0) AS links FROM cls c JOIN grp g USING (tbl, id) LEFT JOIN lnk l ON l.tbl = c.tbl AND l.class_id = c.class_id"""
+_P2_KEPT = "SELECT DISTINCT tbl, rec_id, (length(content) - length(replace(content, chr(10), '')))::BIGINT AS n_line_ends, CASE WHEN content IS NOT NULL THEN 0::BIGINT END AS n_open_keys FROM (SELECT 'git' AS tbl, hash AS rec_id, diff AS content FROM git UNION ALL SELECT 'records', id, content FROM records)"
+_P3_ROLES = _P3.replace("SELECT channel_id, try_cast(ts AS DECIMAL(24, 6)) AS ts,", "SELECT channel_id, user_id, try_cast(ts AS DECIMAL(24, 6)) AS ts,").replace("text DESC NULLS LAST)", "text DESC NULLS LAST, try_cast(thread_ts AS DECIMAL(24, 6)) DESC NULLS LAST, subtype DESC NULLS LAST, user_id DESC NULLS LAST)").replace(
+    "c AS (SELECT channel_id, root FROM l GROUP BY ALL", "c AS (SELECT channel_id, root, max(CASE WHEN ts = root THEN user_id END) AS starter FROM l GROUP BY channel_id, root").replace(
+    "ts::VARCHAR AS ts FROM l", "ts::VARCHAR AS ts, user_id, text, CASE WHEN user_id IN (SELECT id FROM users WHERE is_bot AND id IS NOT NULL) THEN 'bot' WHEN user_id = starter THEN 'starter' ELSE 'participant' END AS role FROM l")
+_P4_REBUILT = _P4.replace("SELECT DISTINCT tbl, id AS rec_id FROM", "SELECT DISTINCT tbl, id AS rec_id, md5(content) AS content, 0::BIGINT AS n_over FROM")
+_P6_DECODED = "SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p3_found": _P3, "p4_found": _P4, "p7_found": _P7, "p7_leaks": _P7_LEAKS}
+    return {"p1_found": _P1, "p1_groups": _P1_GROUPS, "p2_kept": _P2_KEPT, "p3_found": _P3, "p3_conversations": _P3_ROLES, "p4_found": _P4, "p4_rebuilt": _P4_REBUILT, "p6_decoded": _P6_DECODED, "p7_found": _P7, "p7_leaks": _P7_LEAKS}
