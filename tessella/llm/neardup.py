@@ -160,7 +160,7 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (ka, kb, na, nb, pa, pb) that sizes and parities don't rule out: the tokens that only one set has are
+    """Pairs (a, b, na, nb, pa, pb) that sizes and parities don't rule out: the tokens that only one set has are
     fewer than (1 - t) / (1 + t) of all, and at least as many as the differing parity bits."""
     limit = (1 - threshold) / (1 + threshold)
 
@@ -172,7 +172,33 @@ def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
             keep = np.maximum(apart, np.abs(na - nb)) < limit * (na + nb)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    return pairs.select("ka", "kb", "na", "nb", "pa", "pb").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
+
+
+#: Most bits of the table that tells which sets are asked for (16 MB): beyond, more sets are shuffled that are not.
+MOST_BITS = 1 << 27
+
+
+def _among(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of `sets` whose cls is in a pair (a, b), and a few others: those that share its bit in a table of bits, which
+    has 16 bits for each and is broadcast."""
+    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    bits = min(MOST_BITS, 1 << max(10, (16 * asked.count()).bit_length()))
+    at = F.col("cls").bitwiseAND(F.lit(bits - 1))
+    words = np.zeros(bits // 64, np.int64)
+    # As many rows as the table has words, at most.
+    for r in asked.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(cls & 63 AS INT))")).alias("bits")).collect():
+        words[r["word"]] = r["bits"]
+    shipped = sets.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        words = shipped.value.view(np.uint64)
+        for b in batches:
+            cls = b.column(0).to_numpy()
+            at = (cls & (bits - 1)).astype(np.uint64)
+            yield b.filter(pa.array(words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1))
+
+    return sets.select("cls", "set_key", "tbl", "tokens").mapInArrow(run, "cls bigint, set_key binary, tbl string, tokens string")
 
 
 def _spread(sets: DataFrame) -> DataFrame:
@@ -200,12 +226,14 @@ def _candidates(sets: DataFrame) -> DataFrame:
 
 def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Distinct (a, b), a < b: set_keys of unequal sets of one table whose similarity is above `threshold`."""
-    light = sets.groupBy("cls", "set_key").agg(F.max(F.struct("size", "parity", "tbl")).alias("s")).select("cls", "set_key", "s.size", "s.parity", "s.tbl")
-    one, two = light.toDF("a", "ka", "na", "pa", "tbl"), light.toDF("b", "kb", "nb", "pb", "tbl")
-    possible = _possible(_candidates(sets).join(one, "a").join(two, ["b", "tbl"]), threshold)
-    whole = sets.groupBy("set_key").agg(F.max("tokens").alias("tokens"))
-    found = _verified(possible.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b"), threshold)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Of sets whose cls collides every combination is looked at, here and on the tokens.
+    light = sets.select("cls", "size", "parity").distinct()
+    one, two = light.toDF("a", "na", "pa"), light.toDF("b", "nb", "pb")
+    possible = materialize(_possible(_candidates(sets).join(one, "a").join(two, "b"), threshold).distinct())
+    whole = _among(sets, possible).groupBy("cls", "set_key", "tbl").agg(F.max("tokens").alias("tokens"))
+    pairs = possible.join(whole.toDF("a", "ka", "tbl", "ta"), "a").join(whole.toDF("b", "kb", "tbl", "tb"), ["b", "tbl"])
+    found = _verified(pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "ta", "tb"), threshold)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_pairs(df: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
