@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-PIPELINE = ("scrape", "ingest", "query", "stats", "eval", "inspect")
+PIPELINE = ("scrape", "ingest", "query", "stats", "eval", "inspect", "export")
 
 
 def is_pipeline(argv: list[str]) -> bool:
@@ -51,10 +51,14 @@ def pipeline_parser() -> argparse.ArgumentParser:
     s.add_argument("--force", action="store_true")
     s.add_argument("--source", help="index this source alone: replaces the whole index")
     s = sub.add_parser("query")
-    s.add_argument("text")
+    s.add_argument("text", nargs="?", help="without it, questions are read line by line")
     s.add_argument("--source")
     sub.add_parser("stats")
-    sub.add_parser("eval")
+    s = sub.add_parser("eval")
+    s.add_argument("--output", help="file for a report of every question")
+    s.add_argument("--cases", type=int, default=50)
+    s = sub.add_parser("export", help="the record collection as JSON lines")
+    s.add_argument("path")
     s = sub.add_parser("inspect")
     s.add_argument("what", choices=("raw", "docs", "sample", "grep"))
     s.add_argument("term", nargs="?", default="")
@@ -72,7 +76,7 @@ def search_remote(a: argparse.Namespace) -> dict:
         from .functions.filters import parse_filters
 
         params["filter"] = json.dumps(parse_filters(a.filter))
-    with urlopen(f"{a.server.rstrip('/')}/search?{urlencode(params)}", timeout=180) as r:
+    with urlopen(f"{a.server.rstrip('/')}/search?{urlencode(params)}", timeout=180 if a.server.startswith("https") else 30) as r:
         return json.load(r)
 
 
@@ -105,8 +109,14 @@ def main(argv: list[str] | None = None) -> int:
     a = pipeline_parser().parse_args(argv)
     c = config.load(a.config)
     if a.command == "scrape":
-        print("scrapers are providers: register one for the source and land its files in the raw folder", file=sys.stderr)
-        return 2
+        from .sources import scrapers
+
+        try:
+            print(json.dumps(scrapers.run(a.source, c.data.raw_dir, c.scrape.get(a.source, {}))))
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 2
+        return 0
     spark = session.build()
     index = Index(spark, c.data.index_dir, max_chunk_tokens=c.ingest.max_chunk_tokens, chunk_overlap_tokens=c.ingest.chunk_overlap_tokens, dedup_threshold=c.retrieval.dedup_threshold)
     if a.command == "ingest":
@@ -115,20 +125,18 @@ def main(argv: list[str] | None = None) -> int:
         docs = normalize_all(spark, c.data.raw_dir)
         print(json.dumps(index.ingest(docs.where(docs.source == a.source) if a.source else docs, a.force)))
     elif a.command == "query":
-        for r in index.query(a.text, source=a.source).sources:
-            print(f"{r['rank']}. [{r['source']}] {r['title']} ({r['id']})")
+        for text in [a.text] if a.text else iter(lambda: input("? "), ""):
+            for r in index.query(text, source=a.source).sources:
+                print(f"{r['rank']}. [{r['source']}] {r['title']} ({r['id']})")
     elif a.command == "stats":
         from .operators.inspect import duplicates, lengths, source_counts
 
         for t in (source_counts(index.chunks()), lengths(index.chunks()), duplicates(index.chunks())):
             t.show(100, False)
     elif a.command == "eval":
-        from .operators import evaluation as E
-
-        found = E.mentions(index.chunks())
-        asked = E.synthesized_queries(found, E.entities(found))
-        hits = index.search(asked)
-        E.summary(E.evaluate({"rerank": hits}, E.labels(found).join(asked.select("query_id"), "query_id", "left_semi"))).show()
+        index.evaluate(a.output, a.cases).show()
+    elif a.command == "export":
+        index.export_records(a.path)
     else:
         from .operators import inspect as I
         from .sources.normalize import normalize_all

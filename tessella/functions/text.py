@@ -64,12 +64,15 @@ def links(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"<(https?://[^|>]+)(?:\|[^>]*)?>"), 1)
 
 
+# Fixed values, in this order: the tags that become text, every other tag, entities, runs of line ends.
+HTML_STEPS = (
+    (r"<br\s*/?>", "\n"), (r"<li[^>]*>", "- "), (r"<h[1-6][^>]*>", "\n## "), (r"</h[1-6]>", "\n"), (r"<p[^>]*>", "\n"), (r"<[^>]+>", ""),
+    ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), (r"\n{3,}", "\n\n"),
+)
+
+
 def html_to_text(c: Column) -> Column:
-    # Fixed values, in this order: the tags that become text, every other tag, entities, runs of line ends.
-    for pattern, to in (
-        (r"<br\s*/?>", "\n"), (r"<li[^>]*>", "- "), (r"<h[1-6][^>]*>", "\n## "), (r"</h[1-6]>", "\n"), (r"<p[^>]*>", "\n"), (r"<[^>]+>", ""),
-        ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), (r"\n{3,}", "\n\n"),
-    ):
+    for pattern, to in HTML_STEPS:
         c = F.regexp_replace(c, pattern, to)
     return strip(c)
 

@@ -6,8 +6,13 @@ end.  Functions return the new state; `store.Store` publishes it atomically.
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions.filters import CORE, compile_filter
 from ..schema import DOCUMENT, META, RECORD, text_value
@@ -72,12 +77,35 @@ def problems(records: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A collection saved as JSON lines; a malformed line fails the read."""
+    """A collection saved as JSON lines, metadata with their kinds; a malformed line, a value that is no scalar and a
+    reserved name fail the read."""
     from ..sources.raw import read_jsonl
 
+    meta = to_arrow_type(StructType.fromDDL(DOCUMENT)["metadata"].dataType)
+
+    def run(batches):
+        for b in batches:
+            parsed = [list(metadata_of(json.loads(m)).items()) if m else [] for m in b.column(4).to_pylist()]
+            rows = pa.array([[(k, dict(zip(("kind", "s", "d", "cf"), v))) for k, v in m] for m in parsed], meta)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), rows, b.column(5)], [*COLUMNS, "ord"])
+
     rows = read_jsonl(spark, path, RECORD)
-    kinds = F.transform_values(F.from_json("metadata", "map<string,string>"), lambda _, v: text_value(v))
-    return rows.select("id", "source", "content", "title", F.coalesce(kinds, F.expr(f"CAST(map() AS map<string,{META}>)")).alias("metadata"), F.col("src_ord").alias("ord"))
+    return rows.select("id", "source", "content", "title", "metadata", F.col("src_ord").cast("bigint").alias("ord")).mapInArrow(run, DOCUMENT + ", ord bigint")
+
+
+def scalar(v) -> str | int | float | bool:
+    """A metadata value as it was given."""
+    return {"int": lambda: int(v["s"]), "float": lambda: float(v["s"]), "bool": lambda: v["s"] == "True"}.get(v["kind"], lambda: v["s"])()
+
+
+def write_records(state: DataFrame, path: str) -> None:
+    """A collection as JSON lines in its order (a folder of files), metadata with their kinds."""
+    def run(batches):
+        for b in batches:
+            lines = [json.dumps({c: r[c] for c in COLUMNS[:4]} | {"metadata": {k: scalar(v) for k, v in r["metadata"] or []}}, ensure_ascii=False) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+
+    state.repartitionByRange("ord").sortWithinPartitions("ord").select(*COLUMNS).mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def metadata_of(fields: dict) -> dict:

@@ -1,8 +1,8 @@
 """Exact inner-product search for many queries at once.
 
-Queries go to the executors in blocks of a bounded size, as a matrix; each
-Arrow batch of vectors is multiplied with it and keeps its own k best per
-query, so what is shuffled is k rows per query and batch, whatever the corpus.
+Queries go to the executors in blocks of a bounded size, as a matrix; each task
+multiplies its vectors with it and keeps its own k best per query, so what is
+shuffled is k rows per query and task, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .best import Best, in_blocks
 from .lexical import top_k
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, ROWS = 4096, 2000
 
 
 def normalized(v: Column) -> Column:
@@ -27,27 +28,23 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _block_scores(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, q_kind: str) -> DataFrame:
+def _block(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, q_kind: str) -> DataFrame:
     kind = vectors.schema["id"].dataType.simpleString()
     shipped = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches):
         ids, m = shipped.value
+        best = Best(len(ids), k)
         for b in batches:
             b = b.filter(b.column(1).is_valid())
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if not len(b):
-                continue
-            scores = flat.reshape(len(b), -1) @ m.T
-            take = min(k + 8, len(b))  # a few more than k, for scores that differ beyond the digits compared
-            best = np.argpartition(-scores, take - 1, axis=0)[:take] if take < len(b) else np.repeat(np.arange(len(b))[:, None], m.shape[0], axis=1)
-            rows, cols = best.T.ravel(), np.repeat(np.arange(m.shape[0]), best.shape[0])
-            # Ties with the last one kept must not depend on the partition's order.
-            edge = np.round(np.take_along_axis(scores, best, axis=0).min(axis=0), 6)
-            more = np.argwhere(np.round(scores, 6) == edge[None, :])
-            rows, cols = np.concatenate([rows, more[:, 0]]), np.concatenate([cols, more[:, 1]])
-            pairs = np.unique(np.stack([cols, rows], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[c] for c in pairs[:, 0]]), b.column(0).take(pa.array(pairs[:, 1])), pa.array(scores[pairs[:, 1], pairs[:, 0]])], ["query_id", "id", "score"])
+            for at in range(0, len(b), ROWS):
+                part = b.slice(at, ROWS)
+                scores = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1) @ m.T
+                row, query = np.nonzero(scores >= best.least - 1e-6)
+                best.add(query, part.column(0), row, scores[row, query])
+        t = best.prune()
+        if t is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(ids).take(t.column("q").combine_chunks()), t.column("id").combine_chunks(), t.column("score").combine_chunks()], ["query_id", "id", "score"])
 
     return vectors.select("id", "embedding").mapInArrow(run, f"query_id {q_kind}, id {kind}, score double")
 
@@ -56,24 +53,14 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int
     """(query_id, id, score, rank) of the k vectors (id, embedding) with the largest inner product with each query
     (query_id, embedding).  Null vectors never match.  Filter `vectors` first to search a part of them."""
     q_kind = queries.schema["query_id"].dataType.simpleString()
-    out = None
-    held: list = []
-
-    def flush():
-        nonlocal out, held
-        part = _block_scores(vectors, [r[0] for r in held], np.array([r[1] for r in held], np.float64), k, q_kind)
-        out, held = part if out is None else out.unionByName(part), []
-
-    for row in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == block:
-            flush()
-    if held:
-        flush()
-    if out is None:
-        kind = vectors.schema["id"].dataType.simpleString()
-        out = vectors.sparkSession.createDataFrame([], f"query_id {q_kind}, id {kind}, score double")
-    return top_k(out, k)
+
+    def one(rows: list) -> DataFrame:
+        if not rows:
+            kind = vectors.schema["id"].dataType.simpleString()
+            return vectors.sparkSession.createDataFrame([], f"query_id {q_kind}, id {kind}, score double")
+        return _block(vectors, [r[0] for r in rows], np.array([r[1] for r in rows], np.float64), k, q_kind)
+
+    return top_k(in_blocks(queries.where("embedding is not null").select("query_id", "embedding"), block, one), k)
 
 
 def overfetched(vectors: DataFrame, queries: DataFrame, keep: DataFrame, k: int, factor: int = 5) -> DataFrame:

@@ -39,4 +39,4 @@ def raw_files(lines: DataFrame) -> DataFrame:
 def sample(chunks: DataFrame, n: int, seed: int = 0, source: str | None = None) -> DataFrame:
     """n rows at random, the same for the same seed: the sampling is the feature."""
     rows = chunks if source is None else chunks.where(F.col("source") == source)
-    return rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(n)

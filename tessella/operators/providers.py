@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import numpy as np
 import pandas as pd
@@ -61,74 +61,98 @@ class RateLimited(Exception):
         self.retry_after = retry_after
 
 
-class AdaptiveThrottle:
-    """Delay between calls that falls after successes and rises when the service refuses.
+class Rules(NamedTuple):
+    """How the interval between calls follows what a service says.  All values in seconds, counts or factors."""
 
-    Three successes in a row cut the delay by a quarter, down to a floor; a refusal waits as told plus 2 s, or half as long
-    again (90 s at most), and makes that the floor; ten successes near the floor lower it by 15 %.  One per task: divide
-    the service's budget by the tasks that run at once."""
+    start: float
+    least: float
+    most: float
+    ease: float  # factor of the interval after `oks` successes in a row
+    oks: int
+    back: float  # factor after a refusal that names no time
+    told: float | None = None  # added to a time that a refusal names; None leaves the interval to `back`
+    learns: bool = False  # a refused interval is a floor, which `patience` successes near it lower by `thaw`
+    near: float = 1.1
+    patience: int = 10
+    thaw: float = 0.85
 
-    def __init__(self, delay: float = 30.0, floor: float = 0.2, most: float = 90.0):
-        self.delay, self.floor, self.least, self.most, self.good, self.near = delay, floor, floor, most, 0, 0
 
-    def succeeded(self) -> None:
-        self.good += 1
-        if self.delay <= self.floor * 1.1:
-            self.near += 1
-            if self.near >= 10:
-                self.floor, self.near = max(self.least, self.floor * 0.85), 0
-        if self.good >= 3:
-            self.delay, self.good = max(self.floor, self.delay * 0.75), 0
+# Embedding services, which are paced by the pause before a call, and a chat service, by calls a second.
+EMBEDDING = Rules(start=30.0, least=0.2, most=90.0, ease=0.75, oks=3, back=1.5, told=2.0, learns=True)
+CHAT = Rules(start=1 / 8, least=1 / 20, most=1.0, ease=1 / 1.05, oks=30, back=1 / 0.4)
 
-    def refused(self, retry_after: float | None = None) -> None:
-        self.good = self.near = 0
-        self.delay = min(self.most, retry_after + 2 if retry_after else self.delay * 1.5)
-        self.floor = self.delay
 
-    def wait(self, sleep: Callable[[float], None] = time.sleep) -> None:
-        sleep(self.delay)
+class Pace(NamedTuple):
+    interval: float
+    floor: float
+    oks: int = 0
+    calm: int = 0
+    hold: float = 0.0  # once, before the next call
 
 
-class TokenBucket:
-    """Calls per second that creep up after successes and drop when the service refuses."""
+def started(rules: Rules) -> Pace:
+    return Pace(rules.start, rules.least)
 
-    def __init__(self, rate: float = 8.0, least: float = 1.0, most: float = 20.0):
-        self.rate, self.least, self.most, self.good, self.next = rate, least, most, 0, 0.0
 
-    def acquire(self, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
-        t = now()
-        if self.next > t:
-            sleep(self.next - t)
-        self.next = max(t, self.next) + 1 / self.rate
+def succeeded(p: Pace, rules: Rules) -> Pace:
+    floor, calm = p.floor, p.calm
+    if rules.learns and p.interval <= rules.near * floor:
+        calm += 1
+        if calm == rules.patience:
+            floor, calm = max(rules.least, floor * rules.thaw), 0
+    oks = p.oks + 1
+    if oks < rules.oks:
+        return Pace(p.interval, floor, oks, calm)
+    return Pace(max(floor, p.interval * rules.ease), floor, 0, calm)
 
-    def succeeded(self) -> None:
-        self.good += 1
-        if self.good >= 30:
-            self.rate, self.good = min(self.most, self.rate * 1.05), 0
 
-    def refused(self) -> None:
-        self.rate, self.good = max(self.least, self.rate * 0.4), 0
+def refused(p: Pace, rules: Rules, retry_after: float | None = None) -> Pace:
+    """After a refusal; a time that it names is kept to, whatever the interval becomes."""
+    named = retry_after is not None and rules.told is not None
+    interval = min(rules.most, retry_after + rules.told if named else p.interval * rules.back)
+    return Pace(interval, interval if rules.learns else p.floor, hold=retry_after or 0.0)
 
 
-class Throttled:
-    """An embedder behind a throttle, which tries again when refused."""
+class Paced:
+    """Calls at the pace of `rules`.  One per task: divide a service's budget by the tasks that run at once."""
 
-    def __init__(self, inner: Embedder, attempts: int = 5, sleep: Callable[[float], None] = time.sleep, delay: float = 0.5, floor: float = 0.05):
-        self.inner, self.provider, self.model, self.attempts, self.sleep = inner, inner.provider, inner.model, attempts, sleep
-        self.throttle = AdaptiveThrottle(delay, floor)
+    def __init__(self, rules: Rules, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.rules, self.pace, self.now, self.sleep, self.last = rules, started(rules), now, sleep, None
 
-    def embed(self, texts: list[str]) -> np.ndarray:
-        for left in range(self.attempts - 1, -1, -1):
-            self.throttle.wait(self.sleep)
+    def call(self, f: Callable, attempts: int = 5):
+        """What `f` returns; a refusal (`RateLimited`) is tried again, `attempts` times in all."""
+        for left in range(attempts - 1, -1, -1):
+            self.wait()
             try:
-                out = self.inner.embed(texts)
-                self.throttle.succeeded()
-                return out
+                out = f()
             except RateLimited as e:
-                self.throttle.refused(e.retry_after)
+                self.pace = refused(self.pace, self.rules, e.retry_after)
                 if not left:
                     raise
-        raise AssertionError("not reached")
+            else:
+                self.pace = succeeded(self.pace, self.rules)
+                return out
+        raise ValueError("at least one attempt")
+
+    def wait(self) -> None:
+        """Until an interval after the call before; before the first one only where a service is begun with slowly."""
+        now = self.now()
+        first = self.pace.interval if self.rules.learns else 0.0
+        pause = max(self.pace.hold, first if self.last is None else self.last + self.pace.interval - now, 0.0)
+        if pause > 0:
+            self.sleep(pause)
+        self.last, self.pace = now + pause, self.pace._replace(hold=0.0)
+
+
+class Throttled:
+    """An embedder at a pace, which tries again when refused."""
+
+    def __init__(self, inner: Embedder, attempts: int = 5, rules: Rules = EMBEDDING._replace(start=0.5, least=0.05), sleep: Callable[[float], None] = time.sleep):
+        self.inner, self.provider, self.model, self.attempts = inner, inner.provider, inner.model, attempts
+        self.paced = Paced(rules, sleep=sleep)
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        return self.paced.call(lambda: self.inner.embed(texts), self.attempts)
 
 
 class BatchEmbedder(Protocol):
@@ -139,18 +163,34 @@ class BatchEmbedder(Protocol):
     def collect(self, job: str) -> dict[str, list[float]] | None: ...
 
 
-def collect_batches(jobs: dict[str, BatchEmbedder], poll: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> dict[str, dict[str, list[float]]]:
-    """Results of jobs submitted beforehand, polled in turn until all are there."""
+def collect_batches(jobs: dict[str, BatchEmbedder], poll: float = 30.0, timeout: float = 24 * 3600.0, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.monotonic) -> dict[str, dict[str, list[float]]]:
+    """Results of jobs submitted beforehand, polled in turn until all are there; after `timeout` seconds it gives up, and
+    names the jobs that are still out, which can be collected later."""
     done: dict[str, dict[str, list[float]]] = {}
+    began = now()
     while True:
         for job, service in jobs.items():
             if job not in done and (r := service.collect(job)) is not None:
                 done[job] = r
         if len(done) == len(jobs):
             return done
+        if now() - began >= timeout:
+            raise TimeoutError(f"not done after {timeout:.0f} s: {', '.join(sorted(jobs.keys() - done.keys()))}")
         sleep(poll)
 
 
+class Batched:
+    """A batch service as an embedder: a part's texts are submitted, polled for and put in order."""
+
+    def __init__(self, service: BatchEmbedder, provider: str, model: str, poll: float = 30.0, timeout: float = 24 * 3600.0, sleep: Callable[[float], None] = time.sleep):
+        self.service, self.provider, self.model, self.poll, self.timeout, self.sleep = service, provider, model, poll, timeout, sleep
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        ids = [str(k) for k in range(len(texts))]
+        job = self.service.submit(dict(zip(ids, texts)))
+        return in_order(collect_batches({job: self.service}, self.poll, self.timeout, self.sleep)[job], ids)
+
+
 def in_order(results: dict[str, list[float]], ids: list[str]) -> np.ndarray:
     """Vectors in the order of `ids`; a missing or surplus one is an error."""
     if len(results) != len(ids) or any(i not in results for i in ids):

@@ -14,6 +14,19 @@ from .lexical import top_k
 
 Scorer = Callable[[Column, Column], Column]
 
+# The chat form that a yes-or-no reranking model was trained on.
+INSTRUCTION = "Given a question about an internal company knowledge base, retrieve relevant documents that answer the question"
+ASKED = (
+    "<|im_start|>system\nJudge whether the Document meets the requirements based on the Query and the Instruct provided. "
+    "Note that the answer can only be \"yes\" or \"no\".<|im_end|>\n<|im_start|>user\n<Instruct>: {instruction}\n<Query>: {query}\n"
+)
+SHOWN = "<Document>: {document}<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n"
+
+
+def templated(predict: Callable[[list[tuple[str, str]]], list[float]], instruction: str = INSTRUCTION) -> Callable[[list[tuple[str, str]]], list[float]]:
+    """`predict` of a yes-or-no model, its pairs put into the form above."""
+    return lambda pairs: predict([(ASKED.replace("{instruction}", instruction).replace("{query}", q or ""), SHOWN.replace("{document}", d or "")) for q, d in pairs])
+
 
 def overlap_score(query: Column, content: Column) -> Column:
     """Share of the query's different words that the content has; an empty query scores 0."""

@@ -6,7 +6,7 @@ whether lists are cleared of near-duplicates.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,27 +55,50 @@ def grep_counts(chunks: DataFrame, term: str) -> DataFrame:
     return chunks.where(F.instr(F.lower("content"), term.lower()) > 0).groupBy("source").agg(F.count("*").alias("matches"))
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, o: Options = Options(), index: lexical.LexicalIndex | None = None, vectors: dict[str, DataFrame] | None = None, query_vectors: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(query_id, id, dense_score, bm25_score, rrf_score, rank): BM25 and every model's dense list, fused.
+def semantic(chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int, o: Options = Options()) -> DataFrame:
+    """(query_id, id, score, rank): the dense list alone, in its own order and with its own scores."""
+    table = vectors.join(restrict(chunks, o).select("id"), "id", "left_semi") if _restricted(o) else vectors
+    return dense.dense_search(table, query_vectors, k)
+
+
+def signals(chunks: DataFrame, queries: DataFrame, o: Options = Options(), index: lexical.LexicalIndex | None = None, vectors: dict[str, DataFrame] | None = None, query_vectors: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Every model's dense list, by `dense_<name>`, and BM25's.
 
     `vectors` and `query_vectors` are tables by model: (id, embedding) and (query_id, embedding)."""
     part = restrict(chunks, o)
     keep = part.select("id") if _restricted(o) else None
     index = index or lexical.build_index(chunks)
-    signals = {"bm25": lexical.bm25_search(index, queries, o.bm25_k, keep)}
-    for name, table in (vectors or {}).items():
-        table = table if keep is None else table.join(keep, "id", "left_semi")
-        signals[f"dense_{name}"] = dense.dense_search(table, query_vectors[name], o.dense_k)
-    ordered = {k: signals[k] for k in sorted(signals, key=lambda s: s == "bm25")}
-    fused = fusion.fuse(ordered, o.pool, o.rrf_k)
-    scores = fused.select("query_id", "id", F.col("score").alias("rrf_score"), "rank").join(signals["bm25"].select("query_id", "id", F.col("score").alias("bm25_score")), ["query_id", "id"], "left")
+    out = {f"dense_{n}": dense.dense_search(t if keep is None else t.join(keep, "id", "left_semi"), query_vectors[n], o.dense_k) for n, t in sorted((vectors or {}).items())}
+    return out | {"bm25": lexical.bm25_search(index, queries, o.bm25_k, keep)}
+
+
+def fused(lists: dict[str, DataFrame], o: Options = Options()) -> DataFrame:
+    """(query_id, id, dense_score, bm25_score, rrf_score, rank) of the lists of `signals`; dense_score is the greatest of the models'."""
+    pool = fusion.fuse(lists, o.pool, o.rrf_k)
+    scores = pool.select("query_id", "id", F.col("score").alias("rrf_score"), "rank").join(lists["bm25"].select("query_id", "id", F.col("score").alias("bm25_score")), ["query_id", "id"], "left")
     best = F.lit(0.0)
-    for name in vectors or {}:
-        scores = scores.join(signals[f"dense_{name}"].select("query_id", "id", F.col("score").alias(f"d_{name}")), ["query_id", "id"], "left")
-        best = F.greatest(best, F.coalesce(f"d_{name}", F.lit(0.0)))
+    for name in lists:
+        if name != "bm25":
+            scores = scores.join(lists[name].select("query_id", "id", F.col("score").alias(name)), ["query_id", "id"], "left")
+            best = F.greatest(best, F.coalesce(name, F.lit(0.0)))
     return scores.select("query_id", "id", best.alias("dense_score"), F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"), "rrf_score", "rank")
 
 
+def hybrid(chunks: DataFrame, queries: DataFrame, o: Options = Options(), **given) -> DataFrame:
+    """The lists of `signals`, `fused`."""
+    return fused(signals(chunks, queries, o, **given), o)
+
+
+def stages(chunks: DataFrame, queries: DataFrame, o: Options = Options(), scorer: Scorer = overlap_score, **given) -> dict[str, DataFrame]:
+    """Hits (query_id, id, source, rank) after each stage of a search: every dense list and BM25's, the fused pool of both
+    pools' size, and what reranking leaves of it."""
+    lists = signals(chunks, queries, o, **given)
+    pool = fused(lists, replace(o, pool=o.dense_k + o.bm25_k))
+    found = lists | {"rrf": pool, "rerank": answer_lists(chunks, queries, pool, replace(o, dedup_threshold=0.0), scorer)}
+    source = chunks.select("id", "source")
+    return {("dense" if n.startswith("dense_") and len(lists) == 2 else n): x.select("query_id", "id", "rank").join(source, "id") for n, x in found.items()}
+
+
 def answer_lists(chunks: DataFrame, queries: DataFrame, hits: DataFrame, o: Options = Options(), scorer: Scorer = overlap_score) -> DataFrame:
     """Hits with their content, reranked, and cleared of near-duplicates where the threshold is above 0."""
     full = hits.join(chunks.select("id", "source", "title", "content", "metadata"), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
@@ -86,8 +109,8 @@ def answer_lists(chunks: DataFrame, queries: DataFrame, hits: DataFrame, o: Opti
     return fusion.group_near_duplicates(plain, o.dedup_threshold, o.rrf_k).where(F.col("rank") <= o.top_k).withColumnRenamed("score", "rrf_score")
 
 
-def search(chunks: DataFrame, queries: DataFrame, o: Options = Options(), scorer: Scorer = overlap_score, **signals) -> DataFrame:
-    return answer_lists(chunks, queries, hybrid(chunks, queries, o, **signals), o, scorer)
+def search(chunks: DataFrame, queries: DataFrame, o: Options = Options(), scorer: Scorer = overlap_score, **given) -> DataFrame:
+    return answer_lists(chunks, queries, hybrid(chunks, queries, o, **given), o, scorer)
 
 
 def hit_score(rerank_score: Column, rrf_score: Column, dense_score: Column, bm25_score: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.filters import compile_filter, date_range
+from ..functions.documents import adf_to_text
+from ..functions.filters import compile_filter, date_range, parse_filters
 from ..operators import collection as C
 from ..operators import dense, evaluation, fusion, inspect, lexical, prompt, search
 from ..operators.cache import assemble, misses
@@ -138,7 +139,14 @@ def git_subjects(s, d):
     return rows.select("hash", T.pr_number(F.col("subject")).alias("pr_seen"), T.merged_branch(F.col("subject")).alias("branch_seen"), F.size(T.filter_files(F.col("files_changed"), [r"\.ya?ml$"])).cast("bigint").alias("files"))
 
 
-@_query()
+_SECTIONS = "string_split(chr(10) || diff, chr(10) || 'diff --git a/')"
+
+
+@_query(rf"""WITH g AS (SELECT DISTINCT ON (hash) hash, subject, CASE WHEN length(diff) <= 50000 THEN diff END AS diff FROM git ORDER BY hash),
+s AS (SELECT hash, {_SECTIONS} AS parts FROM g WHERE coalesce(diff, '') <> ''),
+k AS (SELECT hash, i, CASE WHEN i = 1 THEN substr(parts[1], 2) ELSE 'diff --git a/' || parts[i] END || CASE WHEN i < len(parts) AND parts[i] <> '' THEN chr(10) ELSE '' END AS part FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM s)),
+j AS (SELECT hash, coalesce(string_agg(part, '' ORDER BY i) FILTER (WHERE regexp_replace(part, '\s', '', 'g') <> '' AND NOT regexp_matches(regexp_extract(part, '^diff --git a/(\S+) b/', 1), '\.ya?ml$|^conf/')), '') AS kept FROM k GROUP BY hash)
+SELECT g.hash, coalesce(j.kept, g.diff) AS diff, try_cast(nullif(regexp_extract(subject, 'pull request #([0-9]+)', 1), '') AS BIGINT) AS pr_number, nullif(regexp_extract(subject, 'Merged in (\S+)', 1), '') AS branch FROM g LEFT JOIN j USING (hash)""")
 def git_diffs_filtered(s, d):
     return scrape.commits(_read(s, d, "git").dropDuplicates(["hash"]).select("hash", "subject", "diff", "files_changed"), [r"\.ya?ml$", r"^conf/"]).select("hash", "diff", "pr_number", "branch")
 
@@ -169,9 +177,9 @@ def duplicate_summary(s, d):
     return inspect.duplicates(_read(s, d, "chunks"))
 
 
-@_query()
+@_query("SELECT id, source FROM (SELECT DISTINCT id, source FROM chunks) ORDER BY md5('0:' || id), id LIMIT 20")
 def chunk_sample(s, d):
-    return inspect.sample(_read(s, d, "chunks"), 20).select("id", "source")
+    return inspect.sample(_read(s, d, "chunks").select("id", "source").distinct(), 20)
 
 
 # --- Filters and substring search ------------------------------------------------------------------------------------
@@ -182,6 +190,12 @@ def filter_typed(s, d):
     return _records(s, d).where(compile_filter({"message_count": 2, "source": "Slack"}, F.col("metadata"), core=True)).select("id")
 
 
+@_query(f"SELECT id FROM {_REC} WHERE lower(metadata['message_count']) = '2' AND lower(source) = 'slack'")
+def filter_parsed(s, d):
+    """Conditions as they are given on the command line."""
+    return _records(s, d).where(compile_filter(parse_filters(["message_count=2", "source=Slack"]), F.col("metadata"), core=True)).select("id")
+
+
 @_query(f"SELECT id FROM {_REC} WHERE lower(metadata['message_count']) = '3' OR lower(metadata['repo']) = 'quartz-kiln' OR (lower(source) = 'code' AND lower(metadata['language']) = 'python')")
 def filter_or(s, d):
     options = {"$or": [{"message_count": 3}, {"repo": "Quartz-Kiln"}, {"source": "code", "language": "python"}]}
@@ -260,6 +274,13 @@ def dense_filtered(s, d):
     return dense.dense_search(v.join(_docs(s, d).where("source = 'slack'").select("id"), "id", "left_semi"), _asked_vectors(v), 20)
 
 
+@_query(f"WITH {_DV} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM dv JOIN documents ON doc_id = id WHERE source = 'git') WHERE rank <= 5")
+def semantic_search(s, d):
+    """The dense list alone, of one source: neither fused nor reranked."""
+    v = _vectors(s, d)
+    return search.semantic(_docs(s, d), v, _asked_vectors(v), 5, search.Options(source="git"))
+
+
 @_query(f"WITH {_DV} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS r0 FROM (SELECT query_id, id, round(score, 6) AS score FROM dv)) JOIN documents ON doc_id = id WHERE r0 <= 50 AND source = 'slack') WHERE rank <= 10")
 def dense_overfetched(s, d):
     v = _vectors(s, d)
@@ -330,10 +351,20 @@ def prompt_contexts(s, d):
     return prompt.contexts(search.answer_lists(_docs(s, d), _asked(s, d), _hybrid(s, d))).select("query_id", F.md5("context").alias("context"))
 
 
-@_query()
+_WIDE = _RERANK.replace("rank <= 5", "rank <= 15")
+
+
+@_query(f"""{_HYBRID.replace("WITH ", "WITH RECURSIVE ", 1)}, {_WIDE},
+w AS (SELECT query_id, id, rank, rrf_score, list_distinct({_tok('text')}) AS w FROM rr JOIN documents ON doc_id = id),
+near AS (SELECT a.query_id, a.rank, list(b.rank) AS js FROM w a JOIN w b ON a.query_id = b.query_id AND b.rank < a.rank WHERE (CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE END) > 0.5 GROUP BY ALL),
+grp(query_id, rank, first) AS (SELECT query_id, 0, []::INTEGER[] FROM (SELECT DISTINCT query_id FROM w) UNION ALL SELECT g.query_id, g.rank + 1, list_append(g.first, coalesce(list_min(list_transform(n.js, lambda j: g.first[j])), g.rank + 1)) FROM grp g JOIN w ON w.query_id = g.query_id AND w.rank = g.rank + 1 LEFT JOIN near n ON n.query_id = g.query_id AND n.rank = g.rank + 1),
+whole AS (SELECT query_id, arg_max(first, rank) AS first FROM grp GROUP BY query_id),
+sizes AS (SELECT query_id, f AS rank, count(*) AS n FROM (SELECT query_id, unnest(first) AS f FROM whole) GROUP BY ALL),
+out AS (SELECT w.query_id, w.id, w.rrf_score + list_sum([1 / (60 + i)::DOUBLE FOR i IN range(n)]) AS score, CAST(n AS INTEGER) AS group_size FROM sizes JOIN w USING (query_id, rank))
+SELECT query_id, id, rrf_score, group_size, rank FROM (SELECT query_id, id, round(score, 6) AS rrf_score, group_size, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM out) WHERE rank <= 5""")
 def near_duplicate_lists(s, d):
     o = search.Options(dedup_threshold=0.5)
-    return search.answer_lists(_docs(s, d), _asked(s, d), _hybrid(s, d), o).select("query_id", "id", "rrf_score", "group_size", "rank")
+    return search.answer_lists(_docs(s, d), _asked(s, d), _hybrid(s, d), o).select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"), "group_size", "rank")
 
 
 @_query(f"{_HYBRID}, l AS (SELECT query_id, id, rank, list_distinct({_tok('text')}) AS w FROM h JOIN documents ON doc_id = id WHERE rank <= 10) SELECT a.query_id, a.id AS id_a, b.id AS id_b, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE END, 6) AS similarity FROM l a JOIN l b ON a.query_id = b.query_id AND a.rank < b.rank")
@@ -344,32 +375,46 @@ def list_similarities(s, d):
     return a.join(b, "query_id").where("ra < rb").select("query_id", "id_a", "id_b", F.round(fusion.jaccard(F.col("ca"), F.col("cb")), 6).alias("similarity"))
 
 
-_CHUNK_BM = _bm25(f"SELECT id, {_tok('content')} AS w FROM (SELECT DISTINCT ON (id) * FROM chunks ORDER BY id) WHERE source = 'git'")
+_CHUNK_BM = _bm25(f"SELECT id, {_tok('content')} AS w FROM (SELECT DISTINCT ON (id) * FROM chunks ORDER BY id)")
 
 
 @_query(f"WITH {_CHUNK_BM} SELECT query_id, id, record_id, record_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS record_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, record_id ORDER BY rank) AS nth FROM (SELECT *, regexp_replace(id, ':[^:]*$', '') AS record_id FROM bmr)) WHERE nth = 1) WHERE record_rank <= 10")
 def record_hits(s, d):
-    """Chunks of commits found for each query, folded to records."""
-    chunks = _read(s, d, "chunks").where("source = 'git'").dropDuplicates(["id"])
+    """Chunks of every source found for each query, folded to records."""
+    chunks = _read(s, d, "chunks").dropDuplicates(["id"])
     lists = lexical.bm25_search(lexical.build_index(chunks), _asked(s, d), 20)
     return search.record_hits(lists, 10).select("query_id", "id", "record_id", "record_rank")
 
 
-_ALL_CHUNK_BM = _bm25(f"SELECT id, {_tok('content')} AS w FROM (SELECT DISTINCT ON (id) * FROM chunks ORDER BY id)")
+# --- Chunks ----------------------------------------------------------------------------------------------------------
 
 
-@_query(f"WITH {_ALL_CHUNK_BM} SELECT query_id, id, record_id, record_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS record_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, record_id ORDER BY rank) AS nth FROM (SELECT *, regexp_replace(id, ':[^:]*$', '') AS record_id FROM bmr)) WHERE nth = 1) WHERE record_rank <= 10")
-def record_hits_all(s, d):
-    """Chunks of every source found for each query, folded to records."""
-    chunks = _read(s, d, "chunks").dropDuplicates(["id"])
-    lists = lexical.bm25_search(lexical.build_index(chunks), _asked(s, d), 20)
-    return search.record_hits(lists, 10).select("query_id", "id", "record_id", "record_rank")
 
+def _size(c: str) -> str:
+    return f"greatest(len({_words(c)}), length({c}) // 4)"
 
-# --- Chunks ----------------------------------------------------------------------------------------------------------
 
+def _words(c: str) -> str:
+    return f"list_filter(string_split_regex({c}, '{_BL}'), lambda t: t <> '')"
 
-@_query()
+
+_SEPS = "(VALUES (1, chr(10) || chr(10)), (2, chr(10)), (3, chr(9)), (4, '. '), (5, ' ')) AS s(k, sep)"
+# Each separator's packing is a fold over the parts: `held` grows until the next part would make it too large.
+_CHUNKS = f"""WITH RECURSIVE doc AS (SELECT id, source, coalesce(content, '') AS text, content FROM {_REC}),
+large AS (SELECT *, {_size('text')} AS n FROM doc WHERE source IS NULL OR source NOT IN ('bookmark', 'pin')),
+cut AS (SELECT id, k, sep, string_split(text, sep) AS parts FROM large, {_SEPS} WHERE n > 512 AND contains(text, sep)),
+fold(id, k, i, held, out) USING KEY (id, k) AS (SELECT id, k, 0::BIGINT, '', []::VARCHAR[] FROM cut
+UNION SELECT id, k, i + 1, CASE WHEN fits THEN longer WHEN len(tail) > 64 THEN {_strip("array_to_string(tail[-64:], ' ') || sep || part")} ELSE part END, CASE WHEN fits OR {_strip('held')} = '' THEN out ELSE list_append(out, {_strip('held')}) END
+FROM (SELECT *, held = '' OR {_size('longer')} <= 512 AS fits, {_words('held')} AS tail FROM (SELECT f.*, c.sep, c.parts[f.i + 1] AS part, CASE WHEN held = '' THEN c.parts[f.i + 1] ELSE held || c.sep || c.parts[f.i + 1] END AS longer FROM fold f JOIN cut c ON f.id = c.id AND f.k = c.k WHERE f.i < len(c.parts)))),
+packed AS (SELECT id, k, CASE WHEN {_strip('held')} = '' THEN out ELSE list_append(out, {_strip('held')}) END AS pieces FROM fold),
+best AS (SELECT id, arg_min(pieces, k) AS pieces FROM packed WHERE len(pieces) > 1 GROUP BY id),
+all_pieces AS (SELECT l.id, l.source, coalesce(b.pieces, [array_to_string(w[i + 1 : i + 512], ' ') FOR i IN range(0, len(w), 448)]) AS pieces FROM (SELECT *, {_words('text')} AS w FROM large WHERE n > 512) l LEFT JOIN best b USING (id)),
+short AS (SELECT id, source, p[j * 4000 + 1 : (j + 1) * 4000] AS content, i, j FROM (SELECT *, unnest(range((length(p) - 1) // 4000 + 1)) AS j FROM (SELECT id, source, unnest(pieces) AS p, unnest(range(len(pieces))) AS i FROM all_pieces))),
+whole AS (SELECT id, source, content, 0 AS i, 0 AS j FROM doc WHERE id NOT IN (SELECT id FROM large WHERE n > 512) UNION ALL SELECT * FROM short)
+SELECT id || ':' || idx AS id, id AS doc_id, source, content, CAST(idx AS INTEGER) AS chunk_idx FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i, j) - 1 AS idx FROM whole)"""
+
+
+@_query(_CHUNKS)
 def chunk_recursive(s, d):
     return chunk_documents(_records(s, d).select("id", "source", "content", "title", "metadata")).select("id", "doc_id", "source", "content", "chunk_idx")
 
@@ -405,6 +450,102 @@ def thread_documents(s, d):
     return docs.select("id", F.md5("content").alias("content"), "title", m("message_count").alias("message_count"), m("reaction_count").alias("reaction_count"), m("date").alias("date"))
 
 
+_THREADS_BY_TS = _THREADS.replace("ORDER BY tsd)", "ORDER BY tsd, channel_id, label || ': ' || clean)").replace("SELECT key, channel_id, coalesce(", "SELECT key, NULL AS channel_id, coalesce(").replace("arg_min(coalesce(channel_name, ''), tsd)", "arg_min(coalesce(channel_name, ''), (tsd, channel_id))").replace("arg_min(clean, tsd)", "arg_min(clean, (tsd, channel_id))").replace("WHERE key IS NOT NULL GROUP BY key, channel_id", "WHERE key IS NOT NULL GROUP BY key")
+
+
+@_query(_THREADS_BY_TS)
+def thread_documents_by_ts(s, d):
+    """Threads keyed by thread_ts alone, as a folder of raw files is read."""
+    docs = normalize.messages(_messages(s, d), _read(s, d, "users"))
+    m = lambda k: F.col("metadata")[k]["s"]
+    return docs.select("id", F.md5("content").alias("content"), "title", m("message_count").alias("message_count"), m("reaction_count").alias("reaction_count"), m("date").alias("date"))
+
+
+def _normal(docs: DataFrame, *fields: str) -> DataFrame:
+    m = lambda k: F.try_element_at("metadata", F.lit(k))["s"]
+    return docs.select("id", F.md5("content").alias("content"), "title", *(m(f).alias(f) for f in fields))
+
+
+_H12 = "substr(sha256({}), 1, 12)"
+
+
+@_query(f"SELECT 'atlassian:' || {_H12.format('t')} AS id, md5(text) AS content, substr(t, 1, 120) AS title, kind AS source_type, coalesce(space, '') AS space FROM (SELECT *, CASE WHEN kind = 'jira' THEN 'K-' || doc_id || ': ' || coalesce(title, '') ELSE coalesce(title, '') END AS t FROM (SELECT *, CASE WHEN source = 'atlassian' THEN 'jira' ELSE 'confluence' END AS kind FROM documents)) WHERE length(coalesce(text, '')) >= 20")
+def wiki_documents(s, d):
+    """Documents as wiki pages, those of the ticket source as tickets."""
+    kind = F.when(F.col("source") == "atlassian", "jira").otherwise("confluence")
+    rows = _read(s, d, "documents").select(kind.alias("type"), "title", F.col("text").alias("content"), "space", F.lit("").alias("ancestors"), F.concat(F.lit("K-"), "doc_id").alias("key"), F.col("title").alias("summary"), F.col("space").alias("project"), F.col("doc_id").alias("src_ord"))
+    return _normal(normalize.atlassian(rows), "source_type", "space")
+
+
+@_query(f"SELECT 'gdrive:' || coalesce(rec_id, {_H12.format(chr(99) + 'oalesce(title, chr(32))').replace('chr(32)', chr(39) * 2)}) AS id, md5({_strip('text')}) AS content, substr(coalesce(title, ''), 1, 120) AS title, coalesce(space, '') AS path, replace(lower(coalesce(lang, 'doc')), 'google ', '') AS doc_type FROM documents WHERE length({_strip(chr(99) + 'oalesce(text, chr(32))')}) >= 20")
+def drive_documents(s, d):
+    rows = _read(s, d, "documents").select(F.col("rec_id").alias("file_id"), F.col("title").alias("name"), F.lit("").alias("owner"), F.col("text").alias("content"), F.lit("text/plain").alias("mime_type"), F.col("lang").alias("file_type"), F.col("space").alias("path"), F.col("doc_id").alias("src_ord"))
+    return _normal(normalize.gdrive(rows), "path", "doc_type")
+
+
+@_query(f"SELECT 'file:' || coalesce(rec_id, '') AS id, md5({_strip('text')}) AS content, coalesce(title, 'unknown') AS title, coalesce(lang, '') AS file_type, coalesce(source, '') AS channel_name FROM documents WHERE length({_strip(chr(99) + 'oalesce(text, chr(32))')}) >= 20")
+def file_documents(s, d):
+    rows = _read(s, d, "documents").select(F.col("rec_id").alias("file_id"), F.col("title").alias("file_name"), F.col("lang").alias("file_type"), F.lit("txt").alias("extraction_method"), F.col("source").alias("channel_name"), F.col("text").alias("content"), F.col("doc_id").alias("src_ord"))
+    return _normal(normalize.files_extracted(rows), "file_type", "channel_name")
+
+
+@_query(f"SELECT 'bookmark:' || {_H12.format('link')} AS id, md5(text || ': ' || link) AS content, text AS title, coalesce(channel_name, '') AS channel_name, link FROM (SELECT text, channel_name, unnest(links) AS link FROM messages) WHERE coalesce(text, '') <> '' AND coalesce(link, '') <> ''")
+def bookmark_documents(s, d):
+    rows = _read(s, d, "messages").select(F.col("text").alias("title"), "channel_name", F.explode("links").alias("link"), F.lit(0).alias("src_ord"))
+    return _normal(normalize.bookmarks(rows), "channel_name", "link")
+
+
+@_query(_THREADS[:_THREADS.index("c AS (SELECT")].rstrip().rstrip(",") + f", c AS (SELECT *, {_CLEANED} AS clean FROM m) SELECT 'pin:' || coalesce(channel_name, '') || ':' || coalesce(ts, '0') AS id, md5(clean) AS content, 'Pinned in #' || coalesce(channel_name, '') || ': ' || substr(clean, 1, 60) AS title, coalesce(channel_name, '') AS channel_name FROM c WHERE length(clean) >= 20")
+def pin_documents(s, d):
+    rows = _messages(s, d).where(~F.coalesce("subtype", F.lit("")).isin(*normalize.SYSTEM_SUBTYPES)).withColumn("src_ord", F.lit(0))
+    return _normal(normalize.pins(rows, _read(s, d, "users")), "channel_name")
+
+
+@_query(f"SELECT 'code:' || repo || ':' || path AS id, md5('# ' || repo || '/' || path || chr(10) || chr(10) || content) AS content, repo || '/' || path AS title, language, path FROM (SELECT coalesce(metadata['repo'], '') AS repo, coalesce(metadata['path'], '') AS path, coalesce(metadata['language'], '') AS language, content FROM {_REC} WHERE source = 'code') WHERE length(content) >= 100")
+def code_documents(s, d):
+    m = lambda k: F.try_element_at("metadata", F.lit(k))
+    rows = _read(s, d, "records").dropDuplicates(["id"]).where("source = 'code'").select(m("repo").alias("repo"), m("path").alias("path"), m("language").alias("language"), "content", F.length("content").alias("size_bytes"), F.lit(0).alias("src_ord"))
+    return _normal(normalize.code(rows), "language", "path")
+
+
+@_query(f"""WITH g AS (SELECT DISTINCT ON (hash) * FROM git ORDER BY hash),
+c AS (SELECT *, {_strip("coalesce(body, '')")} AS about, concat_ws(chr(10), nullif(CASE WHEN about <> '' THEN coalesce(author, '') || ': ' || about END, ''), nullif(array_to_string(list_transform(list_filter(files_changed, lambda f: coalesce(f.path, '') <> ''), lambda f: coalesce(author, '') || ' on ' || f.path || ': ' || f.path), chr(10)), '')) AS content FROM g)
+SELECT 'bitbucket:' || coalesce(repo, '') || ':' || coalesce(pr_number, 0) AS id, md5(content) AS content, substr(coalesce(repo, '') || ' PR#' || coalesce(pr_number, 0) || ': ' || coalesce(subject, ''), 1, 120) AS title, len(files_changed)::VARCHAR AS comment_count, coalesce(author, '') AS approvals FROM c WHERE length(content) >= 20""")
+def pull_request_documents(s, d):
+    """Commits as pull requests: their files as comments, their author as who approved."""
+    said = F.transform("files_changed", lambda f: F.struct(F.col("author").alias("author"), f["path"].alias("content"), F.lit("").alias("created_on"), f["path"].alias("path"), F.lit(1).cast("bigint").alias("line")))
+    rows = _read(s, d, "git").dropDuplicates(["hash"]).select("repo", F.col("pr_number").alias("pr_id"), F.col("subject").alias("title"), F.col("body").alias("description"), "author", F.lit("MERGED").alias("state"), F.col("branch").alias("source_branch"), F.lit("main").alias("target_branch"), F.lit("").alias("created_on"), F.lit("").alias("updated_on"), said.alias("comments"), F.array(F.coalesce("author", F.lit("")), F.coalesce("author", F.lit(""))).alias("approvals"), F.lit(0).alias("src_ord"))
+    return _normal(normalize.bitbucket(rows), "comment_count", "approvals")
+
+
+_SKIP = r"(\.min\.js|\.min\.css|_pb2\.py|_pb2_grpc\.py|\.pb\.go)$"
+_SKIP_DIRS = "(^|/)((" + "|".join(x.replace(".", r"\.") for x in scrape.SKIPPED_FOLDERS) + ")/|" + "|".join(x.replace(".", r"\.") for x in scrape.SKIPPED_STARTS) + ")"
+
+
+@_query(rf"SELECT path, coalesce(map {T.LANGUAGES}[regexp_extract(path, '\.([^./]+)$', 1)], 'unknown') AS language, coalesce(lower(regexp_extract(path, '\.([^./]+)$', 1)) IN {scrape.CODE_ENDINGS} AND regexp_extract(path, '([^/]+)$', 1) NOT IN {scrape.SKIPPED_NAMES} AND NOT regexp_matches(path, '{_SKIP}') AND NOT regexp_matches(path, '{_SKIP_DIRS}') AND n BETWEEN 100 AND 100000, false) AS wanted FROM (SELECT f.path AS path, max(length(coalesce(diff, ''))) AS n FROM (SELECT diff, unnest(files_changed) AS f FROM git) GROUP BY 1)")
+def code_scan(s, d):
+    """Paths of commits, judged as a scan of the tree would; the size is that of the largest diff they are in."""
+    rows = _read(s, d, "git").select("diff", F.explode("files_changed").alias("f")).groupBy(F.col("f.path").alias("path")).agg(F.max(F.length(F.coalesce("diff", F.lit("")))).alias("n"))
+    return rows.select("path", T.language(F.col("path")).alias("language"), F.coalesce(scrape.wanted_code(F.col("path"), F.col("n")), F.lit(False)).alias("wanted"))
+
+
+@_query("WITH RECURSIVE f AS (SELECT 'r' || r_regionkey AS id, r_name AS name, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, c_name, 'n' || c_nationkey FROM customer), p(id, path, up) AS (SELECT id, name, parent FROM f UNION ALL SELECT p.id, f.name || ' > ' || p.path, f.parent FROM p JOIN f ON f.id = p.up) SELECT id, path FROM p WHERE up IS NULL")
+def folder_paths(s, d):
+    """Customers as folders of nations of regions."""
+    part = lambda t, k, n, p: _read(s, d, t).select(F.concat(F.lit(k), f"{k}_{n}key").alias("id"), F.col(f"{k}_name").alias("name"), p.alias("parent"))
+    folders = part("region", "r", "region", F.lit(None).cast("string")).unionByName(part("nation", "n", "nation", F.concat(F.lit("r"), "n_regionkey"))).unionByName(part("customer", "c", "cust", F.concat(F.lit("n"), "c_nationkey")))
+    return scrape.folder_paths(folders)
+
+
+@_query(f"SELECT doc_id, md5({_strip('coalesce(title, chr(63)) || chr(10) || chr(45) || chr(32) || coalesce(source, chr(63)) || chr(96) || chr(96) || chr(96) || chr(10) || doc_id || chr(10) || chr(96) || chr(96) || chr(96)')}) AS text FROM documents")
+def tree_text(s, d):
+    """Title, source and id of documents as a tree of a heading, a list and a block of code, and back to text."""
+    text = lambda c: F.struct(F.lit("text").alias("type"), F.coalesce(c, F.lit("?")).alias("text"))
+    rows = _read(s, d, "documents").select("doc_id", F.to_json(F.struct(F.lit("heading").alias("type"), F.array(text(F.col("title"))).alias("content"))).alias("h"), F.to_json(F.struct(F.lit("listItem").alias("type"), F.array(text(F.col("source"))).alias("content"))).alias("i"), F.to_json(F.struct(F.lit("codeBlock").alias("type"), F.array(text(F.col("doc_id").cast("string"))).alias("content"))).alias("c"))
+    tree = F.concat(F.lit('{"type":"doc","content":['), "h", F.lit(',{"type":"bulletList","content":['), "i", F.lit("]},"), "c", F.lit("]}"))
+    return rows.select("doc_id", F.md5(adf_to_text(tree)).alias("text"))
+
+
 _GIT = f"""WITH g AS (SELECT DISTINCT ON (hash) *, {_strip("coalesce(subject, '')")} AS sub, {_strip("coalesce(body, '')")} AS bod FROM git ORDER BY hash),
 d AS (SELECT *, concat_ws(chr(10), sub, nullif(bod, ''), 'Author: ' || coalesce(author, ''), 'Date: ' || coalesce(date, ''), 'PR: #' || nullif(pr_number, 0), 'Branch: ' || nullif(branch, ''),
 CASE WHEN len(files_changed) > 0 THEN 'Files changed:' || chr(10) || array_to_string(list_transform(files_changed, lambda f: '  ' || coalesce(f.status, '') || ' ' || coalesce(f.path, '')), chr(10)) END,
@@ -478,62 +619,45 @@ def embed_cache_assembled(s, d):
 # --- Collection ------------------------------------------------------------------------------------------------------
 
 
-def _state(s, d) -> DataFrame:
-    """Records that came first: those of even length of id, placed by id."""
-    rows = _records(s, d).where(F.length("id") % 2 == 0).select(*C.COLUMNS)
-    return numbered(rows, ["id"], "ord")
-
-
-def _batch(s, d) -> DataFrame:
-    """What came then: chunks under their document's id, in the order of chunk ids."""
-    rows = _read(s, d, "chunks").where("content is not null and title is not null")
-    return rows.select(F.col("doc_id").alias("id"), "source", "content", "title", text_metadata(F.col("metadata")).alias("metadata"), F.struct(F.col("id"), "content").alias("src_ord"))
 
-
-_STATE = f"(SELECT *, row_number() OVER (ORDER BY id) - 1 AS ord FROM {_REC} WHERE length(id) % 2 = 0)"
-_BATCH = "(SELECT doc_id AS id, arg_max(content, (id, content)) AS content, min((id, content)) AS first FROM chunks WHERE content IS NOT NULL AND title IS NOT NULL GROUP BY doc_id)"
-
-
-@_query(f"SELECT coalesce(s.id, b.id) AS id, md5(coalesce(b.content, s.content)) AS content, CAST(coalesce(s.ord, (SELECT max(ord) FROM {_STATE}) + row_number() OVER (PARTITION BY s.ord IS NULL ORDER BY b.first, b.id)) AS BIGINT) AS ord FROM {_STATE} s FULL JOIN {_BATCH} b ON s.id = b.id")
-def catalog_upsert(s, d):
-    return C.upsert(_state(s, d), _batch(s, d)).select("id", F.md5("content").alias("content"), F.col("ord").cast("bigint").alias("ord"))
-
-
-@_query(f"SELECT id, ord FROM {_STATE} WHERE id NOT IN (SELECT id FROM records WHERE source = 'git')")
-def catalog_delete(s, d):
-    return C.delete(_state(s, d), _read(s, d, "records").where("source = 'git'").select("id")).select("id", "ord")
+def _catalog(s, d) -> DataFrame:
+    """All records, placed by id."""
+    return numbered(_records(s, d).select(*C.COLUMNS), ["id"], "ord")
 
 
-@_query(f"SELECT id, ord FROM {_STATE} WHERE source = 'slack' AND lower(metadata['message_count']) = '2'")
-def catalog_select(s, d):
-    return C.select_records(_state(s, d), "slack", {"message_count": 2}).select("id", "ord")
-
+def _batch(s, d) -> DataFrame:
+    """What comes then: every chunk under its document's id, and every message under its own, in the order of ids and contents.
 
-@_query(f"SELECT id, ord FROM {_STATE} WHERE NOT (source = 'slack' AND coalesce(lower(metadata['message_count']) = '2', false))")
-def catalog_clear(s, d):
-    return C.clear(_state(s, d), "slack", {"message_count": 2}).select("id", "ord")
+    Documents of chunks are among the records, those of messages are not."""
+    chunk = _read(s, d, "chunks").select(F.col("doc_id").alias("id"), "source", "content", "title", text_metadata(F.col("metadata")).alias("metadata"), F.struct(F.col("id"), F.coalesce("content", F.lit("")).alias("content")).alias("src_ord"))
+    own = F.concat(F.lit("message:"), F.coalesce("channel_id", F.lit("")), F.lit(":"), F.coalesce("ts", F.lit("")))
+    said = _read(s, d, "messages").select(own.alias("id"), F.lit("message").alias("source"), F.col("text").alias("content"), F.col("channel_name").alias("title"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    said = said.withColumn("metadata", text_metadata(F.col("metadata"))).withColumn("src_ord", F.struct(F.col("id"), F.coalesce("content", F.lit("")).alias("content")))
+    return chunk.unionByName(said)
 
 
-def _catalog(s, d) -> DataFrame:
-    """All records, placed by id."""
-    return numbered(_records(s, d).select(*C.COLUMNS), ["id"], "ord")
+_CATALOG = f"(SELECT *, row_number() OVER (ORDER BY id) - 1 AS ord FROM {_REC})"
+_BATCH = """(SELECT id, arg_max({'c': content}, (own, coalesce(content, ''))).c AS content, min((own, coalesce(content, ''))) AS first FROM (SELECT doc_id AS id, id AS own, content FROM chunks
+UNION ALL SELECT 'message:' || coalesce(channel_id, '') || ':' || coalesce(ts, ''), 'message:' || coalesce(channel_id, '') || ':' || coalesce(ts, ''), text FROM messages) GROUP BY id)"""
 
 
-_CATALOG = f"(SELECT *, row_number() OVER (ORDER BY id) - 1 AS ord FROM {_REC})"
+@_query(f"SELECT coalesce(s.id, b.id) AS id, md5(CASE WHEN b.id IS NULL THEN s.content ELSE b.content END) AS content, CAST(coalesce(s.ord, (SELECT max(ord) FROM {_CATALOG}) + row_number() OVER (PARTITION BY s.ord IS NULL ORDER BY b.first, b.id)) AS BIGINT) AS ord FROM {_CATALOG} s FULL JOIN {_BATCH} b ON s.id = b.id")
+def catalog_upsert(s, d):
+    return C.upsert(_catalog(s, d), _batch(s, d)).select("id", F.md5("content").alias("content"), F.col("ord").cast("bigint").alias("ord"))
 
 
 @_query(f"SELECT id, ord FROM {_CATALOG} WHERE id NOT IN (SELECT id FROM records WHERE source = 'git')")
-def catalog_delete_all(s, d):
+def catalog_delete(s, d):
     return C.delete(_catalog(s, d), _read(s, d, "records").where("source = 'git'").select("id")).select("id", "ord")
 
 
 @_query(f"SELECT id, ord FROM {_CATALOG} WHERE source = 'slack' AND lower(metadata['message_count']) = '2'")
-def catalog_select_all(s, d):
+def catalog_select(s, d):
     return C.select_records(_catalog(s, d), "slack", {"message_count": 2}).select("id", "ord")
 
 
 @_query(f"SELECT id, ord FROM {_CATALOG} WHERE NOT (source = 'slack' AND coalesce(lower(metadata['message_count']) = '2', false))")
-def catalog_clear_all(s, d):
+def catalog_clear(s, d):
     return C.clear(_catalog(s, d), "slack", {"message_count": 2}).select("id", "ord")
 
 
@@ -565,7 +689,10 @@ def cross_source_entities(s, d):
     return evaluation.entities(evaluation.mentions(_docs(s, d)))
 
 
-@_query()
+@_query(rf"""WITH {_FOUND.replace("doc_id AS id, source, title FROM (SELECT doc_id, source, title,", "doc_id AS id, source, trim(coalesce(title, '')) AS title FROM (SELECT doc_id, source, title,")}, {_ENT},
+p AS (SELECT *, contains(title, entity) AS has, trim(regexp_replace(title, '^[A-Z]{{2,10}}-\d{{1,6}}\s*[-:]\s*', '')) AS bare FROM f JOIN e USING (entity)),
+q AS (SELECT *, CASE WHEN source = 'atlassian' AND has AND length(bare) > 10 THEN 1 WHEN source = 'atlassian' AND length(title) > 10 THEN 2 WHEN source = 'git' AND has AND length(title) > 10 THEN 3 END AS pr FROM p)
+SELECT entity AS query_id, arg_min(CASE pr WHEN 1 THEN bare WHEN 2 THEN title ELSE trim(regexp_replace(title, '^(feat|fix|chore|refactor|docs)\s*[:(]\s*', '')) END, (pr, id)) AS text FROM q WHERE pr IS NOT NULL GROUP BY entity, n_sources, mentions ORDER BY n_sources DESC, mentions DESC, entity LIMIT 50""")
 def synthesized_queries(s, d):
     found = evaluation.mentions(_docs(s, d))
     return evaluation.synthesized_queries(found, evaluation.entities(found))
@@ -574,19 +701,47 @@ def synthesized_queries(s, d):
 _TRUTH = "truth AS (SELECT a.doc_id AS query_id, b.doc_id AS id, b.source FROM documents a JOIN documents b ON a.space = b.space AND a.source <> b.source WHERE a.doc_id % 100 = 0 AND a.title IS NOT NULL)"
 
 
-@_query(f"""WITH {_BM}, {_TRUTH}, hits AS (SELECT b.query_id, b.id, d.source, b.rank FROM bmr b JOIN documents d ON d.doc_id = b.id),
-src AS (SELECT query_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM hits h WHERE h.query_id = t.query_id AND h.source = t.source)) AS seen FROM (SELECT DISTINCT query_id, source FROM truth) t GROUP BY query_id),
+
+
+def _measured(head: str, stages: dict[str, str]) -> str:
+    """Metrics by stage of lists (query_id, id, rank) in the tables of `stages`; n_hits counts the right ones."""
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS stage, query_id, id, rank FROM {t}" for n, t in stages.items())
+    return f"""{head}, {_TRUTH}, hits AS (SELECT b.stage, b.query_id, b.id, d.source, b.rank FROM ({rows}) b JOIN documents d ON d.doc_id = b.id),
+stg AS (SELECT unnest({list(stages)}) AS stage),
+src AS (SELECT stage, query_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM hits h WHERE h.stage = stg.stage AND h.query_id = t.query_id AND h.source = t.source)) AS seen FROM stg, (SELECT DISTINCT query_id, source FROM truth) t GROUP BY stage, query_id),
 siz AS (SELECT query_id, count(DISTINCT id) AS n FROM truth GROUP BY query_id),
-fnd AS (SELECT h.query_id, count(*) AS n_hits, count(t.id) AS ok, max(CASE WHEN t.id IS NOT NULL THEN 1.0 / h.rank END) AS mrr FROM hits h LEFT JOIN (SELECT DISTINCT query_id, id FROM truth) t USING (query_id, id) GROUP BY h.query_id)
-SELECT src.query_id, round(src.seen / src.n, 6) AS source_recall, round(coalesce(fnd.ok, 0) / siz.n, 6) AS entity_recall, round(coalesce(fnd.mrr, 0)::DOUBLE, 6) AS mrr, coalesce(fnd.n_hits, 0) AS n_hits FROM src JOIN siz USING (query_id) LEFT JOIN fnd USING (query_id)""")
-def retrieval_metrics(s, d):
-    """BM25 lists measured against documents of the same space and another source."""
+fnd AS (SELECT h.stage, h.query_id, count(t.id) AS ok, max(CASE WHEN t.id IS NOT NULL THEN 1.0 / h.rank END) AS mrr FROM hits h LEFT JOIN (SELECT DISTINCT query_id, id FROM truth) t USING (query_id, id) GROUP BY h.stage, h.query_id)
+SELECT src.stage, src.query_id, round(src.seen / src.n, 6) AS source_recall, round(coalesce(fnd.ok, 0) / siz.n, 6) AS entity_recall, round(coalesce(fnd.mrr, 0)::DOUBLE, 6) AS mrr, coalesce(fnd.ok, 0) AS n_hits FROM src JOIN siz USING (query_id) LEFT JOIN fnd USING (stage, query_id)"""
+
+
+def _scores(s, d, lists: dict[str, DataFrame]) -> DataFrame:
+    """Lists measured against documents of the query's space and another source.
+
+    What there is to find is counted by space and source, and a hit is right by its own space and source: documents of a
+    space are never paired with its queries."""
     docs = _read(s, d, "documents")
-    a, b = docs.where("doc_id % 100 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), "space", F.col("source").alias("own")), docs.select("space", F.col("doc_id").alias("id"), "source")
-    truth = a.join(b, "space").where("own <> source").select("query_id", "id", "source")
-    hits = bm25_batch_topk(s, d).join(docs.select(F.col("doc_id").alias("id"), "source"), "id")
-    m = evaluation.metrics(hits, truth)
-    return m.select("query_id", *(F.round(c, 6).alias(c) for c in ("source_recall", "entity_recall", "mrr")), "n_hits")
+    asked = docs.where("doc_id % 100 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), F.col("space").alias("asked_space"), F.col("source").alias("own"))
+    counts = docs.groupBy(F.col("space").alias("asked_space"), "source").agg(F.count("*").alias("n_right"))
+    expected = asked.join(counts, "asked_space").where("own <> source").select("query_id", "source", "n_right")
+    of = docs.select(F.col("doc_id").alias("id"), "source", "space")
+    out = None
+    for stage, hits in lists.items():
+        marked = hits.select("query_id", "id", "rank").join(of, "id").join(asked, "query_id").withColumn("ok", F.coalesce((F.col("space") == F.col("asked_space")) & (F.col("source") != F.col("own")), F.lit(False)))
+        part = evaluation.scored(marked, expected).select(F.lit(stage).alias("stage"), "query_id", *(F.round(c, 6).alias(c) for c in ("source_recall", "entity_recall", "mrr")), "n_hits")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@_query(f"SELECT * EXCLUDE (stage) FROM ({_measured(f'WITH {_BM}', {'bm25': 'bmr'})})")
+def retrieval_metrics(s, d):
+    return _scores(s, d, {"bm25": bm25_batch_topk(s, d)}).drop("stage")
+
+
+@_query(_measured(f"{_HYBRID}, {_RERANK}", {"dense_a": "dvr", "dense_b": "dwr", "bm25": "bmr", "rrf": "f", "rerank": "rr"}))
+def stage_metrics(s, d):
+    """What each stage of a search leaves of what there is to find."""
+    v = _vectors(s, d)
+    return _scores(s, d, search.stages(_docs(s, d), _asked(s, d), vectors={"a": v, "b": _turned(v)}, query_vectors={"a": _asked_vectors(v), "b": _asked_vectors(v)}))
 
 
 # --- Streams, as batches ---------------------------------------------------------------------------------------------

@@ -20,18 +20,24 @@ def run_search(index: Index, q: str, mode: str = "grep", n: int = 10, source: st
     if mode not in MODES:
         raise ValueError(f"Invalid mode: {mode!r}")
     options = {"source": source, "filters": parse_filters(filters) or None, "after": T.parse_date(after) if after else None, "before": T.parse_date(before) if before else None}
+    # Filters and dates go below every top-k, so no more has to be fetched for them.
     if mode == "grep":
-        rows = index.grep(q, n, context, **options).join(index.chunks().select("id", "content"), "id").orderBy("rank")
+        rows = index.grep(q, n, context, **options).join(index.chunks().select("id", "content"), "id")
+    elif mode == "semantic":
+        rows = index.semantic(index._one(q), n, **options)
     else:
-        pool = max(4 * n, 20)
-        more = {"bm25_k": 0} if mode == "semantic" else {"bm25_k": pool}
-        rows = index.search(index._one(q), top_k=n, dense_k=pool, pool=2 * pool, **more, **options).withColumn("title", T.short_title(F.col("title"))).withColumn("snippet", T.snippet(F.col("content"), context, q)).orderBy("rank")
+        rows = index.search(index._one(q), top_k=n, pool=max(4 * n, 20), **options)
+    if mode != "grep":
+        rows = rows.withColumn("title", T.short_title(F.col("title"))).withColumn("snippet", T.snippet(F.col("content"), context, q))
+    rows = rows.orderBy("rank")
     out = []
     found = rows.collect()  # n rows
     for r in found:
         d = r.asDict()
         x = {"rank": d["rank"], "id": d["id"], "source": d["source"], "title": d["title"]}
-        if scores and mode != "grep":
+        if scores and mode == "semantic":
+            x["score"] = round(d["score"], 3)
+        elif scores and mode == "hybrid":
             x |= {k: round(d[f"{k}_score"] or 0.0, 3) for k in ("rerank", "rrf", "dense", "bm25") if f"{k}_score" in d}
         if full:
             x["content"] = d["content"]

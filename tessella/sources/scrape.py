@@ -1,9 +1,9 @@
-"""What scrapers need from the engine: resuming, selection and raw projections.  Network clients plug in as providers."""
+"""What scrapers need from the engine: resuming, selection and raw projections (the calls themselves are in `scrapers`)."""
 
 from __future__ import annotations
 
+import re
 from pathlib import PurePosixPath
-from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-class Scraper(Protocol):
-    """A network source: lands raw JSON lines in a folder, appending to what it has."""
-
-    def scrape(self, raw_folder: str, settings: dict) -> dict: ...
-
-
 def message_records(api: DataFrame) -> DataFrame:
     """Raw rows of chat API messages: links found, reactions counted."""
     count = F.aggregate(F.coalesce("reactions", F.expr("CAST(array() AS array<struct<name:string,count:bigint>>)")), F.lit(0).cast("bigint"), lambda a, r: a + F.coalesce(r["count"], F.lit(0)))
@@ -52,24 +46,34 @@ def folder_paths(folders: DataFrame, depth: int = 5) -> DataFrame:
     base = folders.select(F.col("id").alias("up"), F.coalesce("name", F.lit("")).alias("up_name"), F.col("parent").alias("next"))
     for _ in range(depth - 1):
         out = out.join(base, "up", "left").select("id", F.when(F.col("up_name").isNotNull(), F.concat(F.array("up_name"), "names")).otherwise(F.col("names")).alias("names"), F.col("next").alias("up"))
-    return out.select("id", F.array_join("names", "/").alias("path"))
+    return out.select("id", F.array_join("names", " > ").alias("path"))
 
 
 def commits(log: DataFrame, exclude: list[str] | None = None, most_diff: int = 50_000) -> DataFrame:
-    """Commit rows with PR number and branch read from the subject, excluded paths removed, oversized diffs dropped."""
+    """Commit rows with PR number and branch read from the subject and excluded paths removed.
+
+    A diff of more than `most_diff` characters is dropped, as a commit that large is generated or moved code: that is the
+    format's own rule, and a parameter."""
     diff = F.when(F.length("diff") <= most_diff, F.col("diff"))
     return log.withColumn("pr_number", T.pr_number(F.col("subject"))).withColumn("branch", T.merged_branch(F.col("subject"))).withColumn("files_changed", T.filter_files(F.col("files_changed"), exclude or [])).withColumn("diff", T.filter_diff(diff, exclude or []))
 
 
-# Source code endings, and folders of generated or foreign code.
+# Source code endings, file names that are no code of one's own, and patterns of paths of generated, foreign
+# and data files.
 CODE_ENDINGS = ("py", "ts", "tsx", "js", "jsx", "go", "rs", "java", "sql", "sh")
-SKIPPED_FOLDERS = ("vendor", "third_party", "node_modules", ".venv", "venv", "site-packages", "generated", "dist", "build", ".next", "__pycache__", ".vscode", ".idea", "htmlcov", "snapshots", "__snapshots__")
+SKIPPED_NAMES = ("__init__.py", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "uv.lock", "poetry.lock", "Pipfile.lock", "composer.lock", "Gemfile.lock", "go.sum", "cargo.lock", "LICENSE", "NOTICE", "RECORD", "WHEEL", "METADATA")
+SKIPPED_ENDINGS = (r"\.min\.js", r"\.min\.css", r"_pb2\.py", r"_pb2_grpc\.py", r"\.pb\.go")
+SKIPPED_FOLDERS = ("vendor", "third_party", "node_modules", ".venv", "venv", "site-packages", "openapi", "openapi_client", "generated", "alembic/versions", "dist", "build", ".next", "__pycache__", ".vscode", ".idea", "swagger-ui", "htmlcov", "snapshots", "__snapshots__", "data/corpora", "data/tokenizers", "data/raw", "load_test", "stopwords")
+SKIPPED_STARTS = ("static/swagger", ".coverage", "output/model-")
 
 
 def wanted_code(path: Column, size: Column, least: int = 100, most: int = 100_000) -> Column:
+    """Whether a file is code to read: by its ending, name, folders and size."""
+    quoted = lambda names: "|".join(map(re.escape, names))
     ending = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*CODE_ENDINGS)
-    generated = path.rlike(r"(_pb2(_grpc)?\.py|\.pb\.go|\.min\.js)$") | path.rlike(rf"(^|/)({'|'.join(s.replace('.', chr(92) + '.') for s in SKIPPED_FOLDERS)})/")
-    return ending & ~generated & size.between(least, most)
+    name = F.regexp_extract(path, r"([^/]+)$", 1).isin(*SKIPPED_NAMES)
+    skipped = path.rlike(rf"({'|'.join(SKIPPED_ENDINGS)})$") | path.rlike(rf"(^|/)(({quoted(SKIPPED_FOLDERS)})/|{quoted(SKIPPED_STARTS)})")
+    return ending & ~name & ~skipped & size.between(least, most)
 
 
 def code_files(spark: SparkSession, folder: str, repo: str) -> DataFrame:

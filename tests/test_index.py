@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella import cli, config
 from tessella.index import Index
+from tessella.operators import collection
 from tessella.operators.providers import HashEmbedder
 from tessella.server import handle, serve
 from tessella.store import Store
@@ -75,11 +76,90 @@ def test_life_of_an_index(spark, tmp_path):
     assert status == 200 and body["total_matches"] == 2 and {x["id"] for x in body["results"]} == {"article:with:colon:0", "v1:0"} and body["results"][0]["metadata"]["status"] == "2"
     status, body = handle(index, "/search?q=changed&mode=hybrid&n=1&full=1")
     assert status == 200 and body["results"][0]["content"] == "changed words" and body["results"][0]["rerank"] == 1.0
-    assert handle(index, "/search?q=changed&mode=semantic&n=1")[0] == 200
+    status, body = handle(index, "/search?q=auth%20flow&mode=semantic&n=3&scores=1&context=24")
+    dense = index.semantic(index._one("auth flow"), 3).orderBy("rank").collect()
+    assert status == 200 and [(x["id"], x["score"]) for x in body["results"]] == [(r.id, round(r.score, 3)) for r in dense], "order and score are the dense ones"
+    assert [round(r.score, 3) for r in dense] == sorted((round(r.score, 3) for r in dense), reverse=True) and "rerank" not in body["results"][0]
+    export = str(tmp_path / "export")
+    index.export_records(export)
+    again = Index(spark, str(tmp_path / "again"), [Counting(seen)])
+    assert again.upsert_records(collection.read_records(spark, export).withColumnRenamed("ord", "src_ord")) == 4
+    assert [(r.id, r.content, r.metadata) for r in again.records().collect()] == [(r.id, r.content, r.metadata) for r in index.records().collect()], "kinds of metadata come back"
+    assert {r.id: r.chunks for r in index.documents().collect()} == {"article:with:colon": 1, "a2": 1, "v1": 1, "a3": 1}
     assert index.delete_records(["a2", "none"]) == 1 and index.clear_records("video") == 1 and index.count_records() == 2
     assert index.clear_records() == 2 and not index.exists()
 
 
+def test_only_changed_records_are_cut_again(spark, tmp_path, monkeypatch):
+    from tessella import index as module
+
+    index = Index(spark, str(tmp_path / "i"), max_chunk_tokens=8, chunk_overlap_tokens=2)
+    index.upsert_records([rec(f"r{k}", f"words of number {k} " * 6) for k in range(5)])
+    cut = []
+    real = module.chunk_documents
+    monkeypatch.setattr(module, "chunk_documents", lambda docs, *a: cut.append({r.id for r in docs.collect()}) or real(docs, *a))
+    index.upsert_records([rec("r1", "other words now " * 6), rec("r9", "new words")])
+    index.delete_records(["r3"])
+    assert cut == [{"r1", "r9"}, set()]
+    whole = Index(spark, str(tmp_path / "w"), max_chunk_tokens=8, chunk_overlap_tokens=2)
+    whole.upsert_records(index.records().withColumnRenamed("ord", "src_ord"))
+    table = lambda i, t: sorted(map(str, i.store.read(t).collect()))
+    for t in ("chunks", "terms", "stats"):
+        assert [tuple(sorted(r.asDict().items(), key=lambda x: x[0])) for r in index.store.read(t).orderBy(index.store.read(t).columns[0]).drop("metadata").collect()] == [tuple(sorted(r.asDict().items(), key=lambda x: x[0])) for r in whole.store.read(t).select(index.store.read(t).columns).orderBy(index.store.read(t).columns[0]).drop("metadata").collect()]
+    assert table(index, "vectors_local--hash") == table(whole, "vectors_local--hash")
+
+
+def test_writers_exclude_each_other(spark, tmp_path):
+    s, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    with s.locked():
+        with s.locked():
+            s.publish({"a": spark.range(2)})
+        with pytest.raises(TimeoutError):
+            other.locked(timeout=0.3).__enter__()
+    other.publish({"a": spark.range(3)})
+    assert s.read("a").count() == 3
+    (tmp_path / "s" / "LOCK").touch()
+    with other.locked(timeout=5, stale=-1):
+        pass
+    with pytest.raises(ValueError):
+        with s.locked():
+            raise ValueError
+    with other.locked(timeout=0.3):
+        pass
+
+
+def test_concurrent_upserts_lose_nothing(spark, tmp_path):
+    both = [Index(spark, str(tmp_path / "i")) for _ in range(2)]
+    threads = [threading.Thread(target=i.upsert_records, args=([rec(f"r{k}", f"content {k}")],)) for k, i in enumerate(both)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert {r.id for r in both[0].records().collect()} == {"r0", "r1"}
+
+
+def test_evaluation_with_a_saved_report(spark, tmp_path):
+    from tessella.index import forget, opened
+
+    path = str(tmp_path / "i")
+    index = opened(spark, path)
+    assert opened(spark, path) is index
+    forget()
+    assert opened(spark, path) is not index
+    index.upsert_records([rec("a", "ABC-12 the login fails", "atlassian") | {"title": "ABC-12: Login fails on Mondays"}, rec("b", "fix login ABC-12", "git"), rec("c", "other words", "wiki"), rec("d", "DEF-1 alone", "wiki"), *(rec(f"e{k}", f"more of other words {k}", "wiki") for k in range(4))])
+    out = {r.stage: r for r in index.evaluate(str(tmp_path / "eval.json")).collect()}
+    assert set(out) == {"dense", "bm25", "rrf", "rerank"} and out["bm25"].source_recall == 1.0 and out["bm25"].n_hits == 2
+    (case,) = json.loads((tmp_path / "eval.json").read_text())
+    assert case["entity_key"] == "ABC-12" and case["query"] == "Login fails on Mondays" and case["expected_sources"] == ["atlassian", "git"] and case["n_ground_truth"] == 2
+    assert case["stages"]["rerank"]["n_hits"] == 2 and case["stages"]["bm25"]["sources_found"] == ["atlassian", "git"]
+
+
+def test_index_is_fetched_once(spark, tmp_path):
+    from tessella.index import fetched
+
+    Index(spark, str(tmp_path / "i")).upsert_records([rec("a", "b")])
+    assert fetched(spark, [str(tmp_path / "none"), str(tmp_path / "i")], str(tmp_path / "local")) == str(tmp_path / "i")
+    with pytest.raises(FileNotFoundError):
+        fetched(spark, [str(tmp_path / "none")], str(tmp_path / "local"))
+
+
 def test_http_errors_and_parameters():
     said = {}
 
@@ -122,8 +202,8 @@ def test_config(tmp_path, monkeypatch):
     p = tmp_path / "config.toml"
     p.write_text('[ingest]\nmax_chunk_tokens = 100\n[embedding]\nmodels = [{provider = "a", model_name = "b"}]\n[scrape.slack]\nany = 1\n')
     c = config.load(str(p))
-    assert c.ingest.max_chunk_tokens == 100 and c.embedding.get_models() == (config.Model("a", "b"),) and c.scrape == {"slack": {"any": 1}}
-    assert config.Config().embedding.get_models() == (config.Model(),)
+    assert c.ingest.max_chunk_tokens == 100 and [dict(m) for m in c.models()] == [{"provider": "a", "model_name": "b", "device": "cpu"}] and c.scrape == {"slack": {"any": 1}}
+    assert [dict(m) for m in config.Config().models()] == [{"provider": "local", "model_name": "hash", "device": "cpu"}]
     with pytest.raises(TypeError):
         config.from_mapping({"ingest": {"unknown": 1}})
     with pytest.raises(ValueError):

@@ -11,7 +11,7 @@ def test_metrics_by_hand(spark):
     truth = spark.createDataFrame([("q", 1, "git"), ("q", 2, "git"), ("q", 5, "slack"), ("none", 9, "git")], "query_id string, id int, source string")
     hits = spark.createDataFrame([("q", 7, "git", 1), ("q", 2, "git", 2), ("q", 1, "git", 3)], "query_id string, id int, source string, rank int")
     got = {r.query_id: r for r in evaluation.metrics(hits, truth).collect()}
-    assert got["q"].entity_recall == pytest.approx(2 / 3) and got["q"].mrr == 0.5 and got["q"].source_recall == 0.5 and got["q"].n_hits == 3
+    assert got["q"].entity_recall == pytest.approx(2 / 3) and got["q"].mrr == 0.5 and got["q"].source_recall == 0.5 and got["q"].n_hits == 2 and got["q"].sources_found == ["git"]
     assert (got["none"].mrr, got["none"].n_hits, got["none"].entity_recall) == (0.0, 0, 0.0)
     s = evaluation.summary(evaluation.evaluate({"a": hits, "b": evaluation.cut(hits, 1)}, truth)).collect()
     assert {r.stage: r.n_hits for r in s} == {"a": 1.5, "b": 0.5}
@@ -54,31 +54,52 @@ def test_embedding_cache(spark):
     assert providers.model_key("a", "b/c d") == "a--b-c-d"
 
 
-def test_throttles():
-    t = providers.AdaptiveThrottle(1.0, 0.1)
+def test_pace_of_an_embedding_service():
+    r = providers.EMBEDDING._replace(start=1.0, least=0.1)
+    p = providers.started(r)
     for _ in range(3):
-        t.succeeded()
-    assert t.delay == 0.75
-    t.refused()
-    assert t.delay == t.floor == 1.125
-    t.refused(10)
-    assert t.delay == t.floor == 12
-    t.refused(500)
-    assert t.delay == 90
+        p = providers.succeeded(p, r)
+    assert p.interval == 0.75
+    p = providers.refused(p, r)
+    assert p.interval == p.floor == 1.125
+    p = providers.refused(p, r, 10)
+    assert p.interval == p.floor == 12 and p.hold == 10
+    p = providers.refused(p, r, 500)
+    assert p.interval == 90 and p.hold == 500
     for _ in range(10):
-        t.succeeded()
-    assert t.floor == pytest.approx(76.5)
-    b = providers.TokenBucket()
+        p = providers.succeeded(p, r)
+    assert p.floor == pytest.approx(76.5)
+
+
+def test_pace_of_a_chat_service():
+    r = providers.CHAT
+    p = providers.started(r)
     for _ in range(30):
-        b.succeeded()
-    assert b.rate == 8.4
+        p = providers.succeeded(p, r)
+    assert 1 / p.interval == pytest.approx(8.4)
     for _ in range(9):
-        b.refused()
-    assert b.rate == 1.0
-    slept = []
-    b.acquire(lambda: 0.0, slept.append)
-    b.acquire(lambda: 0.0, slept.append)
-    assert slept == [1.0]
+        p = providers.refused(p, r)
+    assert 1 / p.interval == 1.0
+    for _ in range(30 * 90):
+        p = providers.succeeded(p, r)
+    assert 1 / p.interval == pytest.approx(20.0)
+
+
+def test_calls_are_spaced_and_refusals_kept():
+    slept, clock = [], [0.0]
+    paced = providers.Paced(providers.CHAT, lambda: clock[0], lambda s: (slept.append(s), clock.__setitem__(0, clock[0] + s)))
+    answers = [1, providers.RateLimited(30), 2]
+
+    def f():
+        x = answers.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert paced.call(f) == 1 and slept == []
+    assert paced.call(f) == 2 and slept == [pytest.approx(1 / 8), 30.0]
+    slow = providers.Paced(providers.EMBEDDING, lambda: 0.0, slept.append)
+    assert slow.call(lambda: 3) == 3 and slept[-1] == 30.0
 
 
 def test_throttled_embedder_and_batches():
@@ -109,6 +130,38 @@ def test_throttled_embedder_and_batches():
     assert providers.in_order(done["x"], ["a", "b"]).tolist() == [[pytest.approx(0.6), pytest.approx(0.8)], [0, 1]]
     with pytest.raises(ValueError):
         providers.in_order(done["x"], ["a"])
+    clock = iter(range(0, 1000, 100))
+    with pytest.raises(TimeoutError, match="y"):
+        providers.collect_batches({"x": Job(0), "y": Job(50)}, timeout=250, sleep=lambda s: None, now=lambda: next(clock))
+
+    class Service:
+        def submit(self, texts):
+            self.texts = texts
+            return "j"
+
+        def collect(self, job):
+            return {i: [len(t), 0] for i, t in reversed(self.texts.items())}
+
+    assert providers.Batched(Service(), "p", "m").embed(["a", "bb"]).tolist() == [[1, 0], [1, 0]]
+
+
+def test_a_run_that_fails_keeps_its_parts(spark, tmp_path):
+    """Embedding goes on where it stopped: finished parts are in the cache."""
+    docs = spark.createDataFrame([(str(i), f"text {i}") for i in range(40)], "id string, content string")
+    folder = str(tmp_path / "cache")
+
+    class Failing(providers.HashEmbedder):
+        def embed(self, texts):
+            if "text 7" in texts:
+                raise OSError("service is gone")
+            return super().embed(texts)
+
+    with pytest.raises(Exception, match="gone"):
+        cache.fill_folder(docs, folder, Failing(4), part=5)
+    done = cache.read_folder(spark, folder).count()
+    assert done < 40
+    assert cache.fill_folder(docs, folder, providers.HashEmbedder(4), part=5) == 40 - done
+    assert cache.fill_folder(docs, folder, providers.HashEmbedder(4)) == 0 and cache.read_folder(spark, folder).count() == 40
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -33,10 +33,32 @@ def test_bm25_equals_formula(spark):
     queries = {1: "common rare1", 2: "rare2 rare2 z", 3: "absent", 4: ""}
     q = spark.createDataFrame(list(queries.items()), "query_id int, text string")
     got = {}
-    for r in lexical.bm25_scores(lexical.build_index(df), q).collect():
+    index = lexical.build_index(df)
+    for r in lexical.bm25_search(index, q, 100).collect():
         got.setdefault(r.query_id, {})[r.id] = r.score
     for k, text in queries.items():
-        assert got.get(k, {}) == pytest.approx(bm25(docs, text))
+        assert got.get(k, {}) == pytest.approx(bm25(docs, text), abs=1e-6)
+    for block, parts in ((2, 5), (1, 1)):  # several blocks of queries, several tasks
+        best = lexical.bm25_search(index._replace(texts=index.texts.repartition(parts)), q, 3, block=block).collect()
+        for k, text in queries.items():
+            s = {i: round(x, 6) for i, x in bm25(docs, text).items()}
+            assert [r.id for r in sorted(best, key=lambda r: r.rank) if r.query_id == k] == sorted(s, key=lambda i: (-s[i], i))[:3]
+    assert {(r.term, r.id, r.tf, r.dl) for r in lexical.postings(index).where("id = 'd0'").collect()} == {(w, "d0", docs["d0"].split().count(w), len(docs["d0"].split())) for w in docs["d0"].split()}
+    assert lexical.bm25_search(lexical.build_index(df.limit(0)), q).count() == 0 and lexical.bm25_search(index, q.limit(0)).count() == 0
+
+
+def test_common_term_makes_no_rows(spark):
+    """A term that every text and every query has: what leaves the tasks is k rows per query and task."""
+    docs = spark.range(2000, numPartitions=4).selectExpr("cast(id as string) id", "concat('all w', id) content")
+    q = spark.range(50).selectExpr("id query_id", "concat('all w', id) text")
+    index = lexical.build_index(docs)
+    rows = []
+    real, lexical.top_k = lexical.top_k, lambda df, k: rows.append(df.count()) or real(df, k)
+    try:
+        assert lexical.bm25_search(index, q, 5).count() <= 250
+    finally:
+        lexical.top_k = real
+    assert rows[0] <= 50 * (5 + 8) * 8
 
 
 def test_term_that_most_have(spark):

@@ -92,14 +92,14 @@ def test_scraping_helpers(spark):
     r = scrape.message_records(msgs).orderBy("ts").collect()
     assert {x.ts: (x.reaction_count, x.links) for x in r} == {"1.5": (2, ["https://l"]), "10": (0, [])}
     paths = scrape.folder_paths(spark.createDataFrame([("a", "A", None), ("b", "B", "a"), ("c", "C", "b"), ("d", "D", "gone")], "id string, name string, parent string"))
-    assert {r.id: r.path for r in paths.collect()} == {"a": "A", "b": "A/B", "c": "A/B/C", "d": "D"}
+    assert {r.id: r.path for r in paths.collect()} == {"a": "A", "b": "A > B", "c": "A > B > C", "d": "D"}
     log = spark.createDataFrame([("Merged in x (pull request #7)", "d" * 60_000, [("M", "a.lock")])], "subject string, diff string, files_changed array<struct<status:string,path:string>>")
     c = scrape.commits(log, [r"\.lock$"]).first()
     assert (c.pr_number, c.branch, c.diff, c.files_changed) == (7, "x", None, [])
 
 
 def test_code_files(spark, tmp_path):
-    for name, text in {"src/a.py": "x = 1\n" * 40, "vendor/b.py": "x = 1\n" * 40, "c.txt": "t" * 200, "d.go": "short", "bin.py": "\x01" * 300, "e.min.js": "x" * 200}.items():
+    for name, text in {"src/a.py": "x = 1\n" * 40, "vendor/b.py": "x = 1\n" * 40, "c.txt": "t" * 200, "d.go": "short", "bin.py": "\x01" * 300, "e.min.js": "x" * 200, "src/__init__.py": "x = 1\n" * 40, "openapi/f.py": "x = 1\n" * 40, "static/swagger-x.js": "x" * 200}.items():
         os.makedirs(os.path.dirname(tmp_path / name), exist_ok=True)
         (tmp_path / name).write_text(text)
     (tmp_path / "latin.py").write_bytes(b"# \xe9\n" * 60)
