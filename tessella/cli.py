@@ -102,9 +102,14 @@ def main(argv: list[str] | None = None) -> int:
             print(show(search_remote(a), a.json))
             return 0
         c = config.load(a.config)
-        index = Index(session.build(), c.data.index_dir)
+        spark = session.build()
+        index, docs = Index(spark, c.data.index_dir), None
+        if a.mode == "grep" and not index.exists():
+            from .sources.normalize import normalize_all
+
+            docs = normalize_all(spark, c.data.raw_dir)
         context = a.context if a.context is not None else 0 if a.json else 200
-        print(show(run_search(index, a.term, a.mode, a.n, source=a.source, filters=a.filter, after=a.after, before=a.before, context=context, full=a.full, scores=a.scores, metadata=a.metadata), a.json))
+        print(show(run_search(index, a.term, a.mode, a.n, source=a.source, filters=a.filter, after=a.after, before=a.before, context=context, full=a.full, scores=a.scores, metadata=a.metadata, docs=docs), a.json))
         return 0
     a = pipeline_parser().parse_args(argv)
     c = config.load(a.config)

@@ -18,6 +18,7 @@ from .operators.prompt import contexts, messages
 from .operators.providers import AnswerProvider, Embedder, HashEmbedder, model_key
 from .operators.rerank import Scorer, overlap_score
 from .schema import CHUNK
+from .sources.raw import exists
 from .store import Store
 from .tables import materialize, remove
 
@@ -80,6 +81,10 @@ class Index:
                 index = lexical.build_index(chunks)
             if force:
                 remove_folder(self.spark, self.cache)
+            elif self.exists() and not exists(self.spark, self.cache):
+                # An index without its cache: its own vectors are the cache's beginning.
+                for e in self.embedders:
+                    cache.bootstrap(self.store.read("chunks"), self.store.read(f"vectors_{self._key(e)}"), self._key(e)).write.mode("append").parquet(self.cache)
             for e in self.embedders:
                 cache.fill_folder(chunks, self.cache, e)
             known = cache.read_folder(self.spark, self.cache)
@@ -148,8 +153,11 @@ class Index:
             timings["generate"] = time.monotonic() - began - timings["search"]
         return QueryResult(text, rows, said, timings)
 
-    def grep(self, term: str, n: int = 10, context: int = 200, **options) -> DataFrame:
-        return search.grep(self.chunks(), term, n, replace(self.options, **options), context)
+    def grep(self, term: str, n: int = 10, context: int = 200, docs: DataFrame | None = None, **options) -> DataFrame:
+        """The first chunks that contain the term; where nothing is indexed yet, the first of `docs`."""
+        if docs is None or self.exists():
+            return search.grep(self.chunks(), term, n, replace(self.options, **options), context)
+        return search.grep(numbered(docs, ["source_rank", "src_ord", "id"], "chunk_ord"), term, n, replace(self.options, **options), context)
 
     # --- Records ---
 
@@ -201,6 +209,10 @@ class Index:
         """The collection as JSON lines."""
         collection.write_records(self._state(), path)
 
+    def fetch_records(self, ids: list[str]) -> DataFrame:
+        """Records in the order of `ids`; unknown and repeated ids are left out."""
+        return collection.fetch(self._state(), ids)
+
     def fetch_records_metadata(self, ids: list[str]) -> dict[str, dict]:
         rows = collection.fetch(self._state(), ids)
         order = {i: k for k, i in enumerate(ids)}

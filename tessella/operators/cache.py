@@ -27,6 +27,12 @@ def fill(chunks: DataFrame, cache: DataFrame, embedder: Embedder) -> DataFrame:
     return embed_column(misses(chunks, cache, key), embedder).select(F.lit(key).alias("model_key"), "content_hash", "embedding")
 
 
+def bootstrap(chunks: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """Cache rows of vectors (id, embedding) that an index has already, one for each content of its chunks (id, content)."""
+    rows = chunks.where("content is not null").select("id", content_hash(F.col("content")).alias("content_hash")).join(vectors.where("embedding is not null"), "id")
+    return rows.groupBy("content_hash").agg(F.min_by("embedding", "id").alias("embedding")).select(F.lit(key).alias("model_key"), "content_hash", "embedding")
+
+
 #: Contents that one write embeds: what a run that is stopped loses at most.
 PART = 100_000
 

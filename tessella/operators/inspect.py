@@ -32,8 +32,9 @@ def duplicates(chunks: DataFrame) -> DataFrame:
 
 
 def raw_files(lines: DataFrame) -> DataFrame:
-    """(file, n_records) of text lines read with their file."""
-    return lines.where(F.trim("value") != "").groupBy(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("file")).agg(F.count("*").alias("n_records"))
+    """(file, n_records, n_bytes) of text lines read with their file."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1)
+    return lines.groupBy(name.alias("file")).agg(F.count(F.when(F.trim("value") != "", 1)).alias("n_records"), F.max("_metadata.file_size").alias("n_bytes"))
 
 
 def sample(chunks: DataFrame, n: int, seed: int = 0, source: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.documents import adf_to_text
 from ..functions.filters import compile_filter, date_range, parse_filters
 from ..operators import collection as C
 from ..operators import dense, evaluation, fusion, inspect, lexical, prompt, search
-from ..operators.cache import assemble, misses
+from ..operators.cache import assemble, bootstrap, misses
 from ..operators.chunking import chunk_documents, word_windows
 from ..operators.numbering import numbered
 from ..schema import text_metadata
@@ -616,6 +616,12 @@ def embed_cache_assembled(s, d):
     return assemble(_docs(s, d).select("id", "content"), _cache(s, d), "m").select("id", F.round(F.try_element_at("embedding", F.lit(1)).cast("double"), 6).alias("first"))
 
 
+@_query("SELECT sha256(d.text) AS content_hash, round(arg_min(e.embedding[1], d.doc_id)::DOUBLE, 6) AS first FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY 1")
+def embed_cache_bootstrap(s, d):
+    """The cache that an index with vectors but without a cache begins with."""
+    return bootstrap(_docs(s, d).select("id", "content"), _vectors(s, d), "m").select("content_hash", F.round(F.try_element_at("embedding", F.lit(1)).cast("double"), 6).alias("first"))
+
+
 # --- Collection ------------------------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ import json
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -15,14 +16,17 @@ from .index import Index
 MODES = ("grep", "semantic", "hybrid")
 
 
-def run_search(index: Index, q: str, mode: str = "grep", n: int = 10, source: str | None = None, filters: list[str] | None = None, after: str | None = None, before: str | None = None, context: int = 300, full: bool = False, scores: bool = True, metadata: bool = False) -> dict:
-    """{"results": [...]} of one search; a wrong mode, filter or date is a ValueError."""
+def run_search(index: Index, q: str, mode: str = "grep", n: int = 10, source: str | None = None, filters: list[str] | None = None, after: str | None = None, before: str | None = None, context: int = 300, full: bool = False, scores: bool = True, metadata: bool = False, docs: DataFrame | None = None) -> dict:
+    """{"results": [...]} of one search; a wrong mode, filter or date is a ValueError.
+
+    `docs` are what a substring search reads where nothing is indexed yet."""
     if mode not in MODES:
         raise ValueError(f"Invalid mode: {mode!r}")
     options = {"source": source, "filters": parse_filters(filters) or None, "after": T.parse_date(after) if after else None, "before": T.parse_date(before) if before else None}
     # Filters and dates go below every top-k, so no more has to be fetched for them.
     if mode == "grep":
-        rows = index.grep(q, n, context, **options).join(index.chunks().select("id", "content"), "id")
+        of = index.chunks() if docs is None or index.exists() else docs
+        rows = index.grep(q, n, context, docs, **options).join(of.select("id", "content"), "id")
     elif mode == "semantic":
         rows = index.semantic(index._one(q), n, **options)
     else:

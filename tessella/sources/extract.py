@@ -54,6 +54,21 @@ def _xlsx(data: bytes) -> str:
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {"txt": _plain, "md": _plain, "csv": _plain, "json": _plain, "log": _plain, "docx": _docx, "pptx": _pptx, "xlsx": _xlsx}
 
 
+# Endings that only a provider can read.
+PROVIDED = ("pdf", "png", "jpg", "jpeg", "gif", "webp")
+
+
+def register(extractor: Callable[[bytes], str], *endings: str) -> None:
+    """Makes `extractor` read files of these endings, such as those of `PROVIDED`."""
+    EXTRACTORS.update(dict.fromkeys((e.lower().lstrip(".") for e in endings), extractor))
+
+
+def unread(files: DataFrame) -> DataFrame:
+    """(ending, n) of files that would be left out for want of an extractor."""
+    end = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return files.where(~end.isin(*EXTRACTORS)).groupBy(end.alias("ending")).agg(F.count("*").alias("n"))
+
+
 def extract_texts(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """(path, content, extraction_method) of binary files (path, content); unreadable files, those without an extractor
     and texts under 50 characters are left out."""

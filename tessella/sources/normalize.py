@@ -51,11 +51,12 @@ def _with_names(rows: DataFrame, users: DataFrame) -> DataFrame:
     one = users.where("id is not null").groupBy("id").agg(F.min(F.coalesce("name", "id")).alias("name"))
     if one.limit(MAPPED_USERS + 1).count() <= MAPPED_USERS:
         return rows.crossJoin(F.broadcast(_names(one)))  # a single row of a checked size
-    texts = rows.select("text").where(F.col("text").contains("<@")).distinct()
-    said = texts.select("text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"<@([\p{L}\p{N}_]+)>"), 1))).alias("id"))
+    # By a hash of the text, and of texts with a mention alone: no text is shuffled for its names.
+    key = F.when(F.col("text").contains("<@"), F.sha2("text", 256))
+    said = rows.select(key.alias("said"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"<@([\p{L}\p{N}_]+)>"), 1))).alias("id")).distinct()
     # A list has the users that one text mentions.
-    names = said.join(one, "id").groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("id", "name"))).alias("names"))
-    return rows.join(names, "text", "left").withColumn("names", F.coalesce("names", F.expr("CAST(map() AS map<string,string>)")))
+    names = said.join(one, "id").groupBy("said").agg(F.map_from_entries(F.collect_list(F.struct("id", "name"))).alias("names"))
+    return rows.withColumn("said", key).join(names, "said", "left").drop("said").withColumn("names", F.coalesce("names", F.expr("CAST(map() AS map<string,string>)")))
 
 
 def _spoken(messages: DataFrame, users: DataFrame) -> DataFrame:
@@ -69,7 +70,8 @@ def _spoken(messages: DataFrame, users: DataFrame) -> DataFrame:
 def messages(rows: DataFrame, users: DataFrame, channels: DataFrame | None = None, by_channel: bool = False) -> DataFrame:
     """Threads (rows of one thread_ts, or of the ts of a row with replies) and single messages.
 
-    Threads are keyed by thread_ts alone; `by_channel` keys them by channel as well."""
+    Threads are keyed by thread_ts alone; `by_channel` keys them by channel as well.  A thread is one document and so one
+    row: it is put together in one task, and its text may have 2 GB at most, which is the limit of a row's value."""
     rows = rows.where(~F.coalesce(F.col("subtype").isin(*SYSTEM_SUBTYPES), F.lit(False)))
     rows = _spoken(rows, users)
     key = F.when(_text("thread_ts") != "", F.col("thread_ts")).when(F.coalesce("reply_count", F.lit(0)) > 0, F.col("ts"))

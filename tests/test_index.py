@@ -1,4 +1,5 @@
 import json
+import shutil
 import threading
 from urllib.request import urlopen
 
@@ -9,7 +10,7 @@ from tessella import cli, config
 from tessella.index import Index
 from tessella.operators import collection
 from tessella.operators.providers import HashEmbedder
-from tessella.server import handle, serve
+from tessella.server import handle, run_search, serve
 from tessella.store import Store
 
 
@@ -151,6 +152,24 @@ def test_evaluation_with_a_saved_report(spark, tmp_path):
     assert case["stages"]["rerank"]["n_hits"] == 2 and case["stages"]["bm25"]["sources_found"] == ["atlassian", "git"]
 
 
+def test_substring_search_before_an_index(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "i"))
+    docs = spark.createDataFrame([("a", "wiki", "The Auth flow", "t", None, 0, 1), ("b", "wiki", "none", "t", None, 0, 2)], "id string, source string, content string, title string, metadata map<string,struct<kind:string,s:string,d:double,cf:string>>, source_rank int, src_ord bigint")
+    got = run_search(index, "auth", docs=docs)
+    assert [r["id"] for r in got["results"]] == ["a"] and got["total_matches"] == 1
+
+
+def test_cache_begins_with_the_index(spark, tmp_path):
+    seen = tmp_path / "embedded"
+    seen.touch()
+    index = Index(spark, str(tmp_path / "i"), [Counting(seen)])
+    index.upsert_records([rec("a", "one"), rec("b", "two")])
+    shutil.rmtree(tmp_path / "i" / "cache")
+    index.upsert_records([rec("c", "three")])
+    assert len(seen.read_text().splitlines()) == 3, "the first two came from the index"
+    assert [r.id for r in index.fetch_records(["c", "x", "a", "c"]).collect()] == ["c", "a"]
+
+
 def test_index_is_fetched_once(spark, tmp_path):
     from tessella.index import fetched
 

@@ -122,6 +122,16 @@ def test_extraction(spark, tmp_path):
     assert {r.extraction_method: r.content for r in got} == {"txt": LONG * 3, "docx": LONG * 3}
 
 
+def test_registered_extractors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(extract, "EXTRACTORS", dict(extract.EXTRACTORS))
+    (tmp_path / "a.PDF").write_bytes(b"%PDF")
+    (tmp_path / "b.xyz").write_bytes(b"?")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert {r.ending: r.n for r in extract.unread(files).collect()} == {"pdf": 1, "xyz": 1}
+    extract.register(lambda data: "text of the file " * 9, ".pdf")
+    assert [r.extraction_method for r in extract.extract_texts(files).collect()] == ["pdf"]
+
+
 def test_schemas_parse(spark):
     for s in RAW.values():
         assert spark.createDataFrame([], s).count() == 0
