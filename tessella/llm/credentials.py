@@ -68,6 +68,25 @@ def _hinted(content: str) -> list[int]:
 
 _ASSIGN = re.compile(rf"(?i)(?P<key>[\w.-]*(?:{_NAMES})[\w-]*)[\"'\]]{{0,2}}\s*(?P<op>:=|=>|==|=|:|>)\s*(?=\S)")
 _SAID = re.compile(rf"(?i)(?P<key>[\w-]*(?:{_NAMES}))[\"'`]?(?:\s+(?:is|was|to|now|=))?\s+(?P<val>\S+)")
+_NAMED = re.compile(rf"(?i){_NAMES}")
+# The characters that the key of either may consist of.
+_ASSIGN_RUN, _SAID_RUN = re.compile(r"[\w.-]+"), re.compile(r"[\w-]+")
+
+
+def _keyed(pattern: re.Pattern, run: re.Pattern, line: str):
+    """`pattern.finditer(line)` for a pattern that begins with any characters of `run` and then a name of a credential.
+
+    Tried once for each run that has a name: where it fails at a run's beginning it fails within it, so the search does not
+    try every character of a line."""
+    if not _NAMED.search(line):
+        return
+    done = 0
+    for r in run.finditer(line):
+        if r.end() > done and _NAMED.search(r[0]) and (m := pattern.match(line, max(done, r.start()))):
+            yield m
+            done = m.end()
+
+
 _ADDRESS = re.compile(r"://(?P<key>[^\s/:@\"']*):(?P<val>[^\s/\"']+)@(?=[\w\[.-])")
 _LOGIN = re.compile(r"\s(?:-u|--user)[ =]+['\"]?(?P<key>[\w.$@{}-]+):['\"]?(?P<val>[^\s'\"]+)")
 _PAIR = re.compile(r"(?i)auth\w*\s*[=(:]\s*\(?\s*[\"'](?P<key>[^\"'\s]*)[\"']\s*,\s*[\"'](?P<val>[^\"']+)[\"']")
@@ -239,10 +258,10 @@ def candidates(content: str | None) -> list[Candidate]:
             add([m.span("val")], m["key"], m["val"], "login")
         for m in _BEARER.finditer(line):
             add([m.span("val")], m["key"], m["val"], "bearer")
-        for m in _ASSIGN.finditer(line):
+        for m in _keyed(_ASSIGN, _ASSIGN_RUN, line):
             spans, value, quoted = _value(line, m.end(), m["op"])
             add(spans, m["key"], value, "quoted" if quoted else "assign")
-        for m in _SAID.finditer(line):
+        for m in _keyed(_SAID, _SAID_RUN, line):
             v = m["val"].strip("\"'`.,;()")
             if v and v[0] not in "=:":
                 s = m.start("val") + m["val"].index(v)
