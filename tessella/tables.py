@@ -32,12 +32,13 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """`df` written as a table in the shared folder and read back: its lineage is cut, and losing an executor loses nothing."""
     path = shared_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_folder = path.rpartition("/")[0]
+    return out
 
 
 def remove(df: DataFrame) -> None:
     """Deletes the files of a materialized table that nothing reads any more."""
     spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p.getParent(), True)
+    p = spark._jvm.org.apache.hadoop.fs.Path(df._shared_folder)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -60,3 +60,25 @@ def test_numbering(spark):
     got = {r.k: r.n for r in numbered(df, ["k"], "n", 5, partitions=7).collect()}
     assert got == {i: i + 5 for i in range(100)}
     assert numbered(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_shared_tables(spark, monkeypatch):
+    from tessella import tables
+
+    t = tables.materialize(spark.range(5))
+    assert t.count() == 5 and t._shared_folder.startswith(spark.conf.get("spark.checkpoint.dir"))
+    tables.remove(t)
+    with pytest.raises(Exception):
+        t.count()
+
+    class Cluster:
+        """A session on a cluster without a shared folder."""
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_folder(Cluster)
