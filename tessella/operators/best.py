@@ -59,9 +59,10 @@ def in_blocks(queries: DataFrame, size: int, search: Callable[[list[Row]], DataF
 
     The driver holds one block; with more than one, every block's results (k rows a query and task) are written to the
     shared folder before the next is read, so neither the plan nor the memory grows with the number of queries."""
+    rows = queries.limit(size + 1).collect()
+    if len(rows) <= size:
+        return search(rows)
     n = math.ceil(queries.count() / size)
-    if n <= 1:
-        return search(queries.collect())
     path = shared_folder(queries.sparkSession)
     block = F.pmod(F.xxhash64("query_id"), F.lit(n))
     out = None

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..tables import materialize
+from ..tables import materialize, spread
 from .best import Best, in_blocks
 
 QUERY_BLOCK, ROWS = 2048, 500
@@ -50,7 +50,7 @@ def counted(chunks: DataFrame, id_col: str = "id", text_col: str = "content") ->
                 off = pa.array(ends, pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(dls, pa.int32()), pa.ListArray.from_arrays(off, pa.array(terms, pa.string())), pa.ListArray.from_arrays(off, pa.array(tfs, pa.int32()))], ["id", "dl", "terms", "tfs"])
 
-    return chunks.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, dl int, terms array<string>, tfs array<int>")
+    return spread(chunks.select(F.col(id_col).alias("id"), F.col(text_col))).mapInArrow(run, f"id {kind}, dl int, terms array<string>, tfs array<int>")
 
 
 def postings(index: LexicalIndex) -> DataFrame:

@@ -22,6 +22,7 @@ from ..operators.numbering import numbered
 from ..schema import text_metadata
 from ..sources import normalize, scrape
 from ..streaming.ingest import activity
+from ..tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -119,12 +120,12 @@ def _chain(c: str, steps: list[tuple[str, str]]) -> str:
 
 @_query(f"SELECT doc_id, md5({_strip(_chain('text', [_AT, *_MRK]))}) AS cleaned FROM documents WHERE text IS NOT NULL")
 def chat_text(s, d):
-    return _read(s, d, "documents").where("text is not null").select("doc_id", F.md5(T.chat_text(F.col("text"))).alias("cleaned"))
+    return spread(_read(s, d, "documents").select("doc_id", "text")).where("text is not null").select("doc_id", F.md5(T.chat_text(F.col("text"))).alias("cleaned"))
 
 
 @_query(f"SELECT doc_id, md5({_strip(_chain('text', _HTML))}) AS plain FROM documents WHERE text IS NOT NULL")
 def html_text(s, d):
-    return _read(s, d, "documents").where("text is not null").select("doc_id", F.md5(T.html_to_text(F.col("text"))).alias("plain"))
+    return spread(_read(s, d, "documents").select("doc_id", "text")).where("text is not null").select("doc_id", F.md5(T.html_to_text(F.col("text"))).alias("plain"))
 
 
 @_query("SELECT doc_id, sha256(text) AS content_hash FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents WHERE text IS NOT NULL) WHERE n = 1")

@@ -28,6 +28,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{path}/table"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt out to all cores where it lies in too few and small files for them to have work: then the shuffle of a small
+    table is less than what idle cores lose.  A table whose files or splits suffice is read where it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if not 0 < 2 * len(df.inputFiles()) <= cores:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if 2 * size <= split * cores else df
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """`df` written as a table in the shared folder and read back: its lineage is cut, and losing an executor loses nothing."""
     path = shared_folder(df.sparkSession)

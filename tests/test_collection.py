@@ -82,3 +82,21 @@ def test_shared_tables(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         tables.shared_folder(Cluster)
+
+
+def test_spread_over_cores(spark, tmp_path):
+    from tessella import tables
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(cores).write.parquet(str(tmp_path / "many"))
+    parts = lambda df: df.rdd.getNumPartitions()
+    one, many = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "many"))
+    assert parts(tables.spread(one)) == cores and tables.spread(one).count() == 100
+    assert tables.spread(many) is many
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100b")
+    try:
+        assert tables.spread(one) is one, "its splits are enough"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
