@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import spread
+
 SAMPLE_ROWS, SAMPLE_CHARS, THRESHOLD = 4000, 40_000_000, 0.5
 MASK = "[REDACTED]"
 
@@ -504,7 +506,7 @@ def find_credentials(df: DataFrame, scorer: Scorer | None = None, threshold: flo
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.float64())))], ["tbl", "rec_id", "line_no", "start_pos", "end_pos", "score"])
 
-    return df.select("tbl", "rec_id", "content").mapInArrow(run, "tbl string, rec_id string, line_no bigint, start_pos int, end_pos int, score double").distinct()
+    return spread(df.select("tbl", "rec_id", "content")).mapInArrow(run, "tbl string, rec_id string, line_no bigint, start_pos int, end_pos int, score double").distinct()
 
 
 def redact_credentials(df: DataFrame, scorer: Scorer | None = None, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
@@ -520,4 +522,4 @@ def redact_credentials(df: DataFrame, scorer: Scorer | None = None, threshold: f
                 texts.append(redact(t, spans, mask)), counts.append(len(spans))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["tbl", "rec_id", "redacted", "n_values"])
 
-    return df.select("tbl", "rec_id", "content").mapInArrow(run, "tbl string, rec_id string, redacted string, n_values int")
+    return spread(df.select("tbl", "rec_id", "content")).mapInArrow(run, "tbl string, rec_id string, redacted string, n_values int")

@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import spread
+
 LEAST, WIDTH = 12, 5
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -194,4 +196,4 @@ def _scan(docs: DataFrame, passages: DataFrame, doc_id: str, text_col: str, leas
     from pyspark.sql.pandas.types import to_arrow_type
 
     item_type = to_arrow_type(passages.schema["item"].dataType)
-    return docs.select(F.col(doc_id), F.col(text_col)).where(F.length(text_col) >= 2 * least - 1).mapInArrow(run, f"doc {d_kind}, item {i_kind}, n_windows bigint")
+    return spread(docs.select(F.col(doc_id), F.col(text_col))).where(F.length(text_col) >= 2 * least - 1).mapInArrow(run, f"doc {d_kind}, item {i_kind}, n_windows bigint")

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import spread
+
 # Code pages that UTF-8 is commonly misread as.
 UTF8_MISREAD_AS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "iso8859_2", "cp1254", "koi8_r", "cp866")
 # Fixed values: (true page, page it was read as) of single-byte mix-ups.
@@ -460,6 +462,6 @@ def repair_mojibake(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     take.append(i), new.append(r), whole.append(w)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(take, pa.int64())), pa.array(new, pa.string()), pa.array(whole, pa.bool_())], [id_col, "restored", "whole"])
 
-    rows = df.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).rlike("[^\\x00-\\x7F]"))
+    rows = spread(df.select(F.col(id_col), F.col(text_col))).where(F.col(text_col).rlike("[^\\x00-\\x7F]"))
     out = rows.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, restored string, whole boolean")
     return out.dropDuplicates([id_col, "restored"])

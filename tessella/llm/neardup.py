@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialize, remove
+from ..tables import materialize, remove, spread
 
 THRESHOLD, LEAST = 0.75, 30
 SEGMENTS, WIDTH = 12, 6
@@ -117,7 +117,7 @@ def token_sets(df: DataFrame, least: int = LEAST) -> DataFrame:
             cls = np.frombuffer(b"".join(keys), "<i8")[::2] if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(cls), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(joined, pa.string())], ["tbl", "rec_id", "cls", "set_key", "size", "parity", "tokens"])
 
-    return df.select("tbl", "rec_id", "content").where(F.length("content") >= 2 * least - 1).mapInArrow(run, "tbl string, rec_id string, cls bigint, set_key binary, size int, parity binary, tokens string")
+    return spread(df.select("tbl", "rec_id", "content")).where(F.length("content") >= 2 * least - 1).mapInArrow(run, "tbl string, rec_id string, cls bigint, set_key binary, size int, parity binary, tokens string")
 
 
 _SEEN = 1_000_000

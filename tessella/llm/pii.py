@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import spread
+
 PARTS = 200_000
 KINDS = ("name", "email", "phone", "id_number", "address")
 
@@ -387,7 +389,7 @@ def find_personal_data(df: DataFrame, users: DataFrame) -> DataFrame:
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["tbl", "rec_id", "kind", "start_pos", "end_pos"])
 
-    return df.select("tbl", "rec_id", "content").mapInArrow(run, "tbl string, rec_id string, kind string, start_pos bigint, end_pos bigint").distinct()
+    return spread(df.select("tbl", "rec_id", "content")).mapInArrow(run, "tbl string, rec_id string, kind string, start_pos bigint, end_pos bigint").distinct()
 
 
 def replace_personal_data(df: DataFrame, users: DataFrame) -> DataFrame:
@@ -403,4 +405,4 @@ def replace_personal_data(df: DataFrame, users: DataFrame) -> DataFrame:
                 texts.append(redact(t, spans)), counts.append(len(spans))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["tbl", "rec_id", "replaced", "n_values"])
 
-    return df.select("tbl", "rec_id", "content").mapInArrow(run, "tbl string, rec_id string, replaced string, n_values int")
+    return spread(df.select("tbl", "rec_id", "content")).mapInArrow(run, "tbl string, rec_id string, replaced string, n_values int")
