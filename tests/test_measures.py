@@ -14,7 +14,7 @@ def test_metrics_by_hand(spark):
     assert got["q"].entity_recall == pytest.approx(2 / 3) and got["q"].mrr == 0.5 and got["q"].source_recall == 0.5 and got["q"].n_hits == 2 and got["q"].sources_found == ["git"]
     assert (got["none"].mrr, got["none"].n_hits, got["none"].entity_recall) == (0.0, 0, 0.0)
     s = evaluation.summary(evaluation.evaluate({"a": hits, "b": evaluation.cut(hits, 1)}, truth)).collect()
-    assert {r.stage: r.n_hits for r in s} == {"a": 1.5, "b": 0.5}
+    assert {r.stage: r.n_hits for r in s} == {"a": 1.0, "b": 0.0}, "two right hits of one question and none of the other; none in the first place"
 
 
 def test_entities(spark):
